@@ -17,6 +17,7 @@ from visitlens.operators import (
     equal_to,
     one_of,
     salted_group_count,
+    salted_join,
     skew_join,
 )
 from visitlens.params import TaskParams, task_param_fields
@@ -53,9 +54,8 @@ def _sessions(spark: SparkSession, sf_dir: str, params: TaskParams = RANGE) -> D
     return sessions.qualified_sessions(_actions(spark, sf_dir), views.user_info(spark, sf_dir), params)
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = categories.session_category_counts(_actions(spark, sf_dir))
-    return categories.counts_in_sessions(counts, _sessions(spark, sf_dir))
+def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return categories.visits_in_sessions(_actions(spark, sf_dir), _sessions(spark, sf_dir))
 
 
 def _clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,21 +164,20 @@ def session_extract_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return categories.category_counts(_counts(spark, sf_dir))
+    return categories.category_counts(_visits(spark, sf_dir))
 
 
 def top10_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return categories.top_categories(_counts(spark, sf_dir))
+    return categories.top_categories(_visits(spark, sf_dir))
 
 
 def category_session_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicked = _counts(spark, sf_dir).where(F.col("click_count") > 0)
-    return clicked.select("category_id", "session_id", "click_count")
+    return categories.session_clicks(_visits(spark, sf_dir))
 
 
 def top10_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _counts(spark, sf_dir)
-    return categories.top_sessions_per_category(counts, categories.top_categories(counts))
+    visits = _visits(spark, sf_dir)
+    return categories.top_sessions_per_category(visits, categories.top_categories(visits))
 
 
 def top10_session_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,12 +216,20 @@ def salted_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return salted_group_count(basic, ["product_area"], 10, ["city_id"], "click_count")
 
 
-def salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _joined_counts(spark: SparkSession, sf_dir: str, join: Callable[..., DataFrame]) -> DataFrame:
     described = views.product_info(spark, sf_dir).select("product_id", "product_name")
-    joined = skew_join(click_product_basic(spark, sf_dir), described, ["product_id"], buckets=10)
+    joined = join(click_product_basic(spark, sf_dir), described, ["product_id"])
     return joined.groupBy("product_id", "product_name").agg(F.count(F.lit(1)).alias("click_count"))
 
 
+def hot_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_counts(spark, sf_dir, skew_join)
+
+
+def blunt_salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_counts(spark, sf_dir, salted_join)
+
+
 # Functions
 
 
@@ -327,7 +334,7 @@ def ad_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ad_stat_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text_date(ads.ad_stat_without_listed(_ads(spark, sf_dir), ad_blacklist(spark, sf_dir)))
+    return _text_date(ads.ad_stat(ads.filter_blacklisted(_ads(spark, sf_dir), ad_blacklist(spark, sf_dir))))
 
 
 def ad_province_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,7 +443,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "area_product_full": area_product_full,
         "area_top3_product": area_top3_product,
         "salted_group_count": salted_count,
-        "skew_join": salted_join,
+        "salted_join": blunt_salted_join,
+        "skew_join": hot_key_join,
         "random_prefix_round_trip": random_prefix_round_trip,
         "concat_string_field": concat_string_field,
         "date_functions": date_functions,

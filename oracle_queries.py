@@ -191,6 +191,9 @@ _TREND = f"""WITH {_ADS} SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '
 FROM ad_click GROUP BY 1, 2, 3, 4"""
 _LISTED = f"WITH {_ADS} SELECT user_id FROM listed"
 
+_JOINED = f"""WITH {_AREAS}
+SELECT product_id, product_name, count(*) AS click_count FROM basic JOIN product_info USING (product_id) GROUP BY 1, 2"""
+
 ORACLES: dict[str, str] = {
     "actions_date_range": f"""WITH {_ACTIONS}
 SELECT {_DETAIL_COLUMNS}, strftime(date, '%Y-%m-%d') AS date, city_id FROM action""",
@@ -236,8 +239,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY click_count DESC,
 WHERE rn <= 3""",
     "salted_group_count": f"""WITH {_AREAS}
 SELECT CAST(product_id AS VARCHAR) || ':' || area AS product_area, count(*) AS click_count FROM basic GROUP BY 1""",
-    "skew_join": f"""WITH {_AREAS}
-SELECT product_id, product_name, count(*) AS click_count FROM basic JOIN product_info USING (product_id) GROUP BY 1, 2""",
+    "salted_join": _JOINED,
+    "skew_join": _JOINED,
     "random_prefix_round_trip": """
 SELECT p_partkey AS product_id, p_name AS restored, TRUE AS prefixed FROM part""",
     "concat_string_field": """

@@ -1,6 +1,13 @@
 from visitlens.operators.aggregates import count_buckets, observed_count, salted_group_count
 from visitlens.operators.filters import any_of, between, equal_to, one_of
-from visitlens.operators.joins import bounded_broadcast, skew_join
+from visitlens.operators.joins import (
+    bounded_broadcast,
+    hot_keys,
+    materialized,
+    salted_join,
+    skew_join,
+    without_keys,
+)
 from visitlens.operators.topk import top_per_group, top_rows
 
 __all__ = [
@@ -9,10 +16,14 @@ __all__ = [
     "bounded_broadcast",
     "count_buckets",
     "equal_to",
+    "hot_keys",
+    "materialized",
     "observed_count",
     "one_of",
     "salted_group_count",
+    "salted_join",
     "skew_join",
     "top_per_group",
     "top_rows",
+    "without_keys",
 ]

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions.text import salt_of
+from visitlens.settings import scratch_dir
 
-# Narrow rows up to this number (a few MB) may be sent to every executor.
-BROADCAST_ROWS = 50_000
+# Narrow rows up to this number (some tens of MB) may be sent to every executor.
+BROADCAST_ROWS = 1_000_000
 
-# Column name reserved for salts.
+# Column names reserved for salting.
 SALT = "__salt"
+_KEY = "__key"
+_SALTS = "__salts"
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -21,23 +24,88 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
 
 
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back: computed once, its size known."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _key_hash(on: Sequence[str]) -> Column:
+    return F.xxhash64(*on)
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], parts: int = 1000) -> DataFrame:
+    """Keys owning more than 1/``parts`` of all rows, with the number of salts that cuts them to that.
+
+    A heavy-hitter sketch finds them in one pass without shuffling rows; by definition there are
+    fewer than ``parts``. A key the sketch misses costs time, never rows.
+    """
+    top = F.call_function("approx_top_k", F.col(_KEY), F.lit(parts), F.lit(16 * parts))
+    sketch = df.select(_key_hash(on).alias(_KEY)).agg(top.alias("top"), F.count(F.lit(1)).alias("rows"))
+    share = F.col("hot.count") * parts / F.col("rows")
+    return (
+        sketch.select("rows", F.explode("top").alias("hot"))
+        .where(share > 1)
+        .select(F.col("hot.item").alias(_KEY), F.ceil(share).cast("int").alias(_SALTS))
+    )
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    buckets: int = 16,
-    salt_on: Sequence[str] | None = None,
+    parts: int = 1000,
 ) -> DataFrame:
     """Equi-join whose left side may hold very many rows of one key.
 
-    Each left row gets a salt from a hash of ``salt_on`` (default: all its columns) and each right
-    row is repeated once per salt, so one key is spread over ``buckets`` tasks. Both sides are
-    then plain shuffles, which adaptive execution may split further. Any ``how`` that keeps only
-    matched or left rows gives the same rows as the unsalted join.
+    Only rows of hot keys are salted: a hot left row gets a salt from a hash of its values and its
+    input partition (the same again when a task is repeated), the right rows of that key are
+    repeated once per salt, and all other rows keep salt 0. The rows are those of the plain join
+    for any ``how`` that keeps matched or left rows.
     """
     if how not in ("inner", "left_outer", "left_semi", "left_anti"):
-        raise ValueError(f"skew_join cannot replicate the right side of a {how} join")
+        raise ValueError(f"skew_join cannot repeat the right side of a {how} join")
+    # Fewer than parts rows.
+    hot = F.broadcast(hot_keys(left, on, parts))
+
+    def with_salts(df: DataFrame) -> DataFrame:
+        return df.withColumn(_KEY, _key_hash(on)).join(hot, _KEY, "left_outer").drop(_KEY)
+
+    spread = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.col(_SALTS)).cast("int")
+    salted = with_salts(left).withColumn(SALT, F.coalesce(spread, F.lit(0))).drop(_SALTS)
+    every = F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1)
+    repeated = with_salts(right).withColumn(SALT, F.explode(every)).drop(_SALTS)
+    return salted.join(repeated, [*on, SALT], how).drop(SALT)
+
+
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    buckets: int = 10,
+    salt_on: Sequence[str] | None = None,
+) -> DataFrame:
+    """Equi-join with every left key spread over ``buckets`` and the whole right side repeated.
+
+    The blunt form, for a small right side of which every key is hot.
+    """
+    if how not in ("inner", "left_outer", "left_semi", "left_anti"):
+        raise ValueError(f"salted_join cannot repeat the right side of a {how} join")
     salted = left.withColumn(SALT, salt_of(list(salt_on or left.columns), buckets))
     repeated = right.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return salted.join(repeated, [*on, SALT], how).drop(SALT)
+
+
+def without_keys(left: DataFrame, keys: DataFrame, on: Sequence[str], label: str) -> DataFrame:
+    """Left rows whose key is not in ``keys``.
+
+    The keys are computed and counted first: few enough are broadcast, so that the left side is not
+    shuffled at all; otherwise the join spreads hot keys.
+    """
+    known = materialized(keys.select(*on).distinct(), label)
+    if known.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(known), list(on), "left_anti")
+    return skew_join(left, known, on, "left_anti")

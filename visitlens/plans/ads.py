@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.operators.joins import skew_join
+from visitlens.operators.joins import without_keys
 from visitlens.operators.topk import top_per_group
 
 BLACKLIST_CLICKS = 100
@@ -25,12 +25,9 @@ def blacklist(clicks: DataFrame, threshold: int = BLACKLIST_CLICKS) -> DataFrame
     return user_ad_clicks(clicks).where(F.col("click_count") >= threshold).select("user_id").distinct()
 
 
-def filter_blacklisted(clicks: DataFrame, listed: DataFrame, buckets: int = 16) -> DataFrame:
-    """Clicks of users that are not listed.
-
-    A user may own a large share of all clicks, so the join is salted where Spark has to shuffle.
-    """
-    return skew_join(clicks, listed.select("user_id"), ["user_id"], "left_anti", buckets)
+def filter_blacklisted(clicks: DataFrame, listed: DataFrame) -> DataFrame:
+    """Clicks of users that are not listed."""
+    return without_keys(clicks, listed, ["user_id"], "blacklist")
 
 
 def ad_stat(clicks: DataFrame) -> DataFrame:
@@ -40,15 +37,6 @@ def ad_stat(clicks: DataFrame) -> DataFrame:
     )
 
 
-def ad_stat_without_listed(clicks: DataFrame, listed: DataFrame) -> DataFrame:
-    """``ad_stat(filter_blacklisted(...))``, counting per user before the join instead of after it."""
-    per_user = with_date(clicks).groupBy("user_id", "date", "province", "city", "ad_id").agg(
-        F.count(F.lit(1)).alias("click_count")
-    )
-    kept = per_user.join(listed.select("user_id"), "user_id", "left_anti")
-    return kept.groupBy("date", "province", "city", "ad_id").agg(F.sum("click_count").alias("click_count"))
-
-
 def province_ad_clicks(stat: DataFrame) -> DataFrame:
     """Clicks per day, province and ad."""
     return stat.groupBy("date", "province", "ad_id").agg(F.sum("click_count").alias("click_count"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from visitlens.functions.numbers import to_long
 from visitlens.functions.text import split_csv
-from visitlens.operators.joins import bounded_broadcast
+from visitlens.operators.joins import bounded_broadcast, skew_join
 from visitlens.operators.topk import top_per_group, top_rows
 
 
@@ -34,30 +34,26 @@ def category_visits(actions: DataFrame) -> DataFrame:
     )
 
 
-def session_category_counts(actions: DataFrame) -> DataFrame:
-    """Clicks, orders and payments per session and category.
+def visits_in_sessions(actions: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``category_visits`` of the given sessions; a session may own a large share of the actions."""
+    columns = ["session_id", "click_category_id", "order_category_ids", "pay_category_ids"]
+    kept = skew_join(actions.select(*columns), sessions.select("session_id"), ["session_id"], "left_semi")
+    return category_visits(kept)
 
-    Counting before any join means a session with very many actions is a few rows afterwards.
-    """
+
+def category_counts(visits: DataFrame) -> DataFrame:
+    """Clicks, orders and payments per category, 0 where there is none."""
 
     def count_of(kind: str) -> Column:
         return F.count_if(F.col("kind") == kind).alias(f"{kind}_count")
 
-    return category_visits(actions).groupBy("session_id", "category_id").agg(
-        count_of("click"), count_of("order"), count_of("pay")
-    )
+    return visits.groupBy("category_id").agg(count_of("click"), count_of("order"), count_of("pay"))
 
 
-def counts_in_sessions(counts: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The per-session counts of the given sessions."""
-    return counts.join(sessions.select("session_id"), "session_id", "left_semi")
-
-
-def category_counts(counts: DataFrame) -> DataFrame:
-    """Clicks, orders and payments per category, 0 where there is none."""
-    return counts.groupBy("category_id").agg(
-        *[F.sum(name).alias(name) for name in ("click_count", "order_count", "pay_count")]
-    )
+def session_clicks(visits: DataFrame) -> DataFrame:
+    """Clicks per category and session."""
+    clicks = visits.where(F.col("kind") == "click")
+    return clicks.groupBy("category_id", "session_id").agg(F.count(F.lit(1)).alias("click_count"))
 
 
 def category_order() -> list[Column]:
@@ -65,19 +61,13 @@ def category_order() -> list[Column]:
     return [F.desc("click_count"), F.desc("order_count"), F.desc("pay_count"), F.asc("category_id")]
 
 
-def top_categories(counts: DataFrame, n: int = 10) -> DataFrame:
-    return top_rows(category_counts(counts), category_order(), n)
+def top_categories(visits: DataFrame, n: int = 10) -> DataFrame:
+    return top_rows(category_counts(visits), category_order(), n)
 
 
-def top_sessions_per_category(counts: DataFrame, top: DataFrame, categories: int = 10, n: int = 10) -> DataFrame:
+def top_sessions_per_category(visits: DataFrame, top: DataFrame, categories: int = 10, n: int = 10) -> DataFrame:
     """The ``n`` sessions with most clicks in each of the ``categories`` top categories."""
     wanted = bounded_broadcast(top.select("category_id"), categories)
-    clicks = counts.where(F.col("click_count") > 0).join(wanted, "category_id", "left_semi")
-    ranked = top_per_group(
-        clicks.select("category_id", "session_id", "click_count"),
-        ["category_id"],
-        [F.desc("click_count"), F.asc("session_id")],
-        n,
-        unique="session_id",
-    )
-    return ranked.drop("rank")
+    clicks = session_clicks(visits.join(wanted, "category_id", "left_semi"))
+    order = [F.desc("click_count"), F.asc("session_id")]
+    return top_per_group(clicks, ["category_id"], order, n, unique="session_id").drop("rank")
