@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from visitlens.functions.text import salt_of
 from visitlens.settings import scratch_dir
 
-# Narrow rows up to this number (some tens of MB) may be sent to every executor.
-BROADCAST_ROWS = 1_000_000
+# Rows of one key column, up to this number (some tens of MB), may be sent to every executor.
+BROADCAST_ROWS = 500_000
 
 # Column names reserved for salting.
 SALT = "__salt"

@@ -9,7 +9,7 @@ from visitlens.functions.dates import minus_seconds
 from visitlens.functions.numbers import half_up_ratio
 from visitlens.operators.aggregates import count_buckets
 from visitlens.operators.filters import all_set, any_of, between, equal_to, one_of
-from visitlens.operators.joins import bounded_broadcast
+from visitlens.operators.joins import BROADCAST_ROWS, skew_join
 from visitlens.operators.topk import top_per_group
 from visitlens.params import TaskParams
 from visitlens.schemas import USER_INFO, USER_VISIT_ACTION, require
@@ -204,18 +204,24 @@ def extract_sessions(
     The lists are built for the drawn sessions only.
     """
     drawn = extract_session_ids(qualified_sessions(actions, users, params), total, seed)
-    lists = actions_of_sessions(actions, drawn, total).groupBy("session_id").agg(
+    return extract_sessions_of(actions, drawn, total)
+
+
+def extract_sessions_of(actions: DataFrame, drawn: DataFrame, total: int) -> DataFrame:
+    """Start, keywords and clicked categories of the drawn sessions, of which there are at most ``total``."""
+    return actions_of_sessions(actions, drawn, total).groupBy("session_id").agg(
         F.min("action_time").alias("start_time"),
         F.array_sort(F.collect_set(F.nullif(F.col("search_keyword"), F.lit("")))).alias("search_keywords"),
         F.array_sort(F.collect_set("click_category_id")).alias("click_category_ids"),
     )
-    return lists
 
 
 def actions_of_sessions(actions: DataFrame, sessions: DataFrame, max_sessions: int) -> DataFrame:
     """Actions of the given sessions, of which there are at most ``max_sessions``."""
-    wanted = bounded_broadcast(sessions.select("session_id").distinct(), max_sessions)
-    return actions.join(wanted, "session_id", "left_semi")
+    wanted = sessions.select("session_id").distinct()
+    if max_sessions <= BROADCAST_ROWS:
+        return actions.join(F.broadcast(wanted), "session_id", "left_semi")
+    return skew_join(actions, wanted, ["session_id"], "left_semi")
 
 
 def session_details(actions: DataFrame, sessions: DataFrame, max_sessions: int) -> DataFrame:

@@ -15,6 +15,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Sets per session are small, so more of them fit before an aggregate has to sort.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
     # Streaming state larger than the heap.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
