@@ -381,6 +381,19 @@ def stream_click_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_date(read_result(spark, "ad_click_trend", folder))
 
 
+def stream_window_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks, folder = _stream(spark, sf_dir, "window-trend")
+
+    def keep(totals: DataFrame, batch_id: int) -> None:
+        totals.write.mode("overwrite").parquet(f"{folder}/totals/batch_id={batch_id}")
+
+    running = ads_stream.running_click_trend(clicks)
+    ads_stream.start(running, keep, f"{folder}/state", "update", once=True).awaitTermination()
+    totals = spark.read.parquet(f"{folder}/totals")
+    newest = totals.groupBy("date", "hour", "minute", "ad_id").agg(F.max_by("click_count", "batch_id").alias("click_count"))
+    return _text_date(newest)
+
+
 def _stream_users(spark: SparkSession, sf_dir: str) -> str:
     clicks, folder = _stream(spark, sf_dir, "blacklist")
     blacklist_stream.start_accepted(clicks, folder, f"{folder}/state", LISTED_FROM, once=True).awaitTermination()
@@ -464,6 +477,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_ad_stat": stream_ad_stat,
         "stream_province_top3": stream_province_top3,
         "stream_click_trend": stream_click_trend,
+        "stream_window_trend": stream_window_trend,
         "stream_blacklist": stream_blacklist,
         "stream_user_click_count": stream_user_click_count,
         "page_flow_conversion": page_flow_conversion,

@@ -299,6 +299,7 @@ FROM w GROUP BY 1, 2, 3""",
     "stream_ad_stat": _STAT,
     "stream_province_top3": _TOP_ADS,
     "stream_click_trend": _TREND,
+    "stream_window_trend": _TREND,
     "stream_blacklist": _LISTED,
     "stream_user_click_count": f"WITH {_ADS} SELECT {_D}, user_id, ad_id, click_count FROM user_count",
     "page_flow_conversion": f"""WITH {_ACTIONS},

@@ -69,7 +69,7 @@ RESULT_TABLES = {
         ("date", "province", "ad_id", "click_count"), "latest_group", ("date", "province")
     ),
     "ad_click_trend": ResultTable(
-        ("date", "hour", "minute", "ad_id", "click_count"), "latest", ("date", "hour", "minute", "ad_id")
+        ("date", "hour", "minute", "ad_id", "click_count"), "sum", ("date", "hour", "minute", "ad_id")
     ),
 }
 
@@ -101,17 +101,17 @@ def _settled(rows: DataFrame, name: str) -> DataFrame:
     table = RESULT_TABLES[name]
     keys, value = list(table.key), table.columns[-1]
     if table.rule == "sum":
-        settled = rows.groupBy(*keys).agg(F.sum(value).alias(value), F.max(BATCH).alias(BATCH))
+        settled = rows.groupBy(*keys).agg(F.sum(value).alias(value))
     elif table.rule == "latest":
-        settled = rows.groupBy(*keys).agg(F.max_by(value, BATCH).alias(value), F.max(BATCH).alias(BATCH))
+        settled = rows.groupBy(*keys).agg(F.max_by(value, BATCH).alias(value))
     elif table.rule == "latest_group":
         newest = rows.groupBy(*keys).agg(F.max(BATCH).alias(BATCH))
         settled = rows.join(newest, [*keys, BATCH], "left_semi")
     elif table.rule == "distinct":
-        settled = rows.groupBy(*keys).agg(F.max(BATCH).alias(BATCH))
+        settled = rows.select(*keys).distinct()
     else:
         raise ValueError(f"{name} is not a streamed table")
-    return settled.select(*table.columns, BATCH)
+    return settled.select(*table.columns)
 
 
 def read_result(spark: SparkSession, name: str, root: str) -> DataFrame:
@@ -123,9 +123,12 @@ def read_result(spark: SparkSession, name: str, root: str) -> DataFrame:
 
 
 def fold_result(spark: SparkSession, name: str, root: str, new_root: str) -> None:
-    """Copy the rows of a streamed table that count to ``new_root``, as batch folders of their own.
+    """Copy a streamed table to ``new_root`` with all batches but the last folded into one.
 
-    Run between restarts of a stream that has written many batches, then let it go on there.
+    The last batch stays as it is, because a restarted stream may write it again. Run while the
+    stream is stopped, then let it go on at ``new_root``.
     """
-    folded = _settled(spark.read.parquet(f"{root}/{name}"), name)
-    folded.repartition(BATCH).write.partitionBy(BATCH).parquet(f"{new_root}/{name}")
+    rows = spark.read.parquet(f"{root}/{name}")
+    last = rows.agg(F.max(BATCH)).first()[0]
+    write_batch(_settled(rows.where(F.col(BATCH) < last), name), name, new_root, -1)
+    write_batch(rows.where(F.col(BATCH) == last), name, new_root, last)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from visitlens.plans.ads import province_top_ads, trend_columns
+from visitlens.plans.ads import ad_click_trend, province_top_ads, trend_columns
 from visitlens.sinks.results import write_batch
 
 # Fixed value: time between micro-batches.
@@ -59,7 +59,10 @@ def running_ad_stat(clicks: DataFrame, late: str | None = None) -> DataFrame:
 
 
 def running_click_trend(clicks: DataFrame, late: str | None = "60 minutes") -> DataFrame:
-    """Running clicks per minute and ad; a minute stays open until ``late`` past its end."""
+    """Running clicks per minute and ad as a stream of totals.
+
+    A minute's state is dropped ``late`` past its end, and clicks that come after that with it.
+    """
     if late is not None:
         clicks = clicks.withWatermark("ts", late)
     counts = clicks.groupBy(F.window("ts", "1 minute").alias("w"), "ad_id").agg(
@@ -103,14 +106,11 @@ def start_province_top3(
     )
 
 
-def start_click_trend(
-    clicks: DataFrame, root: str, checkpoint: str, late: str | None = "60 minutes", once: bool = False
-) -> StreamingQuery:
-    """Keep ``ad_click_trend`` up to date; each batch writes the minutes that changed."""
+def start_click_trend(clicks: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep ``ad_click_trend`` up to date; each batch adds its own clicks per minute.
+
+    No state is kept, so a click counts in its minute however late it comes.
+    """
     return start(
-        running_click_trend(clicks, late),
-        lambda df, i: write_batch(df, "ad_click_trend", root, i),
-        checkpoint,
-        "update",
-        once,
+        clicks, lambda df, i: write_batch(ad_click_trend(df), "ad_click_trend", root, i), checkpoint, "append", once
     )
