@@ -25,24 +25,28 @@ def page_steps(actions: DataFrame, piece: str = "hour") -> DataFrame:
         .withColumn("piece", F.date_trunc(piece, "action_time"))
     )
     here = Window.partitionBy("session_id", "piece").orderBy("action_time", "page_id")
-    inside = views.select(
-        F.col("page_id").alias("from_page"), F.lead("page_id").over(here).alias("to_page"), "n"
+    placed = views.select(
+        "session_id",
+        "action_time",
+        F.col("page_id").alias("from_page"),
+        "n",
+        F.lag("page_id").over(here).alias("before"),
+        F.lead("page_id").over(here).alias("after"),
     )
     # A page seen n times at one time steps n-1 times to itself, then once to what follows.
     repeated = F.struct(F.col("from_page").alias("to_page"), (F.col("n") - 1).alias("steps"))
-    onward = F.struct("to_page", F.lit(1).cast("bigint").alias("steps"))
-    steps_inside = inside.select("from_page", F.inline(F.array(repeated, onward)))
+    onward = F.struct(F.col("after").alias("to_page"), F.lit(1).cast("bigint").alias("steps"))
+    steps_inside = placed.select("from_page", F.inline(F.array(repeated, onward)))
 
-    position = F.struct("action_time", "page_id")
-    pieces = views.groupBy("session_id", "piece").agg(
-        F.min(position).page_id.alias("first_page"), F.max(position).page_id.alias("last_page")
-    )
-    across = Window.partitionBy("session_id").orderBy("piece")
-    steps_across = pieces.select(
-        F.col("last_page").alias("from_page"),
-        F.lead("first_page").over(across).alias("to_page"),
-        F.lit(1).cast("bigint").alias("steps"),
-    )
+    ends = placed.where(F.col("before").isNull() | F.col("after").isNull())
+    across = Window.partitionBy("session_id").orderBy("action_time", "from_page")
+    steps_across = ends.select(
+        "from_page",
+        F.lead("from_page").over(across).alias("to_page"),
+        # Always 1; using n here as well lets both parts read one shuffle of the views.
+        F.least("n", F.lit(1)).alias("steps"),
+        "after",
+    ).where(F.col("after").isNull()).drop("after")
     return (
         steps_inside.unionByName(steps_across)
         .where(F.col("to_page").isNotNull() & (F.col("steps") > 0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitlens.functions.dates import minus_seconds
@@ -169,14 +169,16 @@ def extraction_quota(sessions: DataFrame, total: int) -> DataFrame:
     Both steps round down, so a wide date range may leave an hour with none.
     """
     hours = sessions_by_hour(sessions)
-    days = hours.groupBy("day").agg(F.sum("session_count").alias("day_count"))
-    per_day = F.floor(F.lit(total) / days.agg(F.count(F.lit(1))).scalar())
+    # One row per hour of the date range: few enough for a window over all of them.
+    days = F.size(F.collect_set("day").over(Window.partitionBy()))
     share = F.col("session_count").cast("double") / F.col("day_count").cast("double")
-    return hours.join(days, "day").select(
+    return hours.withColumns(
+        {"day_count": F.sum("session_count").over(Window.partitionBy("day")), "per_day": F.floor(F.lit(total) / days)}
+    ).select(
         "day",
         "hour",
         "session_count",
-        F.least(F.floor(share * per_day), F.col("session_count")).alias("quota"),
+        F.least(F.floor(share * F.col("per_day")), F.col("session_count")).alias("quota"),
     )
 
 
