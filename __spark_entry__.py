@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from visitlens.operators import (
     skew_join,
 )
 from visitlens.params import TaskParams, task_param_fields
-from visitlens.plans import ads, categories, pages, products, sessions
+from visitlens.plans import ads, categories, jobs, pages, products, sessions
 from visitlens.settings import prepare, scratch_dir
 from visitlens.sinks import read_result
 from visitlens.sources import actions_in_range, clicks_in_range, parse_ad_log, rejected_ad_log, views
@@ -410,6 +411,26 @@ def stream_user_click_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_date(read_result(spark, "ad_user_click_count", _stream_users(spark, sf_dir)))
 
 
+# Whole jobs: written to result tables and read back
+
+
+def session_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per result table of the session job."""
+    actions, folder = views.user_visit_action(prepare(spark), sf_dir, RANGE), scratch_dir(spark, "session-job")
+    jobs.run_session_job(actions, views.user_info(spark, sf_dir), RANGE, folder, 1, EXTRACT_TOTAL)
+    names = ("session_aggr_stat", "session_random_extract", "session_detail", "top10_category", "top10_session")
+    tables = [read_result(spark, name, folder).select(F.lit(name).alias("table_name"), "task_id") for name in names]
+    return reduce(DataFrame.unionByName, tables).groupBy("table_name", "task_id").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def product_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_dir(spark, "product-job")
+    actions = views.user_visit_action(prepare(spark), sf_dir, RANGE)
+    cities, goods = views.city_info(spark, sf_dir), views.product_info(spark, sf_dir)
+    jobs.run_product_job(actions, cities, goods, RANGE, folder, 2, levels=views.REGION_LEVELS)
+    return read_result(spark, "area_top3_product", folder)
+
+
 # Pages
 
 
@@ -480,6 +501,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_window_trend": stream_window_trend,
         "stream_blacklist": stream_blacklist,
         "stream_user_click_count": stream_user_click_count,
+        "session_job": session_job,
+        "product_job": product_job,
         "page_flow_conversion": page_flow_conversion,
         "page_steps": page_steps,
     }

@@ -194,6 +194,13 @@ _LISTED = f"WITH {_ADS} SELECT user_id FROM listed"
 _JOINED = f"""WITH {_AREAS}
 SELECT product_id, product_name, count(*) AS click_count FROM basic JOIN product_info USING (product_id) GROUP BY 1, 2"""
 
+_TOP_PRODUCTS = f"""WITH {_AREAS}
+SELECT area, CASE WHEN area IN ('ASIA', 'EUROPE') THEN 'A Level' WHEN area = 'AMERICA' THEN 'B Level'
+                  ELSE 'D Level' END AS area_level,
+       product_id, click_count, city_infos, product_name, product_status
+FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY click_count DESC, product_id) AS rn FROM full_count)
+WHERE rn <= 3"""
+
 ORACLES: dict[str, str] = {
     "actions_date_range": f"""WITH {_ACTIONS}
 SELECT {_DETAIL_COLUMNS}, strftime(date, '%Y-%m-%d') AS date, city_id FROM action""",
@@ -231,12 +238,7 @@ SELECT {_DETAIL_COLUMNS} FROM action WHERE session_id IN (SELECT session_id FROM
     "click_product_basic": f"WITH {_AREAS} SELECT city_id, city_name, area, product_id FROM basic",
     "area_product_click_count": f"WITH {_AREAS} SELECT * FROM area_count",
     "area_product_full": f"WITH {_AREAS} SELECT * FROM full_count",
-    "area_top3_product": f"""WITH {_AREAS}
-SELECT area, CASE WHEN area IN ('ASIA', 'EUROPE') THEN 'A Level' WHEN area = 'AMERICA' THEN 'B Level'
-                  ELSE 'D Level' END AS area_level,
-       product_id, click_count, city_infos, product_name, product_status
-FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY click_count DESC, product_id) AS rn FROM full_count)
-WHERE rn <= 3""",
+    "area_top3_product": _TOP_PRODUCTS,
     "salted_group_count": f"""WITH {_AREAS}
 SELECT CAST(product_id AS VARCHAR) || ':' || area AS product_area, count(*) AS click_count FROM basic GROUP BY 1""",
     "salted_join": _JOINED,
@@ -302,6 +304,31 @@ FROM w GROUP BY 1, 2, 3""",
     "stream_window_trend": _TREND,
     "stream_blacklist": _LISTED,
     "stream_user_click_count": f"WITH {_ADS} SELECT {_D}, user_id, ad_id, click_count FROM user_count",
+    "product_job": f"SELECT CAST(2 AS BIGINT) AS task_id, * FROM ({_TOP_PRODUCTS})",
+    "session_job": f"""WITH {_CATEGORIES},
+by_hour AS (
+  SELECT CAST(start_at AS DATE) AS d, strftime(start_at, '%H') AS h, count(*) AS n FROM session GROUP BY 1, 2
+),
+by_day AS (SELECT d, sum(n) AS day_n FROM by_hour GROUP BY d),
+quota AS (
+  SELECT d, h, least(CAST(floor(CAST(n AS DOUBLE) / CAST(day_n AS DOUBLE)
+         * floor(CAST(1000 AS DOUBLE) / (SELECT count(*) FROM by_day))) AS BIGINT), n) AS quota
+  FROM by_hour JOIN by_day USING (d)
+),
+drawn AS (
+  SELECT session_id, d, h FROM (
+    SELECT session_id, CAST(start_at AS DATE) AS d, strftime(start_at, '%H') AS h,
+           row_number() OVER (PARTITION BY CAST(start_at AS DATE), strftime(start_at, '%H')
+                              ORDER BY md5('0' || session_id), session_id) AS rn
+    FROM session) JOIN quota USING (d, h) WHERE rn <= quota
+)
+SELECT 'session_aggr_stat' AS table_name, CAST(1 AS BIGINT) AS task_id, CAST(1 AS BIGINT) AS row_count
+UNION ALL SELECT 'session_random_extract', 1, count(*) FROM drawn
+UNION ALL SELECT 'session_detail', 1,
+  (SELECT count(*) FROM action WHERE session_id IN (SELECT session_id FROM drawn))
+  + (SELECT count(*) FROM action WHERE session_id IN (SELECT session_id FROM ranked WHERE rn <= 10))
+UNION ALL SELECT 'top10_category', 1, count(*) FROM top10
+UNION ALL SELECT 'top10_session', 1, count(*) FROM ranked WHERE rn <= 10""",
     "page_flow_conversion": f"""WITH {_ACTIONS},
 step AS (
   SELECT page_id AS a, lead(page_id) OVER (PARTITION BY session_id ORDER BY action_time, page_id) AS b FROM action

@@ -63,7 +63,8 @@ def skew_join(
     Only rows of hot keys are salted: a hot left row gets a salt from a hash of its values and its
     input partition (the same again when a task is repeated), the right rows of that key are
     repeated once per salt, and all other rows keep salt 0. The rows are those of the plain join
-    for any ``how`` that keeps matched or left rows.
+    for any ``how`` that keeps matched or left rows. The left side is read twice, the first time
+    for its key columns only.
     """
     if how not in ("inner", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot repeat the right side of a {how} join")
@@ -73,7 +74,8 @@ def skew_join(
     def with_salts(df: DataFrame) -> DataFrame:
         return df.withColumn(_KEY, _key_hash(on)).join(hot, _KEY, "left_outer").drop(_KEY)
 
-    spread = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.col(_SALTS)).cast("int")
+    values = [f.name for f in left.schema if f.dataType.typeName() not in ("map", "variant")]
+    spread = F.pmod(F.xxhash64(*values, F.spark_partition_id()), F.col(_SALTS)).cast("int")
     salted = with_salts(left).withColumn(SALT, F.coalesce(spread, F.lit(0))).drop(_SALTS)
     every = F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1)
     repeated = with_salts(right).withColumn(SALT, F.explode(every)).drop(_SALTS)

@@ -27,7 +27,7 @@ def top_per_group(
     n: int,
     rank: str = "rank",
     unique: str | None = None,
-    buckets: int = 64,
+    buckets: int = 256,
 ) -> DataFrame:
     """Rows with ``row_number() <= n`` within ``keys``; ``order`` must leave no ties.
 

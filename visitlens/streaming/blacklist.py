@@ -108,7 +108,11 @@ def accepted_clicks(clicks: DataFrame, threshold: int = BLACKLIST_CLICKS) -> Dat
 
 
 def start_accepted(
-    clicks: DataFrame, root: str, checkpoint: str, threshold: int = BLACKLIST_CLICKS, once: bool = False
+    clicks: DataFrame,
+    root: str,
+    checkpoint: str,
+    threshold: int = BLACKLIST_CLICKS,
+    once: bool = False,
 ) -> StreamingQuery:
     """Write the accepted counts as a file stream below ``root``, each batch exactly once."""
     return (
