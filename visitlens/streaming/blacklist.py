@@ -7,10 +7,12 @@ counts its own clicks, so a user with very many clicks reaches the keyed step as
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -19,6 +21,9 @@ from visitlens.plans.ads import BLACKLIST_CLICKS
 from visitlens.sinks.results import write_batch
 from visitlens.streaming.ads import batch_trigger, start
 
+# Sent to the Python workers with the job, so that they need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _KEY = ["user_id", "date", "province", "city", "ad_id"]
 _COUNTS = "user_id bigint, date date, province string, city string, ad_id bigint, click_count bigint"
 
