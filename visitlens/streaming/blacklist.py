@@ -1,7 +1,7 @@
 """The dynamic blacklist: clicks of a batch are filtered by the users listed in earlier batches.
 
-Everything the rule needs belongs to one user, so the stream is keyed by user with two pieces of
-state: whether the user is listed, and the clicks so far per (day, ad). Before that each input task
+Everything the rule needs belongs to one user, so the stream is keyed by user, and its state is
+whether the user is listed, and until then the clicks so far per (day, ad). Before that each input task
 counts its own clicks, so a user with very many clicks reaches the keyed step as a few rows per task.
 """
 
@@ -56,30 +56,33 @@ class BlacklistProcessor(StatefulProcessor):
         self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.listed = handle.getValueState("listed", "flag boolean")
-        self.counts = handle.getMapState("counts", "date date, ad_id bigint", "click_count bigint")
+        # One value per user, because every access to state is a call from Python to the JVM.
+        self.user = handle.getValueState(
+            "user", "listed boolean, days array<int>, ads array<bigint>, clicks array<bigint>"
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        if self.listed.exists():
+        known = self.user.get()
+        if known is not None and known[0]:
             return
-        added: dict[tuple, int] = {}
+        counts: dict[tuple, int] = {}
+        if known is not None:
+            counts = {(day, ad): n for day, ad, n in zip(*known[1:], strict=True)}
         accepted: dict[tuple, int] = {}
+        reached = False
         for frame in rows:
             for row in frame[[*_KEY[1:], "click_count"]].itertuples(index=False):
-                day_ad = (row.date, row.ad_id)
-                added[day_ad] = added.get(day_ad, 0) + row.click_count
                 place = (row.date, row.province, row.city, row.ad_id)
                 accepted[place] = accepted.get(place, 0) + row.click_count
-        reached = False
-        for day_ad, clicks in added.items():
-            before = self.counts.getValue(day_ad)
-            total = clicks + (before[0] if before is not None else 0)
-            self.counts.updateValue(day_ad, (total,))
-            reached = reached or total >= self.threshold
+                day_ad = (row.date.toordinal(), row.ad_id)
+                counts[day_ad] = counts.get(day_ad, 0) + row.click_count
+                reached = reached or counts[day_ad] >= self.threshold
         if reached:
             # No later click of the user counts, so only the flag has to stay.
-            self.listed.update((True,))
-            self.counts.clear()
+            self.user.update((True, [], [], []))
+        else:
+            days_ads = list(counts)
+            self.user.update((False, [d for d, _ in days_ads], [a for _, a in days_ads], list(counts.values())))
         yield pd.DataFrame(
             [(key[0], *place, clicks, reached) for place, clicks in accepted.items()],
             columns=[*_KEY, "click_count", "listed"],
