@@ -29,6 +29,18 @@ from visitlens.sources import actions_in_range, clicks_in_range, parse_ad_log, r
 from visitlens.streaming import ads as ads_stream
 from visitlens.streaming import blacklist as blacklist_stream
 
+try:  # the training-data operators may be absent
+    import corpus_pipeline
+    from visitlens.llm import queries as llm_queries
+except ImportError:
+    LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    LLM_ORACLES: dict[str, str] = {}
+else:
+    LLM_QUERIES = {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run}
+    LLM_ORACLES = dict(llm_queries.ORACLES)
+    if corpus_pipeline.ORACLE_SQL is not None:
+        LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 RANGE = TaskParams(start_date=date(2024, 1, 3), end_date=date(2024, 1, 25))
 FILTERED = TaskParams(
     start_date=RANGE.start_date,
@@ -505,9 +517,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "product_job": product_job,
         "page_flow_conversion": page_flow_conversion,
         "page_steps": page_steps,
+        **LLM_QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The same queries in SQL."""
-    return dict(ORACLES)
+    return {**ORACLES, **LLM_ORACLES}
