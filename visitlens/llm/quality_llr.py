@@ -72,25 +72,37 @@ def repeat_words(hashes: Column) -> Column:
     return let(window, count)
 
 
-def base_counts(rows: DataFrame) -> DataFrame:
-    """``rows`` (with text) plus words' hashes ``wh`` and the base counts."""
-    text = text_or_empty("text")
+def _counts(text: Column, words: Column, hashes: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    split = rows.withColumn("words", words_of(text)).withColumn("dup", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))))
-    hashed = split.withColumn("wh", _hashes(F.col("words")))
-    return hashed.select(
-        *rows.columns,
-        "wh",
-        F.size("wh").cast("bigint").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
-        F.regexp_count(text, F.lit(SYMBOL)).cast("bigint").alias("n_symbols"),
-        F.col("dup").cast("bigint").alias("n_dup_lines"),
-        repeat_words(F.col("wh")).cast("bigint").alias("n_repeat_words"),
-    )
+    counts = {
+        "n_words": F.size(words),
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOL)),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        "n_repeat_words": repeat_words(hashes),
+    }
+    return {name: value.cast("bigint") for name, value in counts.items()}
+
+
+def verdict(text: Column, ratios: list[float]) -> Column:
+    """A struct of the base counts, base_failed, score and kept. Every intermediate value is bound once, so the
+    expression costs the same wherever the optimiser puts it, in a projection or in a filter."""
+
+    def decide(c: Column) -> Column:
+        failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > REPEAT_PERCENT * c["n_words"])
+        least = F.lit(LEAST) - F.lit(MARGIN) / F.sqrt(F.greatest(c["n_words"], F.lit(1)))
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")
+        return F.struct(
+            *[c[n].alias(n) for n in names],
+            failed.alias("base_failed"),
+            (~failed & (c["score"] >= least)).alias("kept"),
+        )
 
+    def measure(words: Column, hashes: Column) -> Column:
+        counts = _counts(text, words, hashes)
+        return F.struct(*[v.alias(k) for k, v in counts.items()], mean_ratio(hashes, ratios).alias("score"))
 
-def base_failed() -> Column:
-    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    return let(words_of(text), lambda w: let(_hashes(w), lambda h: let(measure(w, h), decide)))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
@@ -101,11 +113,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """
     ids = trusted.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = ids.limit(TRUSTED).withColumn("target", F.lit(1))
-    hashed = docs.select("doc_id", _hashes(words_of(text_or_empty("text"))).alias("wh"))
-    flagged = hashed.join(F.broadcast(ids), "doc_id", "left")
-    cells = F.transform("wh", lambda x, i: F.struct(_cell(x).alias("u"), _next_cell(F.col("wh"), x, i).alias("b")))
-    pairs = flagged.select(F.coalesce("target", F.lit(0)).alias("target"), F.explode(cells).alias("c"))
-    # Unigram and bigram cells of a word are counted together first, which halves the rows to explode.
+    words = _hashes(words_of(text_or_empty("text")))
+    one = lambda h: F.transform(h, lambda x, i: F.struct(_cell(x).alias("u"), _next_cell(h, x, i).alias("b")))
+    cells = docs.select("doc_id", let(words, one).alias("cells"))
+    flagged = cells.join(F.broadcast(ids), "doc_id", "left")
+    pairs = flagged.select(F.coalesce("target", F.lit(0)).alias("target"), F.explode("cells").alias("c"))
     both = pairs.select("target", F.explode(F.array("c.u", "c.b")).alias("cell"))
     counts = both.groupBy("cell").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = [0] * (2 * CELLS), [0] * (2 * CELLS)
@@ -129,36 +141,27 @@ def mean_ratio(hashes: Column, ratios: list[float]) -> Column:
     return F.when(F.size(hashes) == 0, F.lit(0.0)).otherwise(total / F.size(hashes))
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, any columns) plus base counts, score, base_failed and kept."""
-    trusted = labels.where("quality = 1").select("doc_id")
-    ratios = log_ratios(docs, trusted)
-    scored = base_counts(docs).withColumn("score", mean_ratio(F.col("wh"), ratios)).drop("wh")
-    failed = scored.withColumn("base_failed", base_failed())
-    least = F.lit(LEAST) - F.lit(MARGIN) / F.sqrt(F.greatest("n_words", F.lit(1)))
-    return failed.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
+def fitted(docs: DataFrame, labels: DataFrame) -> list[float]:
+    """``log_ratios`` with the documents labelled 1 in ``labels`` (doc_id, quality) as the target."""
+    good = columns_of(labels, doc_id="doc_id", quality="quality").where("quality = 1")
+    return log_ratios(docs, good.select("doc_id"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, the base counts, base_failed, score, kept.
+    """One row per document: doc_id, the base counts, base_failed, kept, score.
 
     A null or empty text has no words and fails the base rules. Repeated rows each get their own row, null
     ids too (they are never trusted). Labels that name no document, conflict (one 1 is enough) or are missing
     altogether are fine: without a target every score is 0 and the base rules alone decide.
     """
-    own = judged(columns_of(docs, doc_id=id_col, text=text_col), columns_of(labels, doc_id="doc_id", quality="quality"))
-    return own.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
-    )
+    own = columns_of(docs, doc_id=id_col, text=text_col)
+    found = own.select("doc_id", verdict(text_or_empty("text"), fitted(own, labels)).alias("v"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *[f"v.{c}" for c in (*counts, "base_failed", "kept", "score")])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns they came with, whatever their names."""
-    names = docs.columns
-    own = docs.select(
-        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("all"),
-        F.col(f"`{id_col}`").alias("doc_id"),
-        F.col(f"`{text_col}`").alias("text"),
-    )
-    kept = judged(own, columns_of(labels, doc_id="doc_id", quality="quality")).where("kept")
-    return kept.select("all.*").toDF(*names)
+    """The rows of ``docs`` that the rules keep, all their columns, whatever their names."""
+    own = columns_of(docs, doc_id=id_col, text=text_col)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.where(verdict(text, fitted(own, labels))["kept"])
