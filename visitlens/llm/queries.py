@@ -5,29 +5,71 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from visitlens.llm import packing, quality_llr, secret_scan, simhash
+from pyspark.sql import functions as F
+
+from visitlens.llm import (
+    embed_dedup,
+    html_main,
+    packing,
+    pii_disclosure,
+    quality_llr,
+    secret_scan,
+    sentencepiece_viterbi,
+    sharding,
+    simhash,
+    warc_fixity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def word_tokenizer() -> str:
-    """Where the word tokenizer's file lies; the same place on every machine."""
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; the same place on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def word_tokenizer() -> str:
+    return tokenizer_file("word_bpe_49k.json")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    return sentencepiece_viterbi.round_trips(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_texts(table(spark, sf_dir, "pages"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, audited against a replica in which the first character of one page in 16, by
+    the page's own hash, was overwritten."""
+    pages = table(spark, sf_dir, "pages")
+    hit = F.sha2(F.col("html").cast("binary"), 256).startswith("0")
+    damaged = F.when(hit, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
+    return warc_fixity.audit_pages(pages, pages.withColumn("html", damaged))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,11 +78,46 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_disclosure.personal_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_main_text": op2_main_text,
     "op3_packing": op3_packing,
+    "op4_sharding": op4_sharding,
     "op5_secrets": op5_secrets,
+    "op6_embeddings": op6_embeddings,
+    "op7_warc_fixity": op7_warc_fixity,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_personal_data": op10_personal_data,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc_fixity": r"""
+        WITH blocks AS (
+            SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+                   'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8'
+                   || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS http
+            FROM pages
+        ), records AS (
+            SELECT page_id, html, cast(page_id // 4096 AS varchar) AS file_id,
+                   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+                   || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+                   || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10)
+                   || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+                   || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10)
+                   || 'Content-Length: ' || strlen(http) || chr(13) || chr(10) || chr(13) || chr(10)
+                   || http || chr(13) || chr(10) || chr(13) || chr(10) AS record
+            FROM blocks
+        )
+        SELECT page_id, file_id,
+               cast(coalesce(sum(strlen(record)) OVER (PARTITION BY file_id ORDER BY page_id
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS "offset",
+               strlen(record) AS length, sha256(record) AS sha256,
+               CASE WHEN sha256(html) LIKE '0%' THEN 'changed' ELSE 'sound' END AS fault
+        FROM records
+    """,
+}
