@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,66 +27,176 @@ from visitlens.llm.common import columns_of, saved, small_batches, text_or_empty
 WINDOW, END_ID = 2048, 1
 #: Sources with a queue of their own; the smaller ones beyond it share one more, so the table of queues is bounded.
 OWN_QUEUES = 255
-#: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Parts of words whose ids a worker remembers.
+REMEMBERED = 600_000
+#: Bytes of text that are cut into words at once.
+PORTION = 8 << 20
 
 _PIECES = "doc_id: bigint, source: string, start: bigint, length: bigint, ids_crc32: bigint, doc_tokens: bigint, sequence_id: bigint, offset: bigint"
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Ids of texts as unsigned little-endian 32-bit numbers, for a vocabulary that never joins across spaces.
+def _byte_letters() -> list[str]:
+    """The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others
+    follow from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
-    The tokenizer drops white space and splits at it, so the ids of a text are those of its parts between
-    spaces and line ends, one after the other; ids of frequent parts are remembered.
+
+def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Ids of texts as 16-bit numbers, for a vocabulary that never joins across spaces.
+
+    The tokenizer drops white space and splits at it, so the ids of a text are those of its words, one after the
+    other. Texts are cut into words, the different words into the parts (letters, a digit, signs) that the
+    tokenizer's own pattern gives, and only parts that are not remembered go through the merges; texts are then
+    put together from their numbers. Words beyond Latin-1, with control characters or with what could be a
+    special token go through the whole tokenizer.
     """
+    import json
+    from array import array
+
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {"": b""}
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > REMEMBERED:
+    setup = json.loads(tokenizer.to_str())
+    splitter, bytewise = setup["pre_tokenizer"]["pretokenizers"]
+    steps = [n["type"] for n in setup["normalizer"]["normalizers"]]
+    if steps != ["NFC", "Replace", "Lowercase"] or not splitter["invert"] or bytewise["type"] != "ByteLevel":
+        raise ValueError("a byte-level tokenizer that lower-cases and keeps only what its pattern matches is asked for")
+    if tokenizer.get_vocab_size() > 1 << 16:
+        raise ValueError("ids have to fit into 16 bits")
+    pattern = f"({splitter['pattern']['Regex']})"
+    setup["normalizer"] = setup["pre_tokenizer"] = None
+    merges = Tokenizer.from_str(json.dumps(setup))
+    letters = _byte_letters()
+    whole = "\0"  # goes before words for the whole tokenizer
+    known: dict[str, bytes] = {}
+
+    def written(part: str) -> str:
+        return part if part.isascii() else "".join([letters[b] for b in part.encode()])
+
+    def learn(parts: list[str]) -> None:
+        for by, names, forms in (
+            (merges, own := [p for p in parts if p[0] != whole], map(written, own)),
+            (tokenizer, rest := [p for p in parts if p[0] == whole], (p[1:] for p in rest)),
+        ):
+            texts = list(forms)
+            for begin in range(0, len(texts), 4096):
+                got = by.encode_batch_fast(texts[begin : begin + 4096], add_special_tokens=False)
+                known.update(zip(names[begin : begin + 4096], [array("H", g.ids).tobytes() for g in got], strict=True))
+
+    def part_ids(parts: list[str]) -> list[bytes]:
+        if len(known) > REMEMBERED:
             known.clear()
-            known[""] = b""
-            new = list({w for words in split for w in words if w})
-        for begin in range(0, len(new), 4096):
-            part = new[begin : begin + 4096]
-            for word, got in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        look = known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        known[""] = b""
+        found = list(map(known.get, parts))
+        if None in found:
+            learn([p for p, ids in zip(parts, found, strict=True) if ids is None])
+            found = list(map(known.__getitem__, parts))
+        return found
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin (one more at the end)."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        odd = pc.match_substring_regex(coded.dictionary, r"[^\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{ff}]|<\|")
+        cut = pc.utf8_lower(coded.dictionary)
+        mixed = pc.invert(pc.utf8_is_alpha(cut))
+        cut = pc.replace_with_mask(cut, mixed, pc.replace_substring_regex(cut.filter(mixed), pattern, r"\1 "))
+        cut = pc.if_else(odd, pc.binary_join_element_wise(whole, coded.dictionary, ""), cut)
+        parts = pc.split_pattern(cut, " ")
+        part = parts.flatten().dictionary_encode()
+        ids = part_ids(part.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        pool = np.frombuffer(b"".join(ids), "<u2")
+        pool, bounds = _gathered(pool, np.cumsum(sizes) - sizes, sizes, part.indices.to_numpy(), parts.offsets.to_numpy())
+        return _gathered(pool, bounds[:-1], np.diff(bounds), coded.indices.to_numpy(), words.offsets.to_numpy())
 
     return encode
 
 
+def _gathered(
+    pool: np.ndarray, first: np.ndarray, sizes: np.ndarray, which: np.ndarray, bounds: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``pool`` in the order of ``which``, and where every list of them (``bounds``) begins."""
+    counts = sizes[which]
+    done = np.concatenate(([0], np.cumsum(counts)))
+    out = pool[np.repeat(first[which] - done[:-1], counts) + np.arange(done[-1])]
+    return out, done[bounds - bounds[0]]
+
+
+def _portions(texts: pa.Array, most: int = PORTION) -> Iterator[tuple[int, pa.Array]]:
+    """(number of texts that end in it, its texts): portions of about ``most`` bytes; a longer text comes in
+    several, cut at spaces, of which only the last counts."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(sizes):
+        if sizes[at] <= most:
+            stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, "right")))
+            yield stop - at, texts.slice(at, stop - at)
+            at = stop
+            continue
+        text, begin = texts[at].as_py(), 0
+        while begin < len(text):
+            stop = text.find(" ", begin + most)
+            stop = len(text) if stop < 0 else stop
+            yield int(stop == len(text)), pa.array([text[begin:stop]])
+            begin = stop
+        at += 1
+
+
+def _larger(batches: Iterator[pa.RecordBatch], least: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their texts have ``least`` bytes: words that repeat are then looked up once."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column("text").nbytes
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, source, part, start_in_part (tokens of the source before it in its part), n_tokens, ids.
+    """doc_id, source, part, start_in_part (tokens of the source before it in its part), n_tokens, ids (16 bits each).
 
     Written once: from here on the order of documents within a source is that of (part, place in it).
     """
     small_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
+        import tokenizers
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = word_encoder(tokenizer_path)
+        # A worker serves many tasks and each brings its own copy of this code; what was learnt stays with the library.
+        encoders = vars(tokenizers).setdefault("_encoders_by_path", {})
+        encode = encoders.get(tokenizer_path) or encoders.setdefault(tokenizer_path, word_encoder(tokenizer_path))
         done: dict[str | None, int] = {}
-        for batch in batches:
-            ids = [x + end for x in encode(batch.column("text").to_pylist())]
+        for batch in _larger(batches):
+            ids: list[bytes] = []
+            open_: list[bytes] = []  # of a text that comes in several portions
+            for ended, texts in _portions(batch.column("text")):
+                tokens, bounds = encode(texts)
+                raw = memoryview(tokens.tobytes())
+                for low, high in zip((2 * bounds[:-1]).tolist(), (2 * bounds[1:]).tolist(), strict=True):
+                    open_.append(raw[low:high])
+                    if ended:
+                        ids.append(b"".join([*open_, end]))
+                        open_ = []
             starts = []
             for source, own in zip(batch.column("source").to_pylist(), ids, strict=True):
                 starts.append(done.get(source, 0))
-                done[source] = starts[-1] + len(own) // 4
-            # 16 bits hold every id of a vocabulary of up to 65,536.
-            small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                done[source] = starts[-1] + len(own) // 2
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("source"), batch.column("part"), pa.array(starts, pa.int64()),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(small, pa.binary()),
+                    pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
                 ],
                 ["doc_id", "source", "part", "start_in_part", "n_tokens", "ids"],
             )
