@@ -17,6 +17,8 @@ from visitlens.llm.common import columns_of, let, text_or_empty
 
 #: Cells for unigrams, and as many again for bigrams; a power of two.
 CELLS = 1 << 14
+#: N-grams per cell that the target is taken to share with the raw corpus beforehand.
+PRIOR = 10
 #: Trusted documents that the target is estimated from, at most; chosen by the hash of their ids.
 TRUSTED = 20_000
 #: A document of n words stays if its mean log ratio is at least LEAST - MARGIN / sqrt(n).
@@ -106,7 +108,10 @@ def verdict(text: Column, ratios: list[float]) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """Log of target share over raw share of each cell, add-one smoothed, from all of ``docs`` (doc_id, text).
+    """Log of target share over raw share of each cell, from all of ``docs`` (doc_id, text).
+
+    The target's shares are drawn towards the raw ones as if PRIOR more n-grams per cell had been seen in raw
+    proportions: a small target says little, and chance gaps of it are no evidence against a document.
 
     ``trusted`` (doc_id) names the target documents; at most TRUSTED of them, those with the smallest hashes,
     are looked up, so the broadcast is bounded. The counts have 2 * CELLS rows.
@@ -128,8 +133,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
         r, t = raw[begin : begin + CELLS], target[begin : begin + CELLS]
         if not sum(t):
             return [0.0] * (2 * CELLS)
-        shift = math.log(sum(r) + CELLS) - math.log(sum(t) + CELLS)
-        out += [math.log(y + 1) - math.log(x + 1) + shift for x, y in zip(r, t, strict=True)]
+        rows, known = sum(r), sum(t)
+        out += [math.log((y * rows / x + PRIOR * CELLS) / (known + PRIOR * CELLS)) if x else 0.0 for x, y in zip(r, t, strict=True)]
     return out
 
 
