@@ -14,8 +14,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,9 +47,11 @@ class Pieces:
             cost = math.log(2 - score) if ranks else -score
             self.cost.setdefault(pieces[i], (max(0, round(cost * _UNIT)), i))
         self.longest = max(map(len, self.cost), default=1)
-        #: Costs of the pieces, and -1 for what only begins one.
-        self.starts = dict.fromkeys((p[:n] for p in self.cost for n in range(1, len(p))), -1)
-        self.starts.update({p: c for p, (c, _) in self.cost.items()})
+        #: Gives all pieces in a text, by their ends, of each end the longest first.
+        self.matches = ahocorasick.Automaton()
+        for piece, (cost, i) in self.cost.items():
+            self.matches.add_word(piece, (len(piece), cost, i))
+        self.matches.make_automaton()
         across = any(SPACE in p.lstrip(SPACE) for p in self.cost)
         absent = "".join(c for c in "\n\r\t" if not any(c in p for p in self.cost))
         lone = f"|[{absent}]" if absent else ""
@@ -117,45 +121,48 @@ def viterbi_stream(pieces: Pieces, chars: Iterator[str], every: int = _EVERY) ->
         yield _ids(pieces, links, letters, len(links))
 
 
-def _ids(pieces: Pieces, links: list[tuple[int, int]], letters: list[str], end: int) -> list[int]:
-    out: list[list[int]] = []
+def _ids(pieces: Pieces, links: list[tuple[int, int]], letters: list[str] | str, end: int) -> list[int]:
+    out: list[int] = []
     while end > 0:
         length, piece = links[end - 1]
-        out.append([piece] if piece >= 0 else pieces.fallback(letters[end - 1]))
+        if piece >= 0:
+            out.append(piece)
+        else:
+            out.extend(reversed(pieces.fallback(letters[end - 1])))
         end -= length
-    return [i for part in reversed(out) for i in part]
+    out.reverse()
+    return out
 
 
 def _segment_ids(pieces: Pieces, segment: str) -> list[int]:
-    """The same for one short segment: forwards along the pieces that start at each position."""
+    """The same for one short segment, all of it at once."""
     n = len(segment)
-    look = pieces.starts.get
     best: list[float] = [math.inf] * (n + 1)
     best[0] = 0
-    begin = [0] * (n + 1)
-    for i in range(n):
-        here = best[i]
-        for end in range(i + 1, n + 1):
-            cost = look(segment[i:end])
-            if cost is None:
-                break
-            if 0 <= cost < best[end] - here:  # of equal costs the earlier start, the longer piece, came first
-                best[end], begin[end] = here + cost, i
-        if best[i + 1] > here + _BYTE_COST:  # no piece is that dear
-            raw = here + _BYTE_COST * len(segment[i].encode("utf-8", "surrogatepass"))
-            if raw < best[i + 1]:
-                best[i + 1], begin[i + 1] = raw, -1
-    out: list[int] = []
-    end = n
-    while end > 0:
-        i = begin[end]
-        if i >= 0:
-            out.append(pieces.cost[segment[i:end]][1])
-        else:
-            i = end - 1
-            out.extend(reversed(pieces.fallback(segment[i])))
-        end = i
-    return out[::-1]
+    link: list[tuple[int, int]] = [(1, -1)] * (n + 1)
+    settled = 0
+    for end, (length, cost, piece) in pieces.matches.iter(segment):
+        while settled < end:  # positions whose pieces are all known
+            settled += 1
+            if best[settled] - best[settled - 1] > _BYTE_COST:
+                _take_bytes(segment, best, link, settled)
+        end += 1
+        total = best[end - length] + cost
+        if total < best[end]:  # of equal costs the longer piece came first
+            best[end] = total
+            link[end] = (length, piece)
+    while settled < n:
+        settled += 1
+        if best[settled] - best[settled - 1] > _BYTE_COST:
+            _take_bytes(segment, best, link, settled)
+    return _ids(pieces, link[1:], segment, n)
+
+
+def _take_bytes(segment: str, best: list[float], link: list[tuple[int, int]], at: int) -> None:
+    """Bytes instead of pieces for one character, where they cost less."""
+    raw = best[at - 1] + _BYTE_COST * len(segment[at - 1].encode("utf-8", "surrogatepass"))
+    if raw < best[at]:
+        best[at], link[at] = raw, (1, -1)
 
 
 def text_encoder(pieces: Pieces, longest_kept: int = 256) -> Callable[[str], bytes]:
@@ -168,7 +175,7 @@ def text_encoder(pieces: Pieces, longest_kept: int = 256) -> Callable[[str], byt
             return b"".join(parts)
         if len(known) >= REMEMBERED:
             known.clear()
-        found = known[segment] = np.array(_segment_ids(pieces, segment), "<u4").tobytes()
+        found = known[segment] = array("I", _segment_ids(pieces, segment)).tobytes()
         return found
 
     def encode(text: str) -> bytes:
@@ -182,6 +189,18 @@ def text_encoder(pieces: Pieces, longest_kept: int = 256) -> Callable[[str], byt
     return encode
 
 
+def _kept_by_worker(model_path: str) -> tuple[Pieces, Callable[[str], bytes]]:
+    """Pieces and encoder of a model. A worker serves many tasks and each brings its own copy of this code, so what
+    was learnt stays with the library."""
+    import sentencepiece
+
+    kept = vars(sentencepiece).setdefault("_encoders_by_path", {})
+    if model_path not in kept:
+        pieces = Pieces.load(model_path)
+        kept[model_path] = pieces, text_encoder(pieces)
+    return kept[model_path]
+
+
 def decode_ids(pieces: Pieces, ids: bytes) -> str:
     """The text of ids: pieces and bytes in a row, without the space that encoding puts first."""
     table = pieces.bytes
@@ -199,7 +218,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     own = columns_of(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = text_encoder(Pieces.load(model_path))
+        _, ids_of = _kept_by_worker(model_path)
         for batch in batches:
             ids = [ids_of(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -214,7 +233,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     own = columns_of(encoded, doc_id=id_col, ids=ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(model_path)
+        pieces, _ = _kept_by_worker(model_path)
         for batch in batches:
             texts = [decode_ids(pieces, i or b"") for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -229,8 +248,7 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     own = columns_of(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(model_path)
-        ids_of = text_encoder(pieces)
+        pieces, ids_of = _kept_by_worker(model_path)
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
