@@ -1,9 +1,9 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Each source is a queue of tokens. A round gives every queue its share of one window; the fraction of a token
-that a queue could not be given stays with it as a deficit and counts in the next round. What round r serves of
-a queue is therefore the stretch from floor(r * quantum) to floor((r + 1) * quantum) of it, wherever its
-documents are stored, so the position of any token among all served tokens follows from its place in its own
+Each source is a queue of tokens. A round gives every queue its share of one window, in whole grains of a few
+tokens; the part of a grain that a queue could not be given stays with it as a deficit and counts in the next
+round. With a share of g grains, round r therefore serves the grains from floor(r * g) to floor((r + 1) * g) of
+the queue, wherever its documents are stored, so the position of any token among all served tokens follows from its place in its own
 queue and the queues' totals alone: nothing has to pass through one task, and no token is moved.
 Windows are filled without a gap from the served stretches. A queue that runs dry is skipped, and the others
 share its part in their proportions.
@@ -25,6 +25,8 @@ from visitlens.llm.common import columns_of, saved, small_batches, text_or_empty
 
 #: Tokens in a window, and the id that ends a document.
 WINDOW, END_ID = 2048, 1
+#: Tokens of a queue that are served at least at once, so that a rare source is not packed token by token.
+GRAIN = 8
 #: Sources with a queue of their own; the smaller ones beyond it share one more, so the table of queues is bounded.
 OWN_QUEUES = 255
 #: Parts of words whose ids a worker remembers.
@@ -210,29 +212,33 @@ class Rounds:
     """Where tokens of queues fall among all served tokens."""
 
     def __init__(self, totals: list[int], weights: list[float], window: int) -> None:
+        if any(w <= 0 for w in weights):
+            raise ValueError("a source with a share of nothing would never be packed; leave its rows out instead")
         self.totals = np.array(totals, np.int64)
         share = np.array(weights, float)
-        self.quantum = window * share / share.sum()
+        #: Grains that a queue may give in one round, a fraction.
+        self.grains = window * share / share.sum() / GRAIN
         self.all = int(self.totals.sum())
         self.window = window
 
-    def served(self, queue: np.ndarray | int, rounds: np.ndarray) -> np.ndarray:
-        """Tokens of a queue given out in the first ``rounds`` rounds."""
-        return np.minimum(self.totals[queue], np.floor(rounds * self.quantum[queue]).astype(np.int64))
+    def _given(self, queue: np.ndarray | int, rounds: np.ndarray) -> np.ndarray:
+        """Tokens that a queue without end has given in the first ``rounds`` rounds."""
+        return GRAIN * np.floor(rounds * self.grains[queue]).astype(np.int64)
 
     def stretches(self, queue: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The tokens [start, stop) of a queue, cut by rounds: begin and end in the queue, first position served."""
-        q = self.quantum[queue]
-        first, last = int(start / q), int(stop / q) + 1
-        rounds = np.arange(max(0, first - 1), last + 1)
-        begins, ends = self.served(queue, rounds), self.served(queue, rounds + 1)
-        touch = (ends > start) & (begins < stop) & (ends > begins)
-        rounds, begins, ends = rounds[touch], begins[touch], ends[touch]
+        low = GRAIN * np.arange(start // GRAIN, (stop - 1) // GRAIN + 1)
+        # The round that gives a grain; the two corrections undo rounding.
+        rounds = np.ceil((low + GRAIN) / GRAIN / self.grains[queue]).astype(np.int64) - 1
+        rounds = rounds + (self._given(queue, rounds + 1) <= low)
+        rounds = rounds - (self._given(queue, rounds) > low)
+        first = np.flatnonzero(np.concatenate(([True], rounds[1:] != rounds[:-1])))
+        rounds, begins = rounds[first], np.maximum(low[first], start)
+        ends = np.append(low[first][1:], stop)
         queues = np.arange(len(self.totals))
-        full = rounds[:, None] + (queues < queue)[None, :]
-        position = np.minimum(self.totals[None, :], np.floor(full * self.quantum[None, :]).astype(np.int64)).sum(axis=1)
-        lo, hi = np.maximum(begins, start), np.minimum(ends, stop)
-        return lo, hi, position + lo - begins
+        done = self._given(queues[None, :], rounds[:, None] + (queues < queue)[None, :])
+        position = np.minimum(self.totals[None, :], done).sum(axis=1)
+        return begins, ends, position + begins - self._given(queue, rounds)
 
     def edges(self) -> np.ndarray:
         """Where the sequences of the unfilled last window begin: powers of two, so that none needs padding."""
@@ -257,7 +263,7 @@ def pack(
     """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``mixture`` gives target token shares of sources; a source without one, and all of them by default, counts
-    with its share of the corpus, so every window has the corpus's proportions. All tokens are packed. A null
+    with its share of the corpus, so every window has the corpus's proportions. Shares are positive. All tokens are packed. A null
     or empty text is the end id alone; a null source is a queue like any other; repeated rows and null ids are
     packed as they come; an empty table gives no rows. Every sequence is full but those of the last window,
     which are powers of two.
