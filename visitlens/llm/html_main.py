@@ -71,6 +71,8 @@ _START = {"article": 25.0, "main": 25.0, "div": 5.0, "section": 5.0, "pre": 3.0,
 }
 #: Share of linked text above which a list of several links is a menu, and so many links at least.
 _MENU_SHARE, _MENU_LINKS = 0.8, 3
+#: Characters below which a container outside article and main is no article yet.
+_SHORT = 140
 #: A sibling is kept from this share of the best container's points.
 _SIBLING = 0.2
 
@@ -261,6 +263,8 @@ def main_text(html: str) -> str:
             if above.tag == "article":
                 break
         above = above.up
+    while best.tag not in ("article", "main") and best.size < _SHORT and best.up is not None:
+        best = best.up  # too little to tell an article from its parts
     kept = [best]
     if best.up is not None:
         least = max(10.0, _SIBLING * _worth(best))
