@@ -16,6 +16,7 @@ from visitlens.operators import (
     any_of,
     between,
     equal_to,
+    observed_count,
     one_of,
     salted_group_count,
     salted_join,
@@ -51,6 +52,7 @@ FILTERED = TaskParams(
     sex="male",
     keywords=("kw1", "kw3", "kw5", "kw7"),
 )
+EVER = TaskParams()
 FLOW = (1, 2, 3, 4)
 EXTRACT_TOTAL = 1000
 LISTED_FROM = 2
@@ -59,20 +61,20 @@ LISTED_FROM = 2
 # Inputs
 
 
-def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return actions_in_range(views.user_visit_action(prepare(spark), sf_dir, RANGE), RANGE)
+def _actions(spark: SparkSession, sf_dir: str, params: TaskParams = RANGE) -> DataFrame:
+    return actions_in_range(views.user_visit_action(prepare(spark), sf_dir, params), params)
 
 
 def _sessions(spark: SparkSession, sf_dir: str, params: TaskParams = RANGE) -> DataFrame:
-    return sessions.qualified_sessions(_actions(spark, sf_dir), views.user_info(spark, sf_dir), params)
+    return sessions.qualified_sessions(_actions(spark, sf_dir, params), views.user_info(spark, sf_dir), params)
 
 
 def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return categories.visits_in_sessions(_actions(spark, sf_dir), _sessions(spark, sf_dir))
 
 
-def _clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clicks_in_range(_actions(spark, sf_dir), RANGE)
+def _clicks(spark: SparkSession, sf_dir: str, params: TaskParams = RANGE) -> DataFrame:
+    return clicks_in_range(_actions(spark, sf_dir, params), params)
 
 
 def _ads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +123,11 @@ def session_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sessions(spark, sf_dir).where(between("age", 25, 35)).select("session_id", "age")
+    return _sessions(spark, sf_dir, EVER).where(between("age", 25, 35)).select("session_id", "age")
 
 
 def filter_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _sessions(spark, sf_dir).where(
+    found = _sessions(spark, sf_dir, EVER).where(
         one_of("city", ("NATION_1", "NATION_4", "NATION_9"))
         & any_of("click_category_ids", ("1", "7", "12"), "bigint")
     )
@@ -135,7 +137,7 @@ def filter_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sessions(spark, sf_dir).where(equal_to("sex", "female")).select("session_id", "sex")
+    return _sessions(spark, sf_dir, EVER).where(equal_to("sex", "female")).select("session_id", "sex")
 
 
 def session_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +207,7 @@ def _area_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def click_product_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products.click_product_basic(_clicks(spark, sf_dir), views.city_info(spark, sf_dir))
+    return products.click_product_basic(_clicks(spark, sf_dir, EVER), views.city_info(spark, sf_dir))
 
 
 def area_product_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +241,17 @@ def hot_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined_counts(spark, sf_dir, skew_join)
 
 
+def skew_join_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Int keys, half of them equal, against bigint keys."""
+    clicks = _clicks(spark, sf_dir, EVER)
+    half = F.when(F.col("product_id") % 2 == 0, F.lit(2)).otherwise(F.col("product_id")).cast("int")
+    goods = views.product_info(spark, sf_dir).select("product_id", "product_name")
+    joined = skew_join(clicks.select("city_id", half.alias("product_id")), goods, ["product_id"], "left_outer")
+    return joined.groupBy(F.col("product_id").cast("bigint").alias("product_id"), "product_name").agg(
+        F.count(F.lit(1)).alias("click_count")
+    )
+
+
 def blunt_salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined_counts(spark, sf_dir, salted_join)
 
@@ -297,17 +310,37 @@ def task_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouped by name and a hundred ids, so that no list grows with the table."""
     register_functions(spark)
     return spark.sql(
-        """SELECT product_name,
+        """SELECT product_name, product_id DIV 100 AS ids,
                   group_concat_distinct(collect_set(remove_random_prefix(random_prefix(
-                      concat_long_string(product_id, product_name, ':'), 10)))) AS labels,
+                      concat_long_string(product_id, product_name, ':'), 10, product_id)))) AS labels,
                   group_concat_distinct(collect_set(json_field(extend_info, 'product_status'))) AS statuses
-           FROM {products} GROUP BY product_name""",
+           FROM {products} GROUP BY product_name, product_id DIV 100""",
         products=views.product_info(spark, sf_dir),
     )
 
 
+def number_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eighth = F.col("p_size") / F.lit(8.0)
+    return views.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        fn.format_double(eighth, 2).alias("two"),
+        fn.format_double(eighth, 0).alias("none"),
+        fn.format_double(eighth, 1).alias("one"),
+        F.date_diff(fn.today(), fn.yesterday()).alias("days"),
+    )
+
+
+def observed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of ad clicks, observed while their totals per ad are worked out."""
+    counted, rows = observed_count(_ads(spark, sf_dir), "ad clicks")
+    totals = counted.groupBy("ad_id").agg(F.count(F.lit(1)).alias("click_count"))
+    totals.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(rows.get["rows"],)], "click_rows bigint")
+
+
 # Ad clicks
 
 
@@ -321,11 +354,17 @@ def ad_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ad_log_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of one ad are made unreadable and come back as rejected."""
-    broken = F.when(F.col("value").endswith(" 3"), F.concat(F.lit("x"), F.col("value"))).otherwise(F.col("value"))
-    return rejected_ad_log(_log(spark, sf_dir).select(broken.alias("value"))).select(
-        F.regexp_replace("value", " [0-9]+ [0-9]+$", "").alias("value")
+    """Lines of five ads are made unreadable, each in another way, and come back as rejected."""
+    line, ad = F.col("value"), F.substring_index("value", " ", -1)
+    broken = (
+        F.when(ad == "3", F.concat(F.lit("x"), line))
+        .when(ad == "4", F.regexp_replace(line, "^[0-9]+", "9223372036854775807"))
+        .when(ad == "5", F.substring_index(line, " ", 3))
+        .when(ad == "6", F.lit(""))
+        .when(ad == "7", F.regexp_replace(line, " ([0-9]+) ([0-9]+)$", " u$1 $2"))
+        .otherwise(line)
     )
+    return rejected_ad_log(_log(spark, sf_dir).select(broken.alias("value")))
 
 
 def ad_user_click_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,11 +486,11 @@ def product_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_flow_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.page_flow_conversion(_actions(spark, sf_dir), FLOW)
+    return pages.page_flow_conversion(_actions(spark, sf_dir, EVER), FLOW)
 
 
 def page_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.page_steps(_actions(spark, sf_dir))
+    return pages.page_steps(_actions(spark, sf_dir, EVER))
 
 
 # The driver's three functions
@@ -491,11 +530,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "salted_group_count": salted_count,
         "salted_join": blunt_salted_join,
         "skew_join": hot_key_join,
+        "skew_join_types": skew_join_types,
         "random_prefix_round_trip": random_prefix_round_trip,
         "concat_string_field": concat_string_field,
         "date_functions": date_functions,
         "task_param_fields": task_params,
         "registered_functions": registered_functions,
+        "number_functions": number_functions,
+        "observed_rows": observed_rows,
         "ad_log_parse": ad_log_parse,
         "ad_log_rejects": ad_log_rejects,
         "ad_user_click_count": ad_user_click_count,

@@ -266,18 +266,28 @@ SELECT c_custkey AS task_id, CAST(18 + c_custkey % 20 AS VARCHAR) AS "startAge",
        CASE WHEN c_custkey % 2 = 0 THEN 'male' END AS sex, CAST(NULL AS VARCHAR) AS keywords
 FROM customer""",
     "registered_functions": f"""WITH {_PRODUCTS}
-SELECT product_name, string_agg(DISTINCT CAST(product_id AS VARCHAR) || ':' || product_name, ','
+SELECT product_name, product_id // 100 AS ids, string_agg(DISTINCT CAST(product_id AS VARCHAR) || ':' || product_name, ','
          ORDER BY CAST(product_id AS VARCHAR) || ':' || product_name) AS labels,
        string_agg(DISTINCT json_extract_string(extend_info, '$.product_status'), ','
          ORDER BY json_extract_string(extend_info, '$.product_status')) AS statuses
-FROM product_info GROUP BY 1""",
+FROM product_info GROUP BY 1, 2""",
+    "number_functions": """
+SELECT p_partkey, round(p_size / 8.0::DOUBLE, 2) AS two, round(p_size / 8.0::DOUBLE, 0) AS none,
+       round(p_size / 8.0::DOUBLE, 1) AS one, 1 AS days FROM part""",
+    "observed_rows": f"WITH {_ADS} SELECT count(*) AS click_rows FROM ad_click",
     "ad_log_parse": f"""WITH {_ADS}
 SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS clicked_at, replace(province, ' ', '_') AS province,
        replace(city, ' ', '_') AS city, user_id, ad_id FROM ad_click""",
-    "ad_log_rejects": f"""WITH {_ADS}
-SELECT 'x' || CAST(epoch_us(ts) // 1000 AS VARCHAR) || ' ' || replace(province, ' ', '_') || ' '
-       || replace(city, ' ', '_') AS value
-FROM ad_click WHERE ad_id = 3""",
+    "ad_log_rejects": f"""WITH {_ADS},
+line AS (
+  SELECT ad_id, CAST(epoch_us(ts) // 1000 AS VARCHAR) AS ms,
+         replace(province, ' ', '_') || ' ' || replace(city, ' ', '_') AS place, CAST(user_id AS VARCHAR) AS u FROM ad_click
+)
+SELECT CASE ad_id WHEN 3 THEN 'x' || ms || ' ' || place || ' ' || u || ' 3'
+                  WHEN 4 THEN '9223372036854775807 ' || place || ' ' || u || ' 4'
+                  WHEN 5 THEN ms || ' ' || place WHEN 6 THEN ''
+                  ELSE ms || ' ' || place || ' u' || u || ' 7' END AS value
+FROM line WHERE ad_id BETWEEN 3 AND 7""",
     "ad_user_click_count": f"WITH {_ADS} SELECT {_D}, user_id, ad_id, click_count FROM user_count",
     "ad_blacklist": _LISTED,
     "ad_filtered_clicks": f"""WITH {_ADS}
@@ -351,3 +361,18 @@ step AS (
 )
 SELECT from_page, to_page, count(*) AS steps FROM step WHERE to_page IS NOT NULL GROUP BY 1, 2""",
 }
+
+# Queries that are not about a task look at all dates.
+_RANGE = " WHERE date >= DATE '2024-01-03' AND date <= DATE '2024-01-25'"
+for _name in (
+    "filter_between", "filter_in_list", "filter_equal", "click_product_basic", "salted_group_count", "salted_join",
+    "skew_join", "page_flow_conversion", "page_steps",
+):
+    ORACLES[_name] = ORACLES[_name].replace(_RANGE, "")
+ORACLES["skew_join_types"] = f"""WITH {_AREAS},
+half AS (
+  SELECT CASE WHEN click_product_id % 2 = 0 THEN 2 ELSE click_product_id END AS product_id
+  FROM action WHERE click_product_id IS NOT NULL
+)
+SELECT h.product_id, p.product_name, count(*) AS click_count
+FROM half h LEFT JOIN product_info p USING (product_id) GROUP BY 1, 2""".replace(_RANGE, "")

@@ -85,7 +85,7 @@ def test_registered_names(spark):
     register_functions(spark)
     row = spark.sql(
         """SELECT concat_long_string(1, 'x', ':') a, json_field('{"s": 0}', 's') b,
-                  remove_random_prefix(random_prefix('v_w', 10)) c,
+                  remove_random_prefix(random_prefix('v_w', 10, 3)) c,
                   group_concat_distinct(collect_set(x)) d FROM VALUES ('b'), ('a'), ('b') t(x)
            GROUP BY ALL"""
     ).first()
@@ -106,3 +106,10 @@ def test_params(spark):
     row = task_param_fields(tasks.where("task_id = 7")).first().asDict()
     assert set(row) == {"task_id", *PARAM_FIELDS}
     assert (row["professionals"], row["keywords"], row["cities"]) == ("p1,p2", None, None)
+
+
+def test_milliseconds_beyond_a_timestamp_are_null(spark):
+    most = (2**63 - 1) // 1000
+    rows = [(str(most),), (str(-most),), (str(most + 1),), (str(-most - 1),), (str(2**63 - 1),), ("x",), (None,)]
+    got = spark.createDataFrame(rows, "v string").select(fn.timestamp_of_epoch_millis("v").isNotNull().alias("ok")).collect()
+    assert [r["ok"] for r in got] == [True, True, False, False, False, False, False]

@@ -48,14 +48,72 @@ def test_hot_key_is_spread(spark):
     assert left.where("k = 0").select(spread.alias("s")).distinct().count() > 15
 
 
-def test_without_keys_beyond_the_broadcast_bound(spark, monkeypatch):
+@pytest.mark.parametrize("kinds", [("int", "bigint"), ("bigint", "int"), ("decimal(12,2)", "decimal(20,4)"), ("double", "int")])
+@pytest.mark.parametrize("how", ["inner", "left_outer", "left_semi", "left_anti"])
+def test_skew_join_of_different_number_types(spark, kinds, how):
+    key = F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 500)
+    left = spark.range(4000).select(key.cast(kinds[0]).alias("k"), (F.col("id") % 7).alias("v")).repartition(5)
+    right = spark.range(0, 400, 2).select(F.col("id").cast(kinds[1]).alias("k"), F.col("id").alias("w"))
+    got, want = skew_join(left, right, ["k"], how, parts=50), left.join(right, ["k"], how)
+    assert got.schema == want.schema
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_skew_join_of_dates_and_timestamps(spark):
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 3).cast("int"))
+    left = spark.range(900).select(day.alias("k"), "id")
+    right = spark.sql("SELECT timestamp '2024-01-01 00:00:00' AS k, 1 AS w")
+    got, want = skew_join(left, right, ["k"], parts=10), left.join(right, ["k"])
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 300
+
+
+def test_skew_join_refuses_text_against_numbers(spark):
+    with pytest.raises(TypeError, match="k is bigint"):
+        skew_join(spark.range(3).toDF("k"), spark.createDataFrame([("1",)], "k string"), ["k"])
+
+
+def test_skew_join_without_exchange_reuse_and_beyond_the_sketch(spark):
+    """Both sides see the salts of one sketch, even where more keys are hot than it holds exactly."""
+    left = spark.range(20000).select((F.col("id") % 41).alias("k"), "id")
+    right = spark.range(41).toDF("k")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = skew_join(left, right, ["k"], parts=45)
+        assert got.count() == 20000 and got.select("id").distinct().count() == 20000
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_without_keys_whatever_the_size_and_type(spark):
     left = skewed(spark)
-    keys = spark.range(0, 300).select(F.col("id").alias("k"))
+    keys = spark.range(0, 300).select(F.col("id").cast("int").alias("k"))
     want = left.join(keys, ["k"], "left_anti")
-    for bound in (10**6, 10):
-        monkeypatch.setattr("visitlens.operators.joins.BROADCAST_ROWS", bound)
-        got = without_keys(left, keys, ["k"], "t")
-        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    for bound in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+        try:
+            got = without_keys(left, keys.union(keys), ["k"])
+            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+
+    for master in ("yarn", "local-cluster[2,1,512]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            scratch_dir(Session(spark_master=master), "x")
+    assert os.path.isdir(os.path.dirname(scratch_dir(Session(spark_master="local[2]"), "x")))
+    shared = Conf({"spark.checkpoint.dir": "hdfs:///tmp/"})
+    session = Session(spark_master="yarn")
+    session.conf = shared
+    assert scratch_dir(session, "x").startswith("hdfs:///tmp/x-")
 
 
 def test_salted_group_count(spark):

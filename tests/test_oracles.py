@@ -33,11 +33,15 @@ def duck(sf_dir):
     return con
 
 
+# The training-data operators have tests of their own.
+NAMES = [name for name in registry.queries() if name not in registry.LLM_QUERIES]
+
+
 def test_every_query_has_an_oracle():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(NAMES) == set(registry.oracle_sql()) - set(registry.LLM_ORACLES)
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, sf_dir, name):
     result = registry.queries()[name](spark, sf_dir)
     got = as_rows(result.columns, [tuple(r) for r in result.collect()])

@@ -62,9 +62,14 @@ def minus_seconds(left: Column | str, right: Column | str) -> Column:
     return F.unix_seconds(_col(left).cast("timestamp")) - F.unix_seconds(_col(right).cast("timestamp"))
 
 
+# Fixed value: a timestamp counts microseconds in 64 bits.
+MOST_MILLIS = (2**63 - 1) // 1000
+
+
 def timestamp_of_epoch_millis(value: Column | str) -> Column:
-    """Epoch milliseconds as text or number to timestamp; null when unreadable."""
-    return F.timestamp_millis(_col(value).try_cast("bigint"))
+    """Epoch milliseconds as text or number to timestamp; null when unreadable or beyond what a timestamp holds."""
+    millis = _col(value).try_cast("bigint")
+    return F.timestamp_millis(F.when(millis.between(-MOST_MILLIS, MOST_MILLIS), millis))
 
 
 def date_of_epoch_millis(value: Column | str) -> Column:

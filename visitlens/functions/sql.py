@@ -9,8 +9,9 @@ _DEFINITIONS = (
        RETURN concat(coalesce(cast(v1 AS STRING), 'null'), sep, coalesce(v2, 'null'))""",
     """json_field(json STRING, field STRING) RETURNS STRING
        RETURN get_json_object(json, concat('$.', field))""",
-    """random_prefix(val STRING, num INT) RETURNS STRING
-       RETURN concat(cast(floor(rand() * num) AS STRING), '_', val)""",
+    # The salt is a hash of what the caller names, so that a repeated task sends its rows the same way.
+    """random_prefix(val STRING, num INT, salt_on BIGINT) RETURNS STRING
+       RETURN concat(cast(pmod(xxhash64(salt_on), num) AS STRING), '_', val)""",
     """remove_random_prefix(val STRING) RETURNS STRING
        RETURN regexp_replace(val, '^[0-9]+_', '')""",
     # Used as group_concat_distinct(collect_set(x)): the aggregation itself stays built in.

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DatetimeType, NumericType
 
 from visitlens.functions.text import salt_of
 from visitlens.settings import scratch_dir
@@ -31,11 +32,27 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _key_hash(on: Sequence[str]) -> Column:
+def _key_hash(on: Sequence[str | Column]) -> Column:
     return F.xxhash64(*on)
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], parts: int = 1000) -> DataFrame:
+def _comparable(left: DataFrame, right: DataFrame, on: Sequence[str]) -> list[DataType]:
+    """The types in which a plain join compares the keys: the wider of two numbers, the finer of two times.
+
+    Equal values of different types have different hashes, so the hash needs one type. Other pairs of types
+    are refused, because the plain join would read one side's text as the other's values.
+    """
+    types = []
+    for name in on:
+        pair = (left.schema[name].dataType, right.schema[name].dataType)
+        alike = pair[0] == pair[1] or any(all(isinstance(t, kind) for t in pair) for kind in (NumericType, DatetimeType))
+        if not alike:
+            raise TypeError(f"{name} is {pair[0].simpleString()} on one side and {pair[1].simpleString()} on the other")
+        types.append(pair[0] if pair[0] == pair[1] else left.select(name).union(right.select(name)).schema[0].dataType)
+    return types
+
+
+def hot_keys(df: DataFrame, on: Sequence[str | Column], parts: int = 1000) -> DataFrame:
     """Keys owning more than 1/``parts`` of all rows, with the number of salts that cuts them to that.
 
     A heavy-hitter sketch finds them in one pass without shuffling rows; by definition there are
@@ -63,16 +80,18 @@ def skew_join(
     Only rows of hot keys are salted: a hot left row gets a salt from a hash of its values and its
     input partition (the same again when a task is repeated), the right rows of that key are
     repeated once per salt, and all other rows keep salt 0. The rows are those of the plain join
-    for any ``how`` that keeps matched or left rows. The left side is read twice, the first time
-    for its key columns only.
+    for any ``how`` that keeps matched or left rows. The left side is read twice, the first time, at
+    once, for its key columns only.
     """
     if how not in ("inner", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot repeat the right side of a {how} join")
-    # Fewer than parts rows.
-    hot = F.broadcast(hot_keys(left, on, parts))
+    types = _comparable(left, right, on)
+    keys = [F.col(name).cast(kind) for name, kind in zip(on, types, strict=True)]
+    # Fewer than parts rows; written once, so that both sides see the same numbers of salts.
+    hot = F.broadcast(materialized(hot_keys(left, keys, parts), "hot-keys"))
 
     def with_salts(df: DataFrame) -> DataFrame:
-        return df.withColumn(_KEY, _key_hash(on)).join(hot, _KEY, "left_outer").drop(_KEY)
+        return df.withColumn(_KEY, _key_hash(keys)).join(hot, _KEY, "left_outer").drop(_KEY)
 
     values = [f.name for f in left.schema if f.dataType.typeName() not in ("map", "variant")]
     spread = F.pmod(F.xxhash64(*values, F.spark_partition_id()), F.col(_SALTS)).cast("int")
@@ -101,13 +120,10 @@ def salted_join(
     return salted.join(repeated, [*on, SALT], how).drop(SALT)
 
 
-def without_keys(left: DataFrame, keys: DataFrame, on: Sequence[str], label: str) -> DataFrame:
+def without_keys(left: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left rows whose key is not in ``keys``.
 
-    The keys are computed and counted first: few enough are broadcast, so that the left side is not
-    shuffled at all; otherwise the join spreads hot keys.
+    Few keys become a broadcast at run time, by their measured size; otherwise both sides are shuffled and
+    adaptive execution splits a hot key of the left side.
     """
-    known = materialized(keys.select(*on).distinct(), label)
-    if known.count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(known), list(on), "left_anti")
-    return skew_join(left, known, on, "left_anti")
+    return left.join(keys.select(*on).distinct(), list(on), "left_anti")

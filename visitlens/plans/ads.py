@@ -27,7 +27,7 @@ def blacklist(clicks: DataFrame, threshold: int = BLACKLIST_CLICKS) -> DataFrame
 
 def filter_blacklisted(clicks: DataFrame, listed: DataFrame) -> DataFrame:
     """Clicks of users that are not listed."""
-    return without_keys(clicks, listed, ["user_id"], "blacklist")
+    return without_keys(clicks, listed, ["user_id"])
 
 
 def ad_stat(clicks: DataFrame) -> DataFrame:

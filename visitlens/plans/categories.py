@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from visitlens.functions.numbers import to_long
 from visitlens.functions.text import split_csv
-from visitlens.operators.joins import bounded_broadcast, skew_join
+from visitlens.operators.joins import bounded_broadcast
 from visitlens.operators.topk import top_per_group, top_rows
 
 
@@ -35,10 +35,14 @@ def category_visits(actions: DataFrame) -> DataFrame:
 
 
 def visits_in_sessions(actions: DataFrame, sessions: DataFrame) -> DataFrame:
-    """``category_visits`` of the given sessions; a session may own a large share of the actions."""
+    """``category_visits`` of the given sessions.
+
+    Actions without any category stop before the join. A session may own a large share of the rest; adaptive
+    execution splits it.
+    """
     columns = ["session_id", "click_category_id", "order_category_ids", "pay_category_ids"]
-    kept = skew_join(actions.select(*columns), sessions.select("session_id"), ["session_id"], "left_semi")
-    return category_visits(kept)
+    visiting = actions.select(*columns).where(F.coalesce(*[F.col(c).cast("string") for c in columns[1:]]).isNotNull())
+    return category_visits(visiting.join(sessions.select("session_id"), "session_id", "left_semi"))
 
 
 def category_counts(visits: DataFrame) -> DataFrame:

@@ -169,11 +169,14 @@ def extraction_quota(sessions: DataFrame, total: int) -> DataFrame:
     Both steps round down, so a wide date range may leave an hour with none.
     """
     hours = sessions_by_hour(sessions)
-    # One row per hour of the date range: few enough for a window over all of them.
-    days = F.size(F.collect_set("day").over(Window.partitionBy()))
+    # A count of days, one number that every row gets.
+    days = hours.select("day").distinct().agg(F.count(F.lit(1)).alias("days"))
     share = F.col("session_count").cast("double") / F.col("day_count").cast("double")
     return hours.withColumns(
-        {"day_count": F.sum("session_count").over(Window.partitionBy("day")), "per_day": F.floor(F.lit(total) / days)}
+        {
+            "day_count": F.sum("session_count").over(Window.partitionBy("day")),
+            "per_day": F.floor(F.lit(total) / days.scalar()),
+        }
     ).select(
         "day",
         "hour",
@@ -183,19 +186,21 @@ def extraction_quota(sessions: DataFrame, total: int) -> DataFrame:
 
 
 def extract_session_ids(sessions: DataFrame, total: int = 100, seed: str = "0") -> DataFrame:
-    """The drawn sessions (session_id, start_time): the first ``quota`` of each hour by seeded hash."""
+    """The drawn sessions (session_id, start_time): the first ``quota`` of each hour by seeded hash.
+
+    Hours without a quota fall away before sessions are ranked, and no hour keeps more than its share of
+    ``total``.
+    """
+    quota = extraction_quota(sessions, total).where(F.col("quota") > 0).select("day", "hour", "quota")
+    wanted = _with_hour(sessions.select("session_id", "start_time")).join(quota, ["day", "hour"])
     candidates = top_per_group(
-        _with_hour(sessions.select("session_id", "start_time")).withColumn(
-            "draw", F.md5(F.concat(F.lit(seed), F.col("session_id")))
-        ),
+        wanted.withColumn("draw", F.md5(F.concat(F.lit(seed), F.col("session_id")))),
         ["day", "hour"],
         [F.col("draw"), F.col("session_id")],
         total,
         unique="session_id",
     )
-    quota = extraction_quota(sessions, total).where(F.col("quota") > 0).select("day", "hour", "quota")
-    drawn = candidates.join(quota, ["day", "hour"]).where(F.col("rank") <= F.col("quota"))
-    return drawn.select("session_id", "start_time")
+    return candidates.where(F.col("rank") <= F.col("quota")).select("session_id", "start_time")
 
 
 def extract_sessions(
