@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
-from functools import reduce
+from functools import partial, reduce
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import visitlens.functions as fn
@@ -408,50 +409,57 @@ def ad_click_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Streams: each runs to the end of the given data, then its result table is read
+# Streams: the events come in several parts; after each the query starts again from its checkpoint, handles what
+# is new as one batch and stops. Then its result table is read.
+PARTS = 4
 
 
-def _stream(spark: SparkSession, sf_dir: str, label: str) -> tuple[DataFrame, str]:
-    return views.ad_click_stream(prepare(spark), sf_dir), scratch_dir(spark, label)
+def _stream(spark: SparkSession, sf_dir: str, label: str, start: Callable[..., Any]) -> str:
+    folder = scratch_dir(prepare(spark), label)
+    for part in views.event_parts(spark, sf_dir, PARTS):
+        part.write.mode("append").parquet(f"{folder}/events")
+        clicks = views.ad_click_stream(spark, sf_dir, f"{folder}/events")
+        started = start(clicks, folder, f"{folder}/state")
+        for query in started if isinstance(started, list) else [started]:
+            query.awaitTermination()
+    return folder
 
 
 def stream_ad_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks, folder = _stream(spark, sf_dir, "ad-stat")
-    ads_stream.start_ad_stat(clicks, folder, f"{folder}/state", once=True).awaitTermination()
+    folder = _stream(spark, sf_dir, "ad-stat", partial(ads_stream.start_ad_stat, once=True))
     return _text_date(read_result(spark, "ad_stat", folder))
 
 
 def stream_province_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks, folder = _stream(spark, sf_dir, "province-top3")
-    ads_stream.start_province_top3(clicks, folder, f"{folder}/state", once=True).awaitTermination()
+    folder = _stream(spark, sf_dir, "province-top3", partial(ads_stream.start_province_top3, once=True))
     return _text_date(read_result(spark, "ad_province_top3", folder))
 
 
 def stream_click_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks, folder = _stream(spark, sf_dir, "click-trend")
-    ads_stream.start_click_trend(clicks, folder, f"{folder}/state", once=True).awaitTermination()
+    folder = _stream(spark, sf_dir, "click-trend", partial(ads_stream.start_click_trend, once=True))
     return _text_date(read_result(spark, "ad_click_trend", folder))
 
 
+def _click_steps(spark: SparkSession, sf_dir: str) -> str:
+    return _stream(spark, sf_dir, "click-steps", partial(ads_stream.start_click_steps, once=True))
+
+
 def stream_window_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks, folder = _stream(spark, sf_dir, "window-trend")
+    return _text_date(ads_stream.read_minutes(spark, _click_steps(spark, sf_dir)))
 
-    def keep(totals: DataFrame, batch_id: int) -> None:
-        totals.write.mode("overwrite").parquet(f"{folder}/totals/batch_id={batch_id}")
 
-    running = ads_stream.running_click_trend(clicks)
-    ads_stream.start(running, keep, f"{folder}/state", "update", once=True).awaitTermination()
-    totals = spark.read.parquet(f"{folder}/totals")
-    newest = totals.groupBy("date", "hour", "minute", "ad_id").agg(F.max_by("click_count", "batch_id").alias("click_count"))
-    return _text_date(newest)
+def stream_sliding_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 60 minutes every 10 seconds: how many there are per ad, and the clicks of the busiest."""
+    slid = ads_stream.read_sliding(spark, _click_steps(spark, sf_dir))
+    windows = slid.groupBy("window_start", "ad_id").agg(F.sum("click_count").alias("n"))
+    return windows.groupBy("ad_id").agg(
+        F.count(F.lit(1)).alias("windows"), F.sum("n").alias("clicks"), F.max("n").alias("busiest")
+    )
 
 
 def _stream_users(spark: SparkSession, sf_dir: str) -> str:
-    clicks, folder = _stream(spark, sf_dir, "blacklist")
-    blacklist_stream.start_accepted(clicks, folder, f"{folder}/state", LISTED_FROM, once=True).awaitTermination()
-    accepted = blacklist_stream.read_accepted(spark, folder)
-    blacklist_stream.start_users(accepted, folder, f"{folder}/users", once=True).awaitTermination()
-    return folder
+    start = partial(blacklist_stream.start_users, threshold=LISTED_FROM, once=True)
+    return _stream(spark, sf_dir, "blacklist", start)
 
 
 def stream_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,16 +470,38 @@ def stream_user_click_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_date(read_result(spark, "ad_user_click_count", _stream_users(spark, sf_dir)))
 
 
+def ad_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ad job: the top ads per province of the accepted clicks."""
+    start = partial(jobs.start_click_job, threshold=LISTED_FROM, once=True)
+    return _text_date(read_result(spark, "ad_province_top3", _stream(spark, sf_dir, "ad-job", start)))
+
+
 # Whole jobs: written to result tables and read back
 
 
 def session_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per result table of the session job."""
+    """The contents of the five result tables of the session job, each row as one text."""
     actions, folder = views.user_visit_action(prepare(spark), sf_dir, RANGE), scratch_dir(spark, "session-job")
     jobs.run_session_job(actions, views.user_info(spark, sf_dir), RANGE, folder, 1, EXTRACT_TOTAL)
-    names = ("session_aggr_stat", "session_random_extract", "session_detail", "top10_category", "top10_session")
-    tables = [read_result(spark, name, folder).select(F.lit(name).alias("table_name"), "task_id") for name in names]
-    return reduce(DataFrame.unionByName, tables).groupBy("table_name", "task_id").agg(F.count(F.lit(1)).alias("row_count"))
+
+    def rows(name: str, **texts: Column) -> DataFrame:
+        table = read_result(spark, name, folder).drop("task_id").withColumns(texts)
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in table.columns])
+        return table.select(F.lit(name).alias("table_name"), text.alias("content"))
+
+    stamp = F.date_format("action_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    stats = read_result(spark, "session_aggr_stat", folder)
+    shares = [F.format_string("%.2f", F.col(c)) for c in stats.columns if c.endswith("_ratio")]
+    stat = stats.select(
+        F.lit("session_aggr_stat").alias("table_name"), F.concat_ws("|", F.col("session_count").cast("string"), *shares).alias("content")
+    )
+    others = [
+        rows("session_random_extract", start_time=fn.format_time("start_time")),
+        rows("session_detail", action_time=stamp),
+        rows("top10_category"),
+        rows("top10_session"),
+    ]
+    return reduce(DataFrame.unionByName, others, stat)
 
 
 def product_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -485,6 +515,12 @@ def product_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pages
 
 
+def page_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_dir(prepare(spark), "page-job")
+    jobs.run_page_job(views.user_visit_action(spark, sf_dir, EVER), TaskParams(page_flow=FLOW), folder, 3)
+    return read_result(spark, "page_split_convert_rate", folder)
+
+
 def page_flow_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_flow_conversion(_actions(spark, sf_dir, EVER), FLOW)
 
@@ -553,10 +589,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_province_top3": stream_province_top3,
         "stream_click_trend": stream_click_trend,
         "stream_window_trend": stream_window_trend,
+        "stream_sliding_trend": stream_sliding_trend,
         "stream_blacklist": stream_blacklist,
         "stream_user_click_count": stream_user_click_count,
         "session_job": session_job,
         "product_job": product_job,
+        "page_job": page_job,
+        "ad_job": ad_job,
         "page_flow_conversion": page_flow_conversion,
         "page_steps": page_steps,
         **LLM_QUERIES,

@@ -376,3 +376,54 @@ half AS (
 )
 SELECT h.product_id, p.product_name, count(*) AS click_count
 FROM half h LEFT JOIN product_info p USING (product_id) GROUP BY 1, 2""".replace(_RANGE, "")
+
+# Contents of the session job's tables, each row as one text. None of its columns is null in a drawn session's lists.
+_SHARES = ", ".join(f"printf('%.2f', \"{name[2:]}_ratio\")" for name in _COUNTER_NAMES)
+_DETAIL_NAMES = (
+    "user_id", "session_id", "page_id", "action_time", "search_keyword", "click_category_id", "click_product_id",
+    "order_category_ids", "order_product_ids", "pay_category_ids", "pay_product_ids",
+)
+_DETAIL_TEXT = " || '|' || ".join(f"coalesce(CAST({name} AS VARCHAR), '-')" for name in _DETAIL_NAMES)
+ORACLES["session_job"] = f"""WITH {_CATEGORIES},
+{_DRAWN.removeprefix(_SESSIONS + ",")},
+share AS (SELECT session_count, {_RATIOS} FROM (SELECT {_COUNTERS} FROM session)),
+wanted AS (SELECT session_id FROM drawn UNION SELECT session_id FROM ranked WHERE rn <= 10),
+detail AS (SELECT {_DETAIL_COLUMNS} FROM action WHERE session_id IN (SELECT session_id FROM wanted))
+SELECT 'session_aggr_stat' AS table_name, concat_ws('|', CAST(session_count AS VARCHAR), {_SHARES}) AS content FROM share
+UNION ALL
+SELECT 'session_random_extract', session_id || '|' || strftime(start_at, '%Y-%m-%d %H:%M:%S') || '|'
+       || coalesce(search_keywords, '') || '|' || coalesce(array_to_string(categories, ','), '')
+FROM session WHERE session_id IN (SELECT session_id FROM drawn)
+UNION ALL SELECT 'session_detail', {_DETAIL_TEXT} FROM detail
+UNION ALL SELECT 'top10_category', concat_ws('|', category_id, click_count, order_count, pay_count) FROM top10
+UNION ALL SELECT 'top10_session', concat_ws('|', category_id, session_id, click_count) FROM ranked WHERE rn <= 10"""
+
+# The streams get the month in four parts, one batch each; a user is listed from the batch after the one in which
+# a count of a day and ad reaches the threshold, and until then all clicks of the user are accepted.
+_BATCHES = f"""{_ADS},
+batched AS (SELECT *, CAST(ts AS DATE) AS d, least((day(ts) - 1) // 7, 3) AS batch FROM ad_click),
+reached AS (
+  SELECT user_id, min(batch) AS batch FROM (
+    SELECT user_id, d, ad_id, batch, count(*) AS n FROM batched GROUP BY 1, 2, 3, 4
+  ) WHERE n >= 2 GROUP BY 1
+),
+accepted AS (
+  SELECT b.* FROM batched b LEFT JOIN reached r USING (user_id) WHERE r.batch IS NULL OR b.batch <= r.batch
+)"""
+ORACLES["stream_blacklist"] = f"WITH {_BATCHES} SELECT user_id FROM reached"
+ORACLES["stream_user_click_count"] = f"""WITH {_BATCHES}
+SELECT {_D}, user_id, ad_id, count(*) AS click_count FROM accepted GROUP BY d, user_id, ad_id"""
+ORACLES["ad_job"] = f"""WITH {_BATCHES},
+accepted_top AS (
+  SELECT d, province, ad_id, count(*) AS click_count,
+         row_number() OVER (PARTITION BY d, province ORDER BY count(*) DESC, ad_id) AS rank
+  FROM accepted GROUP BY 1, 2, 3
+)
+SELECT {_D}, province, ad_id, click_count FROM accepted_top WHERE rank <= 3"""
+ORACLES["stream_sliding_trend"] = f"""WITH {_ADS},
+step AS (SELECT epoch_us(ts) // 10000000 AS step, ad_id, count(*) AS n FROM ad_click GROUP BY 1, 2),
+slid AS (
+  SELECT step + i AS w, ad_id, sum(n) AS n FROM step, (SELECT unnest(range(360)) AS i) GROUP BY 1, 2
+)
+SELECT ad_id, count(*) AS windows, CAST(sum(n) AS BIGINT) AS clicks, CAST(max(n) AS BIGINT) AS busiest FROM slid GROUP BY 1"""
+ORACLES["page_job"] = f"SELECT CAST(3 AS BIGINT) AS task_id, * FROM ({ORACLES['page_flow_conversion']})"

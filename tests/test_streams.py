@@ -1,6 +1,8 @@
 """Streams in several batches against the batch forms, and the result tables they write."""
 
+import os
 import random
+import time
 
 import pytest
 from frames import actions, ad_clicks, at, cities, products, users
@@ -10,7 +12,7 @@ from visitlens.params import TaskParams
 from visitlens.plans import ads as A
 from visitlens.plans import jobs
 from visitlens.settings import scratch_dir
-from visitlens.sinks import RESULT_TABLES, fold_result, read_result, write_batch, write_result
+from visitlens.sinks import RESULT_TABLES, read_result, results, write_batch, write_result
 from visitlens.sources import parse_ad_log, read_log_files, views
 from visitlens.streaming import ads as S
 from visitlens.streaming import blacklist as B
@@ -71,30 +73,78 @@ def test_bad_lines_do_not_stop_a_stream(spark):
     assert read_result(spark, "ad_stat", root).agg(F.sum("click_count")).first()[0] == 5
 
 
-def test_old_minutes_leave_the_state(spark):
+def test_sliding_windows_come_from_steps(spark):
     feed, root = Feed(spark), scratch_dir(spark, "root")
+    everything = []
+    for part in range(2):
+        rows = random_clicks(40, part)
+        everything += rows
+        feed.add(rows)
+        S.start_click_steps(feed.clicks(), root, f"{root}/c", once=True).awaitTermination()
+    batch = ad_clicks(spark, everything)
+    assert rows_of(S.read_sliding(spark, root)) == rows_of(A.sliding_click_trend(batch))
+    assert rows_of(S.read_minutes(spark, root)) == rows_of(A.ad_click_trend(batch))
+
+
+def test_the_interval_trigger_takes_several_batches(spark):
+    feed, root = Feed(spark), scratch_dir(spark, "root")
+    feed.add(random_clicks(30, 1))
+    query = S.start_ad_stat(feed.clicks(), root, f"{root}/c")
+    try:
+        query.processAllAvailable()
+        feed.add(random_clicks(30, 2))
+        query.processAllAvailable()
+        assert len([p for p in query.recentProgress if p["numInputRows"]]) == 2
+    finally:
+        query.stop()
+    assert read_result(spark, "ad_stat", root).agg(F.sum("click_count")).first()[0] == 60
+
+
+def test_past_days_are_neither_read_nor_rewritten(spark):
+    """A batch touches the folders of its own day only, and a day keeps a bounded number of folders."""
+    root = scratch_dir(spark, "root")
+    folder = f"{root}/ad_stat"
 
-    def keep(totals, batch_id):
-        totals.write.mode("overwrite").parquet(f"{root}/t/batch_id={batch_id}")
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet")}
 
+    number = 0
     for day in range(3):
-        feed.add([(at(0, day), "North", "Xi", 1, 1)])
-        frame = S.running_click_trend(feed.clicks(), late="60 minutes")
-        query = S.start(frame, keep, f"{root}/c", "update", once=True)
-        query.awaitTermination()
-    # A run that only moves the watermark drops what is behind it.
-    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 2
-    assert spark.read.parquet(f"{root}/t").where("click_count = 1").count() == 3
+        for _ in range(2 * results.FOLD_AFTER + 3):
+            before = {f for f in files() if f"date={at(0, day).date()}" not in f}
+            S.add_stat(A.ad_stat(ad_clicks(spark, [(at(0, day), "p", "c", 1, 1)])).coalesce(1), root, number)
+            assert before <= files()
+            number += 1
+        assert len([f for f in files() if f"date={at(0, day).date()}" in f]) <= results.FOLD_AFTER + 3
+        today = results._rows(spark, "ad_stat", root, [str(at(0, day).date())], None)
+        assert all(f"date={at(0, day).date()}" in f for f in today.inputFiles())
+    assert [r.click_count for r in read_result(spark, "ad_stat", root).orderBy("date").collect()] == [19, 19, 19]
+
+
+def test_a_repeated_batch_replaces_itself_around_a_fold(spark):
+    root = scratch_dir(spark, "root")
+    for number in range(3 * results.FOLD_AFTER):
+        for _ in range(1 + number % 2):
+            write_batch(ad_stat_rows(spark, ("p", number % 3, 2)), "ad_stat", root, number)
+    want = [(at(0).date(), "p", "c", ad, 2 * results.FOLD_AFTER) for ad in range(3)]
+    assert rows_of(read_result(spark, "ad_stat", root)) == want
 
 
-def test_sliding_counts(spark):
-    feed, root = Feed(spark), scratch_dir(spark, "root")
-    rows = random_clicks(40)
-    feed.add(rows)
-    frame = S.sliding_counts(feed.clicks(), "60 minutes", "10 minutes")
-    S.start(frame, lambda df, i: df.write.mode("append").parquet(f"{root}/w"), f"{root}/c", "update", True).awaitTermination()
-    want = A.sliding_click_trend(ad_clicks(spark, rows), "60 minutes", "10 minutes")
-    assert rows_of(spark.read.parquet(f"{root}/w")) == rows_of(want)
+def ad_stat_rows(spark, *rows):
+    columns = "date date, province string, city string, ad_id bigint, click_count bigint"
+    return spark.createDataFrame([(at(0).date(), p, "c", ad, n) for p, ad, n in rows], columns)
+
+
+def test_many_users_in_one_batch(spark):
+    """No Python per user: many distinct users pass in seconds."""
+    clicks = spark.range(200_000).selectExpr(
+        "timestamp '2024-01-03 10:00:00' as ts", "'p' as province", "'c' as city", "id % 60000 as user_id", "id % 3 as ad_id"
+    )
+    root, began = scratch_dir(spark, "root"), time.time()
+    B.handle_batch(clicks, root, 0, 4)
+    assert time.time() - began < 60
+    assert read_result(spark, "ad_user_click_count", root).agg(F.sum("click_count")).first()[0] == 200_000
+    assert read_result(spark, "ad_blacklist", root).count() == 0 + read_result(spark, "ad_user_click_count", root).where("click_count >= 4").select("user_id").distinct().count()
 
 
 def brute_blacklist(batches, threshold):
@@ -127,47 +177,16 @@ def test_dynamic_blacklist_takes_effect_from_the_next_batch(spark, threshold):
     assert rows_of(read_result(spark, "ad_province_top3", root)) == rows_of(top)
 
 
-def test_counting_in_the_task_keeps_every_click(spark):
-    import pyarrow as pa
-
-    rows = [(u % 3, at(0).date(), "p", "c", u % 2, 1) for u in range(100)]
-    names = ["user_id", "date", "province", "city", "ad_id", "click_count"]
-    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i:i + 30]])
-               for i in range(0, 100, 30)]
-    counted = pa.Table.from_batches(list(B._count_in_task(iter(batches))))
-    assert counted.num_rows == 6 and sum(counted["click_count"].to_pylist()) == 100
-
-
 def test_batch_tables(spark):
-    root = scratch_dir(spark, "root")
-    day = at(0).date()
-
-    def stat(*rows):
-        return spark.createDataFrame(rows, "date date, province string, city string, ad_id bigint, click_count bigint")
-
-    write_batch(stat((day, "p", "c", 1, 5), (day, "p", "c", 2, 6)), "ad_stat", root, 0)
-    write_batch(stat((day, "p", "c", 1, 9)), "ad_stat", root, 10)
-    write_batch(stat((day, "p", "c", 1, 7)), "ad_stat", root, 9)
-    write_batch(stat((day, "p", "c", 1, 9)), "ad_stat", root, 10)
-    want = [(day, "p", "c", 1, 9), (day, "p", "c", 2, 6)]
-    assert rows_of(read_result(spark, "ad_stat", root)) == want
-    fold_result(spark, "ad_stat", root, f"{root}/new")
-    assert rows_of(read_result(spark, "ad_stat", f"{root}/new")) == want
-    write_batch(stat((day, "p", "c", 2, 8)), "ad_stat", f"{root}/new", 11)
-    assert rows_of(read_result(spark, "ad_stat", f"{root}/new")) == [want[0], (day, "p", "c", 2, 8)]
-
-    counts = "date date, user_id bigint, ad_id bigint, click_count bigint"
+    root, day = scratch_dir(spark, "root"), at(0).date()
     for batch_id in (0, 1, 1):
-        write_batch(spark.createDataFrame([(day, 1, 1, 4)], counts), "ad_user_click_count", root, batch_id)
-    assert rows_of(read_result(spark, "ad_user_click_count", root)) == [(day, 1, 1, 8)]
-    fold_result(spark, "ad_user_click_count", root, f"{root}/new")
-    # The last batch comes again after the fold and is not counted twice.
-    write_batch(spark.createDataFrame([(day, 1, 1, 4)], counts), "ad_user_click_count", f"{root}/new", 1)
-    assert rows_of(read_result(spark, "ad_user_click_count", f"{root}/new")) == [(day, 1, 1, 8)]
+        write_batch(ad_stat_rows(spark, ("p", 1, 5), ("p", 2, batch_id)), "ad_stat", root, batch_id)
+    assert rows_of(read_result(spark, "ad_stat", root)) == [(day, "p", "c", 1, 10), (day, "p", "c", 2, 1)]
 
     for batch_id in (0, 1):
         write_batch(spark.createDataFrame([(3,), (batch_id,)], "user_id bigint"), "ad_blacklist", root, batch_id)
     assert rows_of(read_result(spark, "ad_blacklist", root)) == [(0,), (1,), (3,)]
+    assert rows_of(results.read_days(spark, "ad_blacklist", root, before=1)) == [(0,), (3,)]
 
     top = "date date, province string, ad_id bigint, click_count bigint"
     write_batch(spark.createDataFrame([(day, "p", 1, 4), (day, "p", 2, 3), (day, "q", 5, 1)], top), "ad_province_top3", root, 0)
@@ -184,7 +203,10 @@ def test_session_job_writes_its_tables(spark):
             {"session_id": f"s{i}", "user_id": 1, "page_id": 2, "action_time": at(5), "click_category_id": i % 3},
         ]
     frame, people = actions(spark, rows), users(spark)
-    jobs.run_session_job(frame, people, TaskParams(), root, 4, total=10)
+    before = set(os.listdir(os.path.dirname(root)))
+    for _ in range(2):  # a task that runs again replaces its rows
+        jobs.run_session_job(frame, people, TaskParams(), root, 4, total=10)
+    assert not [f for f in set(os.listdir(os.path.dirname(root))) - before if f.startswith("shared")]
     jobs.run_page_job(frame, TaskParams(page_flow=(1, 2)), root, 4)
     stats = read_result(spark, "session_aggr_stat", root).first()
     assert (stats.task_id, stats.session_count, stats["4s_6s_ratio"], stats["1_3_ratio"]) == (4, 30, 1.0, 1.0)
@@ -192,9 +214,9 @@ def test_session_job_writes_its_tables(spark):
     assert len(drawn) == 10 and all(r.search_keywords == "k" and r.click_category_ids in "012" for r in drawn)
     assert [r.click_count for r in read_result(spark, "top10_category", root).collect()] == [10, 10, 10]
     assert read_result(spark, "top10_session", root).count() == 30
-    # Details of ten drawn sessions and of the thirty leading ones.
+    # Details of the thirty leading sessions, the ten drawn ones among them.
     details = read_result(spark, "session_detail", root)
-    assert details.count() == 2 * (10 + 30)
+    assert details.count() == 2 * 30 == details.distinct().count()
     assert details.columns == list(RESULT_TABLES["session_detail"].columns)
     assert read_result(spark, "page_split_convert_rate", root).first().convert_rate == "1_2=1.00"
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DatetimeType, NumericType
 
@@ -32,6 +34,24 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shared_frames(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a frame to scratch once and reads it back; all of it is removed at the end."""
+    root = scratch_dir(spark, "shared")
+    number = count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{root}/{next(number)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(root)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _key_hash(on: Sequence[str | Column]) -> Column:
     return F.xxhash64(*on)
 

@@ -69,6 +69,21 @@ def ad_click_trend(clicks: DataFrame) -> DataFrame:
     return trend_columns(per_minute)
 
 
+def step_counts(clicks: DataFrame, slide: str = "10 seconds") -> DataFrame:
+    """Clicks per step of a sliding window (the step's start) and ad."""
+    return clicks.groupBy(F.window("ts", slide).start.alias("step"), "ad_id").agg(F.count(F.lit(1)).alias("click_count"))
+
+
+def sliding_of_steps(steps: DataFrame, width: str = "60 minutes", slide: str = "10 seconds") -> DataFrame:
+    """Clicks per window, minute and ad. A step falls into width/slide windows, so only counts are repeated."""
+    minute = F.date_trunc("minute", "step").alias("minute")
+    return (
+        steps.groupBy(F.window("step", width, slide).alias("w"), minute, "ad_id")
+        .agg(F.sum("click_count").alias("click_count"))
+        .select(F.col("w.start").alias("window_start"), "minute", "ad_id", "click_count")
+    )
+
+
 def sliding_click_trend(
     clicks: DataFrame, width: str = "60 minutes", slide: str = "10 seconds"
 ) -> DataFrame:

@@ -75,3 +75,26 @@ def top_sessions_per_category(visits: DataFrame, top: DataFrame, categories: int
     clicks = session_clicks(visits.join(wanted, "category_id", "left_semi"))
     order = [F.desc("click_count"), F.asc("session_id")]
     return top_per_group(clicks, ["category_id"], order, n, unique="session_id").drop("rank")
+
+
+# The same from visits counted per session, which are fewer rows to keep
+
+
+def visit_counts(visits: DataFrame) -> DataFrame:
+    """Visits per session, category and kind."""
+    return visits.groupBy("session_id", "category_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_categories_of(counts: DataFrame, n: int = 10) -> DataFrame:
+    def sum_of(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(f"{kind}_count")
+
+    return top_rows(counts.groupBy("category_id").agg(sum_of("click"), sum_of("order"), sum_of("pay")), category_order(), n)
+
+
+def top_sessions_of(counts: DataFrame, top: DataFrame, categories: int = 10, n: int = 10) -> DataFrame:
+    wanted = bounded_broadcast(top.select("category_id"), categories)
+    clicks = counts.where("kind = 'click'").join(wanted, "category_id", "left_semi")
+    clicks = clicks.select("category_id", "session_id", F.col("n").alias("click_count"))
+    order = [F.desc("click_count"), F.asc("session_id")]
+    return top_per_group(clicks, ["category_id"], order, n, unique="session_id").drop("rank")

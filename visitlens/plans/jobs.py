@@ -8,22 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from visitlens.operators.joins import materialized
+from visitlens.operators.joins import shared_frames
 from visitlens.params import TaskParams
-from visitlens.plans.categories import top_categories, top_sessions_per_category, visits_in_sessions
+from visitlens.plans.categories import top_categories_of, top_sessions_of, visit_counts, visits_in_sessions
 from visitlens.plans.pages import page_flow_conversion
 from visitlens.plans.products import AREA_LEVELS, area_top_products
 from visitlens.plans.sessions import (
+    DETAIL_COLUMNS,
+    actions_of_sessions,
     extract_session_ids,
     extract_sessions_of,
     qualified_sessions,
-    session_details,
     session_stats,
 )
 from visitlens.sinks.results import write_result
 from visitlens.sources.tables import actions_in_range, typed_actions
-from visitlens.streaming.ads import start_ad_stat, start_click_trend, start_province_top3
-from visitlens.streaming.blacklist import read_accepted, start_accepted, start_users
+from visitlens.streaming.ads import start_click_trend
+from visitlens.streaming.blacklist import start_blacklist_job
 
 
 def run_session_job(
@@ -38,31 +39,34 @@ def run_session_job(
 ) -> None:
     """Session statistics, drawn sessions, top categories and their top sessions of one task.
 
-    The qualified sessions and their category visits each serve several results, so both are
-    written to the scratch folder once instead of being computed again.
+    Frames that serve several results are written to scratch folders, which are removed at the end: the
+    qualified sessions, visits counted per session and category, and the actions of all sessions that are
+    drawn or leading, of which there are at most ``total + top * top``. A task that runs again replaces its
+    rows. A session that is both drawn and leading is detailed once.
     """
-    actions = typed_actions(actions_in_range(actions, params))
-    qualified = qualified_sessions(actions, users, params)
-    sessions = materialized(
-        qualified.select("session_id", "start_time", "visit_length", "step_length"), "sessions"
-    )
-    write_result(session_stats(sessions), "session_aggr_stat", root, task_id)
-
-    drawn = materialized(extract_session_ids(sessions, total, seed), "drawn")
-    extract = extract_sessions_of(actions, drawn, total)
-    as_text = {
-        "search_keywords": F.array_join("search_keywords", ","),
-        "click_category_ids": F.array_join(F.col("click_category_ids").cast("array<string>"), ","),
-    }
-    write_result(extract.withColumns(as_text), "session_random_extract", root, task_id)
-    write_result(session_details(actions, drawn, total), "session_detail", root, task_id)
-
-    visits = materialized(visits_in_sessions(actions, sessions), "visits")
-    categories = materialized(top_categories(visits, top), "categories")
-    write_result(categories, "top10_category", root, task_id)
-    leaders = materialized(top_sessions_per_category(visits, categories, top, top), "leaders")
-    write_result(leaders, "top10_session", root, task_id)
-    write_result(session_details(actions, leaders, top * top), "session_detail", root, task_id)
+    spark = actions.sparkSession
+    with shared_frames(spark) as keep:
+        actions = typed_actions(actions_in_range(actions, params))
+        qualified = qualified_sessions(actions, users, params)
+        sessions = keep(qualified.select("session_id", "start_time", "visit_length", "step_length"))
+        write_result(session_stats(sessions), "session_aggr_stat", root, task_id)
+
+        visits = keep(visit_counts(visits_in_sessions(actions, sessions)))
+        categories = keep(top_categories_of(visits, top))
+        write_result(categories, "top10_category", root, task_id)
+        leaders = keep(top_sessions_of(visits, categories, top, top))
+        write_result(leaders, "top10_session", root, task_id)
+
+        drawn = keep(extract_session_ids(sessions, total, seed))
+        wanted = drawn.select("session_id").union(leaders.select("session_id")).distinct()
+        details = keep(actions_of_sessions(actions, wanted, total + top * top))
+        write_result(details.select(*DETAIL_COLUMNS), "session_detail", root, task_id)
+        extract = extract_sessions_of(details, drawn, total)
+        as_text = {
+            "search_keywords": F.array_join("search_keywords", ","),
+            "click_category_ids": F.array_join(F.col("click_category_ids").cast("array<string>"), ","),
+        }
+        write_result(extract.withColumns(as_text), "session_random_extract", root, task_id)
 
 
 def run_product_job(
@@ -91,28 +95,14 @@ def run_page_job(actions: DataFrame, params: TaskParams, root: str, task_id: int
 def start_click_job(
     clicks: DataFrame, root: str, checkpoints: str, threshold: int, once: bool = False
 ) -> list[StreamingQuery]:
-    """The two queries on the raw clicks: those the blacklist accepts, and the click trend."""
+    """The queries on the raw clicks: the blacklist with all tables of the accepted clicks, and the click trend."""
     return [
-        start_accepted(clicks, root, f"{checkpoints}/accepted", threshold, once),
+        start_blacklist_job(clicks, root, f"{checkpoints}/accepted", threshold, once=once),
         start_click_trend(clicks, root, f"{checkpoints}/trend", once=once),
     ]
 
 
-def start_accepted_job(
-    accepted: DataFrame, root: str, checkpoints: str, once: bool = False
-) -> list[StreamingQuery]:
-    """The three queries on the accepted counts: users, totals and top ads per province."""
-    return [
-        start_users(accepted, root, f"{checkpoints}/users", once),
-        start_ad_stat(accepted, root, f"{checkpoints}/stat", once=once),
-        start_province_top3(accepted, root, f"{checkpoints}/top3", once=once),
-    ]
-
-
 def run_ad_job(clicks: DataFrame, root: str, checkpoints: str, threshold: int) -> None:
-    """Handle all clicks there are now: raw queries first, then those on the accepted counts."""
+    """Handle all clicks there are now."""
     for query in start_click_job(clicks, root, checkpoints, threshold, once=True):
         query.awaitTermination()
-    accepted = read_accepted(clicks.sparkSession, root)
-    for query in start_accepted_job(accepted, root, checkpoints, once=True):
-        query.awaitTermination()

@@ -1,7 +1,7 @@
 from visitlens.sinks.results import (
     RESULT_TABLES,
     ResultTable,
-    fold_result,
+    read_days,
     read_result,
     write_batch,
     write_jdbc,
@@ -11,7 +11,7 @@ from visitlens.sinks.results import (
 __all__ = [
     "RESULT_TABLES",
     "ResultTable",
-    "fold_result",
+    "read_days",
     "read_result",
     "write_batch",
     "write_jdbc",

@@ -1,8 +1,9 @@
 """The result tables: their columns, how new rows meet old ones, and how they are written and read.
 
-A job appends its rows. A stream writes each micro-batch into its own ``batch_id`` folder, so a
-repeated batch replaces itself and nothing that is already there is rewritten; the rows that count
-are worked out on reading.
+A job's rows of a task have a folder of their own, so a job that runs again replaces them. A stream writes what a
+micro-batch adds into ``date=.../full=0/batch_id=...``, so a repeated batch replaces itself; every few batches
+of a day it writes the day's rows as a whole (``full=1``) and removes what these contain. A batch therefore
+reads and writes only the days it has clicks of, and a day keeps a bounded number of folders.
 """
 
 from __future__ import annotations
@@ -13,14 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH = "batch_id"
+#: Batches of a day that lie side by side before they are folded into one.
+FOLD_AFTER = 8
+#: The folder of tables that have no date.
+NO_DATE = "none"
 
 
 @dataclass(frozen=True)
 class ResultTable:
     """Columns in order, and for streamed tables the rule and the key by which rows meet.
 
-    ``latest``: the newest row of a key counts; ``sum``: the last column adds up per key;
-    ``latest_group``: the newest batch's rows of a key count; ``distinct``: one row per key.
+    ``sum``: the last column adds up per key; ``latest_group``: the newest batch's rows of a key count;
+    ``distinct``: one row per key.
     """
 
     columns: tuple[str, ...]
@@ -63,7 +68,7 @@ RESULT_TABLES = {
     ),
     "ad_blacklist": ResultTable(("user_id",), "distinct", ("user_id",)),
     "ad_stat": ResultTable(
-        ("date", "province", "city", "ad_id", "click_count"), "latest", ("date", "province", "city", "ad_id")
+        ("date", "province", "city", "ad_id", "click_count"), "sum", ("date", "province", "city", "ad_id")
     ),
     "ad_province_top3": ResultTable(
         ("date", "province", "ad_id", "click_count"), "latest_group", ("date", "province")
@@ -71,8 +76,15 @@ RESULT_TABLES = {
     "ad_click_trend": ResultTable(
         ("date", "hour", "minute", "ad_id", "click_count"), "sum", ("date", "hour", "minute", "ad_id")
     ),
+    # Clicks per step of time, of which sliding windows are made on reading; no table of the given ones.
+    "ad_click_step": ResultTable(("date", "step", "ad_id", "click_count"), "sum", ("date", "step", "ad_id")),
 }
 
+_TYPES = {
+    "date": "date", "user_id": "bigint", "ad_id": "bigint", "click_count": "bigint", "step": "timestamp",
+    "province": "string", "city": "string", "hour": "string", "minute": "string",
+}
+
 
 def _laid_out(df: DataFrame, name: str, task_id: int | None) -> DataFrame:
     table = RESULT_TABLES[name]
@@ -81,14 +93,9 @@ def _laid_out(df: DataFrame, name: str, task_id: int | None) -> DataFrame:
     return df.select(*table.columns)
 
 
-def write_result(df: DataFrame, name: str, root: str, task_id: int | None = None) -> None:
-    """Append a job's rows to a result table below ``root``."""
-    _laid_out(df, name, task_id).write.mode("append").parquet(f"{root}/{name}")
-
-
-def write_batch(df: DataFrame, name: str, root: str, batch_id: int) -> None:
-    """Write one micro-batch; the same batch written again replaces itself."""
-    _laid_out(df, name, None).write.mode("overwrite").parquet(f"{root}/{name}/{BATCH}={batch_id}")
+def write_result(df: DataFrame, name: str, root: str, task_id: int) -> None:
+    """Write a job's rows of one task below ``root``; the same task written again replaces itself."""
+    _laid_out(df, name, task_id).drop("task_id").write.mode("overwrite").parquet(f"{root}/{name}/task_id={task_id}")
 
 
 def write_jdbc(df: DataFrame, name: str, options: dict[str, str], task_id: int | None = None) -> None:
@@ -96,14 +103,59 @@ def write_jdbc(df: DataFrame, name: str, options: dict[str, str], task_id: int |
     _laid_out(df, name, task_id).write.format("jdbc").options(**options).mode("append").save()
 
 
+# Streamed tables
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    place, files = _folder(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place, files = _folder(spark, path)
+    files.delete(place, True)
+
+
+def _versions(spark: SparkSession, day: str, full: int) -> list[int]:
+    """Batches of one day's folder."""
+    return [int(n.removeprefix(f"{BATCH}=")) for n in _children(spark, f"{day}/full={full}") if n.startswith(f"{BATCH}=")]
+
+
+def days_of(df: DataFrame) -> list[str]:
+    """The days of a batch's rows, of which a micro-batch has few."""
+    return sorted(str(r["date"]) for r in df.select("date").distinct().collect())
+
+
+def _rows(spark: SparkSession, name: str, root: str, days: list[str] | None, before: int | None) -> DataFrame:
+    """Rows that are not yet contained in a fold, with ``batch_id``, of all days or of some, from batches below ``before``."""
+    table = RESULT_TABLES[name]
+    columns = ", ".join(f"{c} {_TYPES[c]}" for c in table.columns if c != "date")
+    schema = f"{columns}, date string, full int, {BATCH} bigint"
+    path = f"{root}/{name}"
+    known = _children(spark, path)
+    wanted = known if days is None else [d for d in known if d.removeprefix("date=") in days]
+    wanted = [d for d in wanted if d.startswith("date=")]
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{d}" for d in wanted])
+    if before is not None:
+        rows = rows.where(F.col(BATCH) < before)
+    folded = rows.where("full = 1").groupBy("date").agg(F.max(BATCH).alias("upto"))
+    newest = rows.join(F.broadcast(folded), "date", "left")  # one row a day
+    return newest.where(F.expr(f"upto is null or {BATCH} > upto or (full = 1 and {BATCH} = upto)")).drop("upto", "full")
+
+
 def _settled(rows: DataFrame, name: str) -> DataFrame:
     """Rows of a streamed table with ``batch_id``, reduced to those that count."""
     table = RESULT_TABLES[name]
     keys, value = list(table.key), table.columns[-1]
     if table.rule == "sum":
         settled = rows.groupBy(*keys).agg(F.sum(value).alias(value))
-    elif table.rule == "latest":
-        settled = rows.groupBy(*keys).agg(F.max_by(value, BATCH).alias(value))
     elif table.rule == "latest_group":
         newest = rows.groupBy(*keys).agg(F.max(BATCH).alias(BATCH))
         settled = rows.join(newest, [*keys, BATCH], "left_semi")
@@ -114,21 +166,54 @@ def _settled(rows: DataFrame, name: str) -> DataFrame:
     return settled.select(*table.columns)
 
 
-def read_result(spark: SparkSession, name: str, root: str) -> DataFrame:
-    """The rows of a result table that count, in the table's column order."""
-    rows = spark.read.parquet(f"{root}/{name}")
-    if RESULT_TABLES[name].rule != "append":
-        rows = _settled(rows, name)
-    return rows.select(*RESULT_TABLES[name].columns)
+def read_days(
+    spark: SparkSession, name: str, root: str, days: list[str] | None = None, before: int | None = None
+) -> DataFrame:
+    """The rows of a streamed table that count, of all days or of some, as they were before a batch."""
+    rows = _rows(spark, name, root, days, before)
+    if "date" in RESULT_TABLES[name].columns:
+        rows = rows.withColumn("date", F.col("date").cast("date"))
+    return _settled(rows, name)
 
 
-def fold_result(spark: SparkSession, name: str, root: str, new_root: str) -> None:
-    """Copy a streamed table to ``new_root`` with all batches but the last folded into one.
+def write_batch(df: DataFrame, name: str, root: str, batch_id: int) -> None:
+    """Add one micro-batch to a streamed table; the same batch written again replaces itself.
 
-    The last batch stays as it is, because a restarted stream may write it again. Run while the
-    stream is stopped, then let it go on at ``new_root``.
+    When a batch starts, those before it are done for good: what their folds contain is removed then, not
+    earlier. A day with FOLD_AFTER batches since its last fold is folded.
     """
+    spark, table, path = df.sparkSession, RESULT_TABLES[name], f"{root}/{name}"
+    dated = "date" in table.columns
+    laid = _laid_out(df, name, None)
+    days = days_of(laid) if dated else [NO_DATE]
+    fold = []
+    for day in days:
+        place = f"{path}/date={day}"
+        folds = [v for v in _versions(spark, place, 1) if v < batch_id]
+        parts = [v for v in _versions(spark, place, 0) if v < batch_id]
+        upto = max(folds, default=None)
+        for full, old in ((1, folds), (0, parts)):
+            for v in old:
+                if upto is not None and (v < upto or (full == 0 and v == upto)):
+                    remove_folder(spark, f"{place}/full={full}/{BATCH}={v}")
+        if sum(upto is None or v > upto for v in parts) >= FOLD_AFTER:
+            fold.append(day)
+    text = laid.withColumn("date", F.col("date").cast("string") if dated else F.lit(NO_DATE))
+    _put(text, path, 0, batch_id)
+    if fold:
+        whole = read_days(spark, name, root, fold, batch_id + 1)
+        _put(whole.withColumn("date", F.col("date").cast("string") if dated else F.lit(NO_DATE)), path, 1, batch_id)
+
+
+def _put(df: DataFrame, path: str, full: int, batch_id: int) -> None:
+    """Replace the (date, full, batch) folders of ``df`` and no others."""
+    placed = df.withColumns({"full": F.lit(full), BATCH: F.lit(batch_id)})
+    placed.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("date", "full", BATCH).parquet(path)
+
+
+def read_result(spark: SparkSession, name: str, root: str) -> DataFrame:
+    """The rows of a result table that count, in the table's column order."""
+    if RESULT_TABLES[name].rule != "append":
+        return read_days(spark, name, root)
     rows = spark.read.parquet(f"{root}/{name}")
-    last = rows.agg(F.max(BATCH)).first()[0]
-    write_batch(_settled(rows.where(F.col(BATCH) < last), name), name, new_root, -1)
-    write_batch(rows.where(F.col(BATCH) == last), name, new_root, last)
+    return rows.withColumn("task_id", F.col("task_id").cast("bigint")).select(*RESULT_TABLES[name].columns)

@@ -146,12 +146,16 @@ def ad_click(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_ad_clicks(table(spark, sf_dir, "events"), city_info(spark, sf_dir))
 
 
-def ad_click_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = (
-        spark.readStream.schema(table(spark, sf_dir, "events").schema)
-        # A pattern matches one file as well as a folder of files.
-        .parquet(f"{sf_dir}/events.{{parquet}}")
-    )
+def event_parts(spark: SparkSession, sf_dir: str, parts: int) -> list[DataFrame]:
+    """The events in ``parts`` stretches of days of the month, the last one the longest."""
+    number = F.least(F.floor((F.dayofmonth("ts") - 1) / (30 // parts)), F.lit(parts - 1))
+    events = table(spark, sf_dir, "events")
+    return [events.where(number == i) for i in range(parts)]
+
+
+def ad_click_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """A stream over event files that are put into ``folder``."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(folder)
     return as_ad_clicks(events, city_info(spark, sf_dir))
 
 

@@ -1,22 +1,26 @@
-"""Streaming totals, top ads per province and click trend.
+"""Streaming totals, top ads per province and click trends.
 
-Each ``start_*`` call starts one query that writes a result table of ``visitlens.sinks`` and keeps
-its state in the given checkpoint folder. ``once`` handles what is there now and stops.
+Each ``start_*`` call starts one query that adds every micro-batch to a result table of ``visitlens.sinks`` and
+keeps its place in the given checkpoint folder. ``once`` handles what is there now and stops. No query keeps
+state: a batch adds its own counts to the days it has clicks of, so a click counts however late it comes, and
+days without clicks are not touched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from visitlens.plans.ads import ad_click_trend, province_top_ads, trend_columns
-from visitlens.sinks.results import write_batch
+from visitlens.plans.ads import ad_click_trend, ad_stat, province_top_ads, sliding_of_steps, step_counts, trend_columns
+from visitlens.sinks.results import days_of, read_days, read_result, write_batch
 
 # Fixed value: time between micro-batches.
 BATCH_INTERVAL = "5 seconds"
+# Width and step of the sliding window.
+WINDOW_WIDTH, WINDOW_SLIDE = "60 minutes", "10 seconds"
 
 
 def batch_trigger(once: bool) -> dict[str, object]:
@@ -27,7 +31,7 @@ def start(
     frame: DataFrame,
     handle: Callable[[DataFrame, int], None],
     checkpoint: str,
-    mode: str,
+    mode: str = "append",
     once: bool = False,
 ) -> StreamingQuery:
     """Start a query that hands every micro-batch to ``handle``."""
@@ -40,77 +44,62 @@ def start(
     )
 
 
-def _clicks(frame: DataFrame) -> Column:
-    """Number of clicks of a group of single clicks or of counted ones."""
-    counted = "click_count" in frame.columns
-    return (F.sum("click_count") if counted else F.count(F.lit(1))).alias("click_count")
+def add_stat(stat: DataFrame, root: str, batch_id: int) -> None:
+    """Add a batch's clicks per day, province, city and ad to ``ad_stat``."""
+    write_batch(stat, "ad_stat", root, batch_id)
 
 
-def running_ad_stat(clicks: DataFrame, late: str | None = None) -> DataFrame:
-    """Running clicks per day, province, city and ad, from single clicks or accepted counts.
+def rank_changed(stat: DataFrame, root: str, batch_id: int, n: int = 3) -> None:
+    """Rank the ads of those days and provinces anew that a batch (its ``stat``, already added) has clicks of."""
+    changed = stat.select("date", "province").distinct()
+    totals = read_days(stat.sparkSession, "ad_stat", root, days_of(changed), batch_id + 1)
+    write_batch(province_top_ads(totals.join(changed, ["date", "province"], "left_semi"), n), "ad_province_top3", root, batch_id)
 
-    With ``late`` a day's state is dropped once the newest click is that much past its end.
-    """
-    if late is not None:
-        clicks = clicks.withWatermark("ts", late)
-    day = F.window("ts", "1 day").alias("day")
-    counts = clicks.groupBy(day, "province", "city", "ad_id").agg(_clicks(clicks))
-    return counts.select(F.to_date("day.start").alias("date"), "province", "city", "ad_id", "click_count")
 
+def start_ad_stat(clicks: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep ``ad_stat`` up to date."""
+    return start(clicks, lambda df, i: add_stat(ad_stat(df), root, i), checkpoint, once=once)
 
-def running_click_trend(clicks: DataFrame, late: str | None = "60 minutes") -> DataFrame:
-    """Running clicks per minute and ad as a stream of totals.
 
-    A minute's state is dropped ``late`` past its end, and clicks that come after that with it.
-    """
-    if late is not None:
-        clicks = clicks.withWatermark("ts", late)
-    counts = clicks.groupBy(F.window("ts", "1 minute").alias("w"), "ad_id").agg(
-        F.count(F.lit(1)).alias("click_count")
-    )
-    return trend_columns(counts.select(F.col("w.start").alias("minute"), "ad_id", "click_count"))
+def start_province_top3(clicks: DataFrame, root: str, checkpoint: str, n: int = 3, once: bool = False) -> StreamingQuery:
+    """Keep ``ad_stat`` and ``ad_province_top3`` up to date."""
 
+    def handle(df: DataFrame, batch_id: int) -> None:
+        stat = ad_stat(df).persist()
+        add_stat(stat, root, batch_id)
+        rank_changed(stat, root, batch_id, n)
+        stat.unpersist()
 
-def sliding_counts(
-    clicks: DataFrame, width: str = "60 minutes", slide: str = "10 seconds", late: str = "60 minutes"
-) -> DataFrame:
-    """Running clicks per sliding window, minute and ad. Every click counts in width/slide windows."""
-    minute = F.date_trunc("minute", "ts").alias("minute")
-    return (
-        clicks.withWatermark("ts", late)
-        .groupBy(F.window("ts", width, slide).alias("w"), minute, "ad_id")
-        .agg(F.count(F.lit(1)).alias("click_count"))
-        .select(F.col("w.start").alias("window_start"), "minute", "ad_id", "click_count")
-    )
+    return start(clicks, handle, checkpoint, once=once)
 
 
-def start_ad_stat(
-    clicks: DataFrame, root: str, checkpoint: str, late: str | None = None, once: bool = False
-) -> StreamingQuery:
-    """Keep ``ad_stat`` up to date; each batch writes the totals that changed."""
-    return start(
-        running_ad_stat(clicks, late), lambda df, i: write_batch(df, "ad_stat", root, i), checkpoint, "update", once
-    )
+def start_click_trend(clicks: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep ``ad_click_trend`` up to date."""
+    return start(clicks, lambda df, i: write_batch(ad_click_trend(df), "ad_click_trend", root, i), checkpoint, once=once)
 
 
-def start_province_top3(
-    clicks: DataFrame, root: str, checkpoint: str, n: int = 3, once: bool = False
+def start_click_steps(
+    clicks: DataFrame, root: str, checkpoint: str, slide: str = WINDOW_SLIDE, once: bool = False
 ) -> StreamingQuery:
-    """Keep ``ad_province_top3`` up to date; each batch ranks all running totals anew."""
-    return start(
-        running_ad_stat(clicks),
-        lambda df, i: write_batch(province_top_ads(df, n), "ad_province_top3", root, i),
-        checkpoint,
-        "complete",
-        once,
-    )
+    """Keep ``ad_click_step``, clicks per step of the sliding window, up to date. A click is one count, however
+    many windows it falls into."""
 
+    def handle(df: DataFrame, batch_id: int) -> None:
+        steps = step_counts(df, slide)
+        write_batch(steps.withColumn("date", F.to_date("step")), "ad_click_step", root, batch_id)
 
-def start_click_trend(clicks: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep ``ad_click_trend`` up to date; each batch adds its own clicks per minute.
+    return start(clicks, handle, checkpoint, once=once)
 
-    No state is kept, so a click counts in its minute however late it comes.
-    """
-    return start(
-        clicks, lambda df, i: write_batch(ad_click_trend(df), "ad_click_trend", root, i), checkpoint, "append", once
-    )
+
+def read_sliding(
+    spark: SparkSession, root: str, width: str = WINDOW_WIDTH, slide: str = WINDOW_SLIDE
+) -> DataFrame:
+    """Clicks per sliding window, minute and ad from the steps."""
+    return sliding_of_steps(read_result(spark, "ad_click_step", root), width, slide)
+
+
+def read_minutes(spark: SparkSession, root: str) -> DataFrame:
+    """The click trend from the steps, which a minute is made of."""
+    minute = F.date_trunc("minute", "step").alias("minute")
+    steps = read_result(spark, "ad_click_step", root)
+    return trend_columns(steps.groupBy(minute, "ad_id").agg(F.sum("click_count").alias("click_count")))

@@ -1,157 +1,68 @@
 """The dynamic blacklist: clicks of a batch are filtered by the users listed in earlier batches.
 
-Everything the rule needs belongs to one user, so the stream is keyed by user, and its state is
-whether the user is listed, and until then the clicks so far per (day, ad). Before that each input task
-counts its own clicks, so a user with very many clicks reaches the keyed step as a few rows per task.
+Everything is kept in result tables and joined per batch. Clicks are counted before they are joined, so a user
+with very many clicks is a few rows; counts are compared with the stored ones of the days the batch touches.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
+from visitlens.operators.joins import without_keys
 from visitlens.plans.ads import BLACKLIST_CLICKS
-from visitlens.sinks.results import write_batch
-from visitlens.streaming.ads import batch_trigger, start
-
-# Sent to the Python workers with the job, so that they need no installed copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from visitlens.sinks.results import BATCH, days_of, read_days, remove_folder, write_batch
+from visitlens.streaming.ads import add_stat, rank_changed, start
 
+ACCEPTED_TABLE = "ad_accepted_click"
 _KEY = ["user_id", "date", "province", "city", "ad_id"]
-_COUNTS = "user_id bigint, date date, province string, city string, ad_id bigint, click_count bigint"
 
-ACCEPTED = f"{_COUNTS}, listed boolean"
-ACCEPTED_TABLE = "ad_accepted_click"
+
+def counted(clicks: DataFrame) -> DataFrame:
+    """Clicks per user, day, province, city and ad; those without user, ad or time are left out."""
+    known = clicks.where("ts is not null and user_id is not null and ad_id is not null")
+    return known.withColumn("date", F.to_date("ts")).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("click_count"))
+
+
+def accept_batch(clicks: DataFrame, root: str, batch_id: int, threshold: int = BLACKLIST_CLICKS) -> DataFrame:
+    """The counts of a batch that pass the blacklist of the batches before, written once and added to the user counts;
+    users whose count of a day and ad reaches ``threshold`` with it are listed from the next batch on."""
+    spark = clicks.sparkSession
+    listed = read_days(spark, "ad_blacklist", root, before=batch_id)
+    folder = f"{root}/{ACCEPTED_TABLE}/{BATCH}="
+    without_keys(counted(clicks), listed, ["user_id"]).write.mode("overwrite").parquet(f"{folder}{batch_id}")
+    accepted = spark.read.parquet(f"{folder}{batch_id}")
+    remove_folder(spark, f"{folder}{batch_id - 2}")  # its batch is done and so is the next
+
+    key = ["date", "user_id", "ad_id"]
+    fresh = accepted.groupBy(*key).agg(F.sum("click_count").alias("click_count"))
+    stored = read_days(spark, "ad_user_click_count", root, days_of(accepted), batch_id)
+    stored = stored.withColumnRenamed("click_count", "earlier")
+    total = F.col("click_count") + F.coalesce("earlier", F.lit(0))
+    reached = fresh.join(stored, key, "left").where(total >= threshold).select("user_id").distinct()
+    write_batch(reached, "ad_blacklist", root, batch_id)
+    write_batch(fresh, "ad_user_click_count", root, batch_id)
+    return accepted
+
+
+def handle_batch(clicks: DataFrame, root: str, batch_id: int, threshold: int = BLACKLIST_CLICKS, n: int = 3) -> None:
+    """One batch of the whole blacklist job: accepted clicks, users, totals and top ads per province."""
+    accepted = accept_batch(clicks, root, batch_id, threshold)
+    stat = accepted.groupBy("date", "province", "city", "ad_id").agg(F.sum("click_count").alias("click_count"))
+    add_stat(stat, root, batch_id)
+    rank_changed(stat, root, batch_id, n)
+
+
+def start_users(
+    clicks: DataFrame, root: str, checkpoint: str, threshold: int = BLACKLIST_CLICKS, once: bool = False
+) -> StreamingQuery:
+    """Keep ``ad_user_click_count`` and ``ad_blacklist`` up to date."""
+    return start(clicks, lambda df, i: accept_batch(df, root, i, threshold), checkpoint, once=once)
 
 
-def _sum_clicks(table: pa.Table) -> pa.Table:
-    summed = table.group_by(_KEY).aggregate([("click_count", "sum")])
-    return summed.rename_columns([*_KEY, "click_count"]).select([*_KEY, "click_count"])
-
-
-def _count_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: pa.Table | None = None
-    for batch in batches:
-        table = _sum_clicks(pa.Table.from_batches([batch]))
-        held = table if held is None else _sum_clicks(pa.concat_tables([held, table]))
-        # Hand on what does not shrink instead of holding it.
-        if held.num_rows > 200_000:
-            yield from held.to_batches()
-            held = None
-    if held is not None:
-        yield from held.to_batches()
-
-
-class BlacklistProcessor(StatefulProcessor):
-    """State of one user; emits the batch's counts of a user that is not listed yet."""
-
-    def __init__(self, threshold: int) -> None:
-        self.threshold = threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # One value per user, because every access to state is a call from Python to the JVM.
-        self.user = handle.getValueState(
-            "user", "listed boolean, days array<int>, ads array<bigint>, clicks array<bigint>"
-        )
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        known = self.user.get()
-        if known is not None and known[0]:
-            return
-        counts: dict[tuple, int] = {}
-        if known is not None:
-            counts = {(day, ad): n for day, ad, n in zip(*known[1:], strict=True)}
-        accepted: dict[tuple, int] = {}
-        reached = False
-        for frame in rows:
-            for row in frame[[*_KEY[1:], "click_count"]].itertuples(index=False):
-                place = (row.date, row.province, row.city, row.ad_id)
-                accepted[place] = accepted.get(place, 0) + row.click_count
-                day_ad = (row.date.toordinal(), row.ad_id)
-                counts[day_ad] = counts.get(day_ad, 0) + row.click_count
-                reached = reached or counts[day_ad] >= self.threshold
-        if reached:
-            # No later click of the user counts, so only the flag has to stay.
-            self.user.update((True, [], [], []))
-        else:
-            days_ads = list(counts)
-            self.user.update((False, [d for d, _ in days_ads], [a for _, a in days_ads], list(counts.values())))
-        yield pd.DataFrame(
-            [(key[0], *place, clicks, reached) for place, clicks in accepted.items()],
-            columns=[*_KEY, "click_count", "listed"],
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def accepted_clicks(clicks: DataFrame, threshold: int = BLACKLIST_CLICKS) -> DataFrame:
-    """Counts of the clicks that pass, per user, day, province, city and ad of each batch.
-
-    ``listed`` is true where the user joined the blacklist in that batch. Needs the RocksDB state
-    store of ``visitlens.settings``.
-    """
-    single = clicks.where(F.col("ts").isNotNull() & F.col("user_id").isNotNull() & F.col("ad_id").isNotNull()).select(
-        "user_id",
-        F.to_date("ts").alias("date"),
-        "province",
-        "city",
-        "ad_id",
-        F.lit(1).cast("bigint").alias("click_count"),
-    )
-    counted = single.mapInArrow(_count_in_task, _COUNTS)
-    return counted.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=BlacklistProcessor(threshold),
-        outputStructType=ACCEPTED,
-        outputMode="Append",
-        timeMode="None",
-    )
-
-
-def start_accepted(
-    clicks: DataFrame,
-    root: str,
-    checkpoint: str,
-    threshold: int = BLACKLIST_CLICKS,
-    once: bool = False,
+def start_blacklist_job(
+    clicks: DataFrame, root: str, checkpoint: str, threshold: int = BLACKLIST_CLICKS, n: int = 3, once: bool = False
 ) -> StreamingQuery:
-    """Write the accepted counts as a file stream below ``root``, each batch exactly once."""
-    return (
-        accepted_clicks(clicks, threshold)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{root}/{ACCEPTED_TABLE}")
-        .option("checkpointLocation", checkpoint)
-        .trigger(**batch_trigger(once))
-        .start()
-    )
-
-
-def read_accepted(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
-    """The accepted counts as a stream, for the totals, the ranking and the tables of users.
-
-    ``ts`` is the day's start, all the time the totals per day need.
-    """
-    reader = spark.readStream.schema(ACCEPTED)
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{root}/{ACCEPTED_TABLE}").withColumn("ts", F.col("date").cast("timestamp"))
-
-
-def write_users(accepted: DataFrame, root: str, batch_id: int) -> None:
-    """Add a batch of accepted counts to the user counts and its new members to the blacklist."""
-    counts = accepted.groupBy("date", "user_id", "ad_id").agg(F.sum("click_count").alias("click_count"))
-    write_batch(counts, "ad_user_click_count", root, batch_id)
-    write_batch(accepted.where("listed").select("user_id").distinct(), "ad_blacklist", root, batch_id)
-
-
-def start_users(accepted: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep ``ad_user_click_count`` and ``ad_blacklist`` up to date from the accepted counts."""
-    return start(accepted, lambda df, i: write_users(df, root, i), checkpoint, "append", once)
+    """Keep all tables of the accepted clicks up to date."""
+    return start(clicks, lambda df, i: handle_batch(df, root, i, threshold, n), checkpoint, once=once)
