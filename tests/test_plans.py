@@ -126,8 +126,8 @@ def test_page_steps(spark):
     rows = [(f"s{i % 4}", at((i * 7919) % 30_000 // 5 * 5), (i * i) % 5) for i in range(2000)]
     rows += [("copies", at(10), 3)] * 50 + [("copies", at(10), 4)] * 2 + [("one", at(0), 1)]
     frame = actions(spark, [{"session_id": s, "user_id": 1, "action_time": t, "page_id": p} for s, t, p in rows])
-    for piece in ("hour", "minute", "day"):
-        got = {(r.from_page, r.to_page): r.steps for r in G.page_steps(frame, piece).collect()}
+    for piece, hot in (("hour", 10**6), ("minute", 10**6), ("day", 10**6), ("day", 2), ("hour", 1), ("minute", 0)):
+        got = {(r.from_page, r.to_page): r.steps for r in G.page_steps(frame, piece, hot).collect()}
         assert got == brute_steps(rows)
 
 

@@ -11,19 +11,44 @@ from pyspark.sql import functions as F
 from visitlens.functions.numbers import half_up_ratio
 
 
-def page_steps(actions: DataFrame, piece: str = "hour") -> DataFrame:
+#: Views of one piece of a session above which the piece is cut again.
+HOT_VIEWS = 100_000
+# Lengths of pieces, each inside the one before.
+_PIECES = ("day", "hour", "minute", "second")
+
+
+def page_views(actions: DataFrame) -> DataFrame:
+    """Views (session_id, action_time, page_id, n), equal ones counted."""
+    seen = actions.where(F.col("page_id").isNotNull())
+    return seen.groupBy("session_id", "action_time", "page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _in_pieces(views: DataFrame, piece: str, hot_views: int) -> DataFrame:
+    """``views`` with the beginning of its piece; pieces with very many views are cut shorter, down to seconds."""
+    lengths = _PIECES[_PIECES.index(piece) :]
+    begins = [F.date_trunc(length, "action_time") for length in lengths]
+    cut = views.withColumn("piece", begins[0])
+    for length, shorter in zip(lengths, begins[1:], strict=False):
+        counted = views.groupBy("session_id", F.date_trunc(length, "action_time").alias("piece")).count()
+        hot = counted.where(F.col("count") > hot_views).select("session_id", "piece", F.lit(True).alias("hot"))
+        cut = cut.join(hot, ["session_id", "piece"], "left")
+        cut = cut.withColumn("piece", F.when(F.col("hot"), shorter).otherwise(F.col("piece"))).drop("hot")
+    return cut
+
+
+def page_steps(actions: DataFrame, piece: str = "hour", hot_views: int = HOT_VIEWS) -> DataFrame:
     """Number of steps from each page to the next page of the session: (from_page, to_page, steps).
 
     Order: time, then page. Equal (session, time, page) rows are counted first, and a session is
-    cut into pieces of time that are ordered on their own; the step across a cut joins the last
-    page of a piece to the first of the next. So no task sorts a whole session.
+    cut into pieces of time that are ordered on their own, shorter ones where a piece is hot; the step
+    across a cut joins the last page of a piece to the first of the next. So no task sorts a whole session.
     """
-    views = (
-        actions.where(F.col("page_id").isNotNull() & F.col("action_time").isNotNull())
-        .groupBy("session_id", "action_time", "page_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("piece", F.date_trunc(piece, "action_time"))
-    )
+    return steps_of(page_views(actions), piece, hot_views)
+
+
+def steps_of(seen: DataFrame, piece: str = "hour", hot_views: int = HOT_VIEWS) -> DataFrame:
+    """``page_steps`` from counted views."""
+    views = _in_pieces(seen.where(F.col("action_time").isNotNull()), piece, hot_views)
     here = Window.partitionBy("session_id", "piece").orderBy("action_time", "page_id")
     placed = views.select(
         "session_id",
@@ -66,10 +91,13 @@ def page_flow_counts(actions: DataFrame, flow: Sequence[int], piece: str = "hour
         hit = (F.col("from_page") == a) & (F.col("to_page") == b)
         return F.coalesce(F.sum(F.when(hit, F.col("steps"))), F.lit(0))
 
-    counted = page_steps(actions, piece).where(wanted).agg(
+    # Steps and visits come from the same counted views; views without a time are visits all the same.
+    seen = page_views(actions)
+    counted = steps_of(seen, piece).where(wanted).agg(
         *[steps(a, b).alias(f"pair_{i}") for i, (a, b) in enumerate(pairs, 1)]
     )
-    visits = actions.agg(F.count_if(F.col("page_id") == flow[0]).alias("visits"))
+    first = F.when(F.col("page_id") == flow[0], F.col("n"))
+    visits = seen.agg(F.coalesce(F.sum(first), F.lit(0)).alias("visits"))
     return counted.withColumn("visits", visits.scalar())
 
 
