@@ -24,6 +24,10 @@ CASES = {
     f"<div style='display: none'>{P}</div><div class='ad'>{P}</div></article>": TEXT,
     f"<article>{P}<ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul></article>": TEXT,
     f"<article>{P}<ul><li>with <a href=1>one</a> link</ul></article>": f"{TEXT} with one link",
+    f"<div class='layout has-sidebar'><div id=mainContent><h1 class='post header'>T</h1>{P}</div><div class=articleComments>{P}</div></div>": f"T {TEXT}",
+    f"<div role=navigation><p>menu, menu, menu</p></div><div class='post-body'>{TEXT}<br>{TEXT}</div><div class='reader-comments'>{P}{P}{P}</div>": f"{TEXT} {TEXT}",
+    f"<article><div class='entry-header'><h1>Head</h1><span>by X</span></div><div class='entry-content'>{P}<figure><figcaption>shown</figcaption></figure></div>"
+    f"<div class='share-buttons'><p>Share, now</p></div></article>": f"Head {TEXT} shown",
     f"<div><h2>Title</h2><div>{P}{P}{P}</div></div>": f"Title {TEXT} {TEXT} {TEXT}",
 }
 

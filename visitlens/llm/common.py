@@ -22,6 +22,14 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_saved(df: DataFrame) -> None:
+    """Remove the files of a frame that ``saved`` gave and nothing will read again."""
+    jvm = df.sparkSession._jvm
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import saved
+from visitlens.llm.common import drop_saved, saved
 
 MOST_ROUNDS = 60
 
@@ -15,13 +15,14 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates the two star steps: each node's larger neighbours, then its smaller ones, are hung on its
     smallest neighbour, until every tree is a star. Each round is a few shuffles of the links that are left,
-    written to the shared folder; the smallest neighbour is a plain aggregate, so a node with many links
+    written to the shared folder in place of the round before; the smallest neighbour is a plain aggregate, so a node with many links
     never has to fit into a task.
     """
     edges = saved(_both_ways(links).where("a > b").distinct(), "links")
     before = _checksum(edges)
     for _ in range(MOST_ROUNDS):
-        edges = saved(_small_star(_large_star(edges)), "links")
+        last, edges = edges, saved(_small_star(_large_star(edges)), "links")
+        drop_saved(last)
         now = _checksum(edges)
         if now == before:
             break

@@ -23,6 +23,8 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|aria-hidden|hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[a-z]+", re.I)
+_LAYOUT = re.compile(r"(?:^|[\s_-])(?:no|has|with|without)[_-][a-z]+", re.I)
+_STEMS = re.compile("comment|sidebar|cookie|advert|navbar|breadcrumb|newsletter|popup|masthead|consent|disqus|sponsor")
 _COMMAS = re.compile("[,،、，;；]")
 
 #: Elements whose content is no markup, and all that are never part of an article.
@@ -96,10 +98,14 @@ class _Node:
             elif name == "style":
                 self.out |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
             elif self.tag not in ("html", "body"):
-                self.words.update(_WORDS.findall(value))
-        if self.words & _OUTSIDE and self.tag not in ("article", "main"):
+                self.words.update(_WORDS.findall(_LAYOUT.sub(" ", value)))  # has-sidebar says how the page is laid out
+        if self.tag in _HEADING:
+            self.words.discard("header")
+        if self.tag in ("main", "article"):
+            pass
+        elif self.words & _OUTSIDE or any(map(_STEMS.search, self.words)):
             self.out = True
-        elif self.tag == "article" and self.words & {"comment", "comments", "reply", "replies", "ad", "advert", "promo", "sponsored"}:
+        if self.tag == "article" and self.words & {"comment", "comments", "reply", "replies", "ad", "advert", "promo", "sponsored"}:
             self.out = True
 
 

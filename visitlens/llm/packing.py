@@ -29,6 +29,8 @@ WINDOW, END_ID = 2048, 1
 GRAIN = 8
 #: Sources with a queue of their own; the smaller ones beyond it share one more, so the table of queues is bounded.
 OWN_QUEUES = 255
+#: Parts, or hashes of rare sources, that are added up together.
+BUCKETS = 1024
 #: Parts of words whose ids a worker remembers.
 REMEMBERED = 600_000
 #: Bytes of text that are cut into words at once.
@@ -260,7 +262,7 @@ def pack(
     window: int = WINDOW,
     end_id: int = END_ID,
 ) -> DataFrame:
-    """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     ``mixture`` gives target token shares of sources; a source without one, and all of them by default, counts
     with its share of the corpus, so every window has the corpus's proportions. Shares are positive. All tokens are packed. A null
@@ -294,16 +296,27 @@ def pack(
     queue = F.coalesce("queue", F.lit(shared)).cast("int")
     placed = parts.alias("p").join(F.broadcast(largest.select("source", "queue")).alias("q"), F.expr("p.source <=> q.source"), "left")
     placed = placed.select("p.source", "p.part", "p.n", queue.alias("queue"))
-    before = Window.partitionBy("queue").orderBy("part", F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    bases = saved(placed.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "part", "queue", "base"), "bases")
+    # Tokens of a queue before each (source, part), in two steps: over buckets of them, and within a bucket.
+    bucket = F.when(F.col("queue") == shared, F.pmod(F.xxhash64("source"), F.lit(BUCKETS))).otherwise(
+        F.floor(F.col("part") / BUCKETS)
+    )
+    placed = placed.withColumn("bucket", bucket)
+    ahead = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("queue", "bucket").agg(F.sum("n").alias("n"))
+    sums = sums.select("queue", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    order = [F.col("source").asc_nulls_first(), "part"]
+    before = Window.partitionBy("queue", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sums, ["queue", "bucket"])
+    base = (F.col("ahead") + F.col("inside")).alias("base")
+    bases = saved(placed.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "part", "queue", base), "bases")
 
     lined = tokens.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
     rows = lined.join(bases, ["s", "none", "part"]).select(
         "doc_id", "source", "queue", (F.col("base") + F.col("start_in_part")).alias("first"), "n_tokens", "ids"
     )
     small_batches(spark)
-    return rows.mapInArrow(_cutter(rounds), _PIECES)
+    pieces = rows.mapInArrow(_cutter(rounds), _PIECES)
+    return pieces.select(*[c for c in pieces.columns if c != "source"], "source")
 
 
 def _cutter(rounds: Rounds):
