@@ -146,7 +146,7 @@ def _rows(spark: SparkSession, name: str, root: str, days: list[str] | None, bef
     if before is not None:
         rows = rows.where(F.col(BATCH) < before)
     folded = rows.where("full = 1").groupBy("date").agg(F.max(BATCH).alias("upto"))
-    newest = rows.join(F.broadcast(folded), "date", "left")  # one row a day
+    newest = rows.join(folded, "date", "left")  # one row a day
     return newest.where(F.expr(f"upto is null or {BATCH} > upto or (full = 1 and {BATCH} = upto)")).drop("upto", "full")
 
 
