@@ -52,7 +52,7 @@ def test_edges(spark):
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_query_matches_oracle(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("pages", "documents"):
+    for table in ("pages", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     cursor = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in cursor.description]

@@ -120,4 +120,23 @@ ORACLES: dict[str, str] = {
                CASE WHEN sha256(html) LIKE '0%' THEN 'changed' ELSE 'sound' END AS fault
         FROM records
     """,
+    # Every pair is compared here; the operator finds them through its index.
+    "op6_embeddings": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM v
+            UNION
+            SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+        ), component AS (
+            SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+        ), degree AS (
+            SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a
+        )
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM component LEFT JOIN degree USING (vec_id)
+    """,
 }
