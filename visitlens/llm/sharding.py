@@ -24,6 +24,8 @@ RECORD_BYTES = 16
 RANGES, KEYS = 16, 32
 #: A range above so many times its share of the bytes is cut again, in so many passes at most.
 OVERFULL, PASSES = 2.0, 4
+#: Rows of a written file.
+FILE_ROWS = 100_000
 
 
 class Splitters:
@@ -77,28 +79,36 @@ def _quantiles(sample: list[tuple[int, int, float]], parts: int) -> list[tuple[i
     return [sample[i][:2] for i in picks]
 
 
-def shard_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, k and row of every document, written once; the text is read only here."""
-    own = columns_of(docs, doc_id=id_col, text=text_col)
+def shard_keys(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
+    """doc_id, size, text_crc32, k and row of every document, written once; the text is read only here.
+
+    ``row_col`` names row numbers that ``docs`` already has; without it rows are numbered here.
+    """
+    numbered = {} if row_col is None else {"row": row_col}
+    own = columns_of(docs, doc_id=id_col, text=text_col, **numbered)
     text = F.coalesce(F.col("text"), F.lit(""))
     found = own.select(
         "doc_id",
         (F.octet_length(text) + RECORD_BYTES).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("k"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row_col is None else F.col("row")).alias("row"),
     )
     return saved(found, "shard-keys")
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(
+    docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot, row, k of every row: all rows, sizes of shards near equal.
 
     A null text has no bytes and the checksum of none. Null ids and repeated rows are placed like others. With
     fewer rows than shards some shards stay empty; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    keys = shard_keys(docs, id_col, text_col)
+    keys = shard_keys(docs, id_col, text_col, row_col)
     total = keys.agg(F.sum("size")).first()[0] or 0
     share = total / (shards * RANGES)
     splitters = Splitters(_quantiles(_sampled(keys, total, shards * RANGES * KEYS), shards * RANGES))
@@ -162,21 +172,13 @@ def shard_report(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Documents written as Parquet, one folder per shard, in the order of the key.
+    """Documents (doc_id, text, slot) written as Parquet, one folder per shard, in the order of the slots.
 
-    Copies of a text share its hash, so a document is matched to its places by id and hash; of rows that are
-    equal in both any one takes each place.
+    The documents are numbered and written once beforehand, so that every row is matched by its own number.
     """
-    placed = assign_shards(docs, shards, id_col, text_col)
-    ranked = Window.partitionBy("k", "doc_id").orderBy("row")
-    places = placed.withColumn("copy", F.row_number().over(ranked)).select("k", "doc_id", "copy", "shard", "slot")
-    rows = columns_of(docs, doc_id=id_col, text=text_col).withColumn("k", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("k", "doc_id").orderBy(F.lit(0))))
-    same = ["k", "copy"]
-    joined = rows.alias("r").join(
-        places.alias("p"), F.expr(" and ".join([f"r.{c} = p.{c}" for c in same] + ["r.doc_id <=> p.doc_id"]))
-    )
-    out = joined.select("r.doc_id", "r.text", "p.shard", "p.slot")
-    out.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard"
-    ).parquet(path)
+    own = columns_of(docs, doc_id=id_col, text=text_col)
+    rows = saved(own.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    places = assign_shards(rows, shards, row_col="row").select("row", "shard", "slot")
+    out = rows.join(places, "row").select("doc_id", "text", "shard", "slot")
+    files = F.floor(F.col("slot") / FILE_ROWS)
+    out.repartition("shard", files).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
