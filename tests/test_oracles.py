@@ -55,3 +55,11 @@ def test_query_matches_oracle(spark, duck, sf_dir, name):
 
 def test_entry(spark):
     assert registry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["category_counts", "category_session_clicks"])
+def test_category_queries_scan_the_actions_twice(spark, sf_dir, name):
+    """Once for the sessions, once for the visits; no further pass looks for hot keys."""
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Relation [" in line and "event_type" in line]
+    assert len(scans) == 2

@@ -86,6 +86,22 @@ def test_sliding_windows_come_from_steps(spark):
     assert rows_of(S.read_minutes(spark, root)) == rows_of(A.ad_click_trend(batch))
 
 
+def test_the_job_starts_on_folders_that_do_not_exist(spark):
+    feed, root = Feed(spark), scratch_dir(spark, "nothing-yet")
+    assert read_result(spark, "ad_stat", root).count() == 0
+    feed.add(random_clicks(20))
+    queries = jobs.start_click_job(feed.clicks(), root, f"{root}/c", 100)
+    try:
+        for query in queries:
+            query.processAllAvailable()
+    finally:
+        for query in queries:
+            query.stop()
+    for name in ("ad_stat", "ad_click_trend"):
+        assert read_result(spark, name, root).agg(F.sum("click_count")).first()[0] == 20
+    assert read_result(spark, "ad_province_top3", root).count() > 0 and read_result(spark, "ad_blacklist", root).count() == 0
+
+
 def test_the_interval_trigger_takes_several_batches(spark):
     feed, root = Feed(spark), scratch_dir(spark, "root")
     feed.add(random_clicks(30, 1))
