@@ -53,7 +53,7 @@ def _luhn(digits: Column) -> Column:
 def base_spans(text: Column) -> Column:
     card = lambda m: let(_digits(m), lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(False))
     found = [
-        find_spans(text, EMAIL_PATTERN, EMAIL, hint="@"),
+        find_spans(text, EMAIL_PATTERN, EMAIL, hint=text.contains("@")),
         find_spans(text, IP_PATTERN, IP, lambda m: m.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$")),
         find_spans(text, CARD_PATTERN, CARD, card, hint=r"[0-9](?:[\x20-]?[0-9]){11}"),
         find_spans(text, PHONE_PATTERN, PHONE, lambda m: F.length(_digits(m)).between(9, 15), hint=r"\+[0-9]"),

@@ -18,12 +18,17 @@ def no_spans() -> Column:
 
 
 def find_spans(
-    text: Column, pattern: str, kind: int, accept: Callable[[Column], Column] | None = None, hint: str | None = None
+    text: Column,
+    pattern: str,
+    kind: int,
+    accept: Callable[[Column], Column] | None = None,
+    hint: str | Column | None = None,
 ) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` that ``accept`` takes, as an array of ``SPANS``.
 
     The pieces between the matches and the matches themselves are measured and added up from the left,
-    so one pass gives all positions. A text without a match of ``hint`` is not searched at all.
+    so one pass gives all positions. A text without a match of ``hint`` (a cheaper pattern or a condition that every text with a
+    match meets) is not searched at all.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = F.zip_with(
@@ -47,7 +52,8 @@ def find_spans(
         )
 
     found = F.aggregate(measured, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(hint or pattern), found).otherwise(no_spans())
+    likely = hint if isinstance(hint, Column) else text.rlike(hint or pattern)
+    return F.when(likely, found).otherwise(no_spans())
 
 
 def spans_text(spans: Column, kinds: tuple[str, ...]) -> Column:
