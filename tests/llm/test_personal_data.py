@@ -109,3 +109,11 @@ def test_sanitised(spark):
 
 def test_empty_table(spark):
     assert P.personal_report(documents(spark, [])).collect() == []
+
+
+def test_base_spans_of_given_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: r["base_sha256"] for r in P.personal_report(docs).collect()}
+    for row in docs.select("doc_id", "text").collect():
+        spans = ",".join(f"{P.KINDS[k]}:{s}:{e}" for s, k, e in base(row["text"]))
+        assert got[row["doc_id"]] == hashlib.sha256(spans.encode()).hexdigest()

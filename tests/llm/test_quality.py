@@ -99,3 +99,10 @@ def test_held_out_labels(spark, sf_dir):
     judged = Q.quality_rules(docs, known).join(known, "doc_id").where("quality = 0")
     junk = [r["kept"] for r in judged.select("kept").collect()]
     assert sum(junk) <= 0.1 * len(junk)
+
+
+def test_base_counts_of_given_documents(spark, sf_dir):
+    docs, known = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: tuple(r)[1:6] for r in Q.quality_rules(docs, known).collect()}
+    for row in docs.select("doc_id", "text").collect():
+        assert got[row["doc_id"]] == base(row["text"])

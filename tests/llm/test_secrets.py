@@ -79,3 +79,10 @@ def test_redaction_keeps_rows_and_columns(spark):
 def test_empty_table(spark):
     assert S.secret_report(documents(spark, [])).collect() == []
     assert S.redact_secrets(documents(spark, [])).count() == 0
+
+
+def test_base_spans_of_given_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: r["base_sha256"] for r in S.secret_report(docs).collect()}
+    for row in docs.select("doc_id", "text").collect():
+        assert got[row["doc_id"]] == hashlib.sha256(text_of(base(row["text"])).encode()).hexdigest()
