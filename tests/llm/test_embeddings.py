@@ -45,9 +45,8 @@ def brute(data):
 @pytest.mark.parametrize("block", [8192, 3])
 def test_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(E, "BLOCK", block)
-    monkeypatch.setattr(E, "RECALL", 1.0)
     data = rows()
-    got = E.near_vectors(spark.createDataFrame(data, SCHEMA)).collect()
+    got = E.near_vectors(spark.createDataFrame(data, SCHEMA), recall=1.0).collect()
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == brute(data)
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
 

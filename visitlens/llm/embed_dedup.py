@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from visitlens.llm.common import columns_of, saved
 from visitlens.llm.components import components
@@ -22,7 +23,7 @@ LEAST_COSINE = 0.9
 #: Vectors the codebooks and the visits are fitted on, at most: those with the smallest hashes.
 SAMPLE = 20_000
 #: Pairs at the least cosine that the number of visits is fitted on, and the share of them to be found.
-TRIALS, RECALL = 4096, 0.97
+TRIALS, RECALL = 4096, 0.98
 #: Vectors a cell should hold, code words of one half, cells visited at most.
 CELL_SIZE, MOST_WORDS, MOST_VISITS = 64, 1024, 256
 #: Members of a cell that one block holds; larger cells are cut into blocks.
@@ -35,10 +36,10 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _matrix(values: pa.Array) -> np.ndarray:
-    """Rows of binary doubles as a matrix."""
+def _matrix(values: pa.Array, kind: str) -> np.ndarray:
+    """Rows of binary numbers of a kind as unit vectors in double precision."""
     rows = values.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1) if rows else np.empty((0, 0))
+    return _unit(np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(float)) if rows else np.empty((0, 0))
 
 
 def _distances(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -97,12 +98,15 @@ def fit_index(sample: np.ndarray, rows: int, least: float = LEAST_COSINE, recall
     """Codebooks for ``rows`` vectors, and as many visits as find ``recall`` of pairs at the least cosine.
 
     The trial pairs are sample vectors turned in random directions until their cosine is ``least``, which is the
-    hardest case; the cell of one must be among the visits of the other.
+    hardest case; the cell of one must be among the visits of the other. A recall of 1 visits every cell.
     """
     cut = sample.shape[1] // 2
     words = int(2 ** np.ceil(np.log2(max(4.0, np.sqrt(rows / CELL_SIZE)))))
     words = min(words, MOST_WORDS, max(1, len(sample) // 8))
     index = MultiIndex(fit_codebook(sample[:, :cut], words), fit_codebook(sample[:, cut:], words))
+    if recall >= 1:
+        index.visits = len(index.left) * len(index.right)
+        return index
     rng = np.random.default_rng(11)
     x = sample[rng.integers(0, len(sample), TRIALS)]
     noise = rng.standard_normal(x.shape)
@@ -122,16 +126,22 @@ def _valid(vector: Column, size: int) -> Column:
 
 
 def near_vectors(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST_COSINE
+    vectors: DataFrame,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    least: float = LEAST_COSINE,
+    recall: float = RECALL,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
     A vector that is null, zero, holds a null or non-finite component, or has another length than most vectors
     links with nothing. Equal vectors are one class, whatever their number, and are expanded only in the counts.
     Repeated rows count as other vectors; a row without an id takes part and is not kept. An empty table gives
-    no rows.
+    no rows. ``recall`` is that of the hardest pairs, those at the threshold.
     """
-    own = columns_of(vectors, vec_id=id_col, v=vector_col).withColumn("v", F.col("v").cast("array<double>"))
+    single = isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), FloatType)
+    own = columns_of(vectors, vec_id=id_col, v=vector_col)
+    own = own.withColumn("v", F.col("v").cast("array<float>" if single else "array<double>"))
     common = own.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     size = common["n"] if common else 0
     keys = own.withColumn("good", _valid(F.col("v"), size)).withColumns(
@@ -142,7 +152,7 @@ def near_vectors(
         F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")
     )
     classes = saved(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    found = class_links(classes, size, least)
+    found = class_links(classes, least, recall)
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     comps = components(found.where("b is not null").select("a", "b"))
     slim = classes.select("node", "k1", "k2", "copies", "least")
@@ -157,7 +167,7 @@ def near_vectors(
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def class_links(classes: DataFrame, size: int, least: float = LEAST_COSINE) -> DataFrame:
+def class_links(classes: DataFrame, least: float = LEAST_COSINE, recall: float = RECALL) -> DataFrame:
     """Links of the classes (node, v, copies): rows (a, n) say that n vectors link with a from one block, rows
     (a, b) are links that join all linked classes; each pair of classes is compared at most once."""
     spark = classes.sparkSession
@@ -165,33 +175,37 @@ def class_links(classes: DataFrame, size: int, least: float = LEAST_COSINE) -> D
     sample = classes.orderBy(F.xxhash64("k1", "k2"), "k1").limit(SAMPLE).select("v").collect()
     if not sample:
         return spark.createDataFrame([], "a bigint, b bigint, n bigint")
-    index = fit_index(_unit(np.array([r["v"] for r in sample])), count, least)
-    indexed = saved(classes.select("node", "copies", "v").mapInArrow(_indexer(index), "node bigint, copies bigint, cell int, v binary"), "indexed")
+    # Vectors travel as they came; single precision takes half the room and is widened where it is compared.
+    kind = "<f4" if isinstance(classes.schema["v"].dataType.elementType, FloatType) else "<f8"
+    index = fit_index(_unit(np.array([r["v"] for r in sample], float)), count, least, recall)
+    located = classes.select("node", "copies", "v").mapInArrow(_indexer(index, kind), "node bigint, copies bigint, cell int, v binary")
+    indexed = saved(located, "indexed")
     sizes = np.zeros(len(index.left) * len(index.right), np.int64)  # one number for each cell of the grid
     for row in indexed.groupBy("cell").count().collect():
         sizes[row["cell"]] = row["count"]
     blocks = -(-sizes // BLOCK)
     schema = "cell int, block int, role int, node bigint, copies bigint, v binary"
-    dealt = indexed.mapInArrow(_visitor(index, blocks), schema)
+    dealt = indexed.mapInArrow(_visitor(index, blocks, kind), schema)
     dealt = dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
-    return saved(dealt.mapInArrow(_comparer(least), "a bigint, b bigint, n bigint"), "found")
+    return saved(dealt.mapInArrow(_comparer(least, kind), "a bigint, b bigint, n bigint"), "found")
 
 
-def _indexer(index: MultiIndex):
+def _indexer(index: MultiIndex, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-            x = _unit(flat.reshape(batch.num_rows, -1))
-            raw = [row.tobytes() for row in x]
+            given = flat.reshape(batch.num_rows, -1).astype(kind)
+            x = _unit(given.astype(float))
+            raw = [row.tobytes() for row in given]
             arrays = [batch.column("node"), batch.column("copies"), pa.array(index.cell(x), pa.int32()), pa.array(raw, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["node", "copies", "cell", "v"])
 
     return run
 
 
-def _visitor(index: MultiIndex, blocks: np.ndarray):
+def _visitor(index: MultiIndex, blocks: np.ndarray, kind: str):
     """A vector is a member of one block of its own cell, and a guest in the later blocks of that cell and in all
     blocks of the cells it visits. Of two cells only the lower one visits, so no pair meets twice."""
 
@@ -200,7 +214,7 @@ def _visitor(index: MultiIndex, blocks: np.ndarray):
             for begin in range(0, whole.num_rows, 1024):
                 batch = whole.slice(begin, 1024)
                 node, cell = batch.column("node").to_numpy(), batch.column("cell").to_numpy()
-                x = _matrix(batch.column("v"))
+                x = _matrix(batch.column("v"), kind)
                 near = index.nearest_cells(x)
                 row, col = np.nonzero((near > cell[:, None]) & (blocks[near] > 0))
                 goal = near[row, col]
@@ -264,7 +278,7 @@ class _Block:
         return self.links, list(zip(self.nodes[some].tolist(), self.count[some].tolist(), strict=True))
 
 
-def _comparer(least: float):
+def _comparer(least: float, kind: str):
     names = ["a", "b", "n"]
 
     def rows(links: list[tuple[int, int]], counts: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -284,7 +298,7 @@ def _comparer(least: float):
 
         for batch in batches:
             cell, part, role, node, copies = (batch.column(k).to_numpy() for k in range(5))
-            x = _matrix(batch.column(5))
+            x = _matrix(batch.column(5), kind)
             key = np.stack((cell, part, role))
             edges = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True])))
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
