@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import columns_of, saved, text_key, text_or_empty
+from visitlens.llm.common import columns_of, let, saved, text_key, text_or_empty
 from visitlens.llm.spans import SPANS, count_kind, cut_out, find_spans, no_spans, spans_text
 
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
@@ -35,13 +35,17 @@ ENDPOINT_PATTERN = (
     r"(?i:https?|jdbc:[a-z0-9]{1,20}|amqps?|rediss?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|s3|ftp)"
     r"://[A-Za-z0-9.-]+(?::[0-9]{1,5})?"
 )
+def _could_be_weak(text: Column) -> Column:
+    """Met by every text with a weak candidate: a bare identifier and a random string hold digits, an address ://."""
+    return text.rlike("[0-9]") | text.contains("://")
 
 
 def base_spans(text: Column) -> Column:
     long_value = lambda m: F.length(F.regexp_extract(m, ASSIGN_PATTERN, 2)) >= 12
+    named = (text.contains("=") | text.contains(":")) & text.rlike(ASSIGN_PATTERN)
     found = [
-        find_spans(text, ASSIGN_PATTERN, ASSIGN, long_value),
-        find_spans(text, ACCESS_PATTERN, ACCESS),
+        find_spans(text, ASSIGN_PATTERN, ASSIGN, long_value, hint=named),
+        find_spans(text, ACCESS_PATTERN, ACCESS, hint=text.contains("AKIA")),
         find_spans(text, HEX_PATTERN, HEX),
     ]
     return F.array_sort(F.concat(*found))
@@ -53,7 +57,7 @@ def weak_spans(text: Column) -> Column:
         find_spans(text, WEAK_SECRET_PATTERN, WEAK_SECRET),
         find_spans(text, ENDPOINT_PATTERN, ENDPOINT),
     ]
-    return F.concat(*found)
+    return F.when(_could_be_weak(text), F.concat(*found)).otherwise(no_spans())
 
 
 def with_parts(rows: DataFrame) -> DataFrame:
@@ -148,21 +152,24 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span replaced by ``[SECRET:kind]``; rows, columns and null texts stay.
 
-    Only rows whose text holds a weak candidate are joined with the links; the others pass in the scan.
+    Only rows whose text could hold a weak candidate are joined with the links; the others pass in the scan.
     """
     names = docs.columns
+    where = names.index(text_col)
     inner = docs.select(
         F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("all"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
-    parts = with_parts(inner)
-    links = linked_spans(with_parts(inner.select("text")).drop("text"), scope)
-    weak = parts.where(F.size("weak") > 0).join(links, ["k1", "k2"], "left")
-    plain = parts.where(F.size("weak") == 0).withColumn("linked", F.lit(None).cast(SPANS))
+    likely = _could_be_weak(F.col("text"))
+    hinted, plain = inner.where(likely), inner.where(~likely)
+    links = linked_spans(with_parts(hinted.select("text")).drop("text"), scope)
+    joined = with_parts(hinted).join(links, ["k1", "k2"], "left")
     marks = tuple(f"[SECRET:{k}]" for k in KINDS)
-    where = names.index(text_col)
-    clean = F.when(F.col(f"all.c{where}").isNotNull(), cut_out(F.col("text"), F.col("spans"), marks))
-    marked = weak.unionByName(plain).withColumn("spans", _all_spans())
-    return marked.select(*[clean.alias(f"c{i}") if i == where else F.col(f"all.c{i}") for i in range(len(names))]).toDF(
-        *names
-    )
+
+    def cleaned(rows: DataFrame, spans: Column) -> DataFrame:
+        clean = let(spans, lambda s: cut_out(F.col("text"), s, marks))
+        text = F.when(F.col(f"all.c{where}").isNotNull(), clean)
+        return rows.select(*[text.alias(f"c{i}") if i == where else F.col(f"all.c{i}") for i in range(len(names))])
+
+    both = cleaned(joined, _all_spans()).unionByName(cleaned(plain, base_spans(F.col("text"))))
+    return both.toDF(*names)
