@@ -227,20 +227,31 @@ class Rounds:
         """Tokens that a queue without end has given in the first ``rounds`` rounds."""
         return GRAIN * np.floor(rounds * self.grains[queue]).astype(np.int64)
 
-    def stretches(self, queue: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The tokens [start, stop) of a queue, cut by rounds: begin and end in the queue, first position served."""
-        low = GRAIN * np.arange(start // GRAIN, (stop - 1) // GRAIN + 1)
+    def stretches(
+        self, queue: np.ndarray, start: np.ndarray, stop: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens [start, stop) of queues, cut by rounds: row, begin and end in the queue, first position served."""
+        low_grain = start // GRAIN
+        counts = (stop - 1) // GRAIN - low_grain + 1
+        row = np.repeat(np.arange(len(queue)), counts)
+        low = GRAIN * (low_grain[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts))
+        own = queue[row]
         # The round that gives a grain; the two corrections undo rounding.
-        rounds = np.ceil((low + GRAIN) / GRAIN / self.grains[queue]).astype(np.int64) - 1
-        rounds = rounds + (self._given(queue, rounds + 1) <= low)
-        rounds = rounds - (self._given(queue, rounds) > low)
-        first = np.flatnonzero(np.concatenate(([True], rounds[1:] != rounds[:-1])))
-        rounds, begins = rounds[first], np.maximum(low[first], start)
-        ends = np.append(low[first][1:], stop)
+        rounds = np.ceil((low + GRAIN) / GRAIN / self.grains[own]).astype(np.int64) - 1
+        rounds = rounds + (self._given(own, rounds + 1) <= low)
+        rounds = rounds - (self._given(own, rounds) > low)
+        first = np.flatnonzero(np.concatenate(([True], (rounds[1:] != rounds[:-1]) | (row[1:] != row[:-1]))))
+        last = np.append(first[1:], len(row)) - 1
+        row, own, rounds, low, high = row[first], own[first], rounds[first], low[first], low[last] + GRAIN
+        begins, ends = np.maximum(low, start[row]), np.minimum(high, stop[row])
+        position = begins - self._given(own, rounds)
         queues = np.arange(len(self.totals))
-        done = self._given(queues[None, :], rounds[:, None] + (queues < queue)[None, :])
-        position = np.minimum(self.totals[None, :], done).sum(axis=1)
-        return begins, ends, position + begins - self._given(queue, rounds)
+        some = max(1, (1 << 20) // len(queues))
+        for at in range(0, len(row), some):  # what all queues had given before
+            s = slice(at, at + some)
+            done = self._given(queues[None, :], rounds[s, None] + (queues[None, :] < own[s, None]))
+            position[s] += np.minimum(self.totals[None, :], done).sum(axis=1)
+        return row, begins, ends, position
 
     def edges(self) -> np.ndarray:
         """Where the sequences of the unfilled last window begin: powers of two, so that none needs padding."""
@@ -340,32 +351,35 @@ def _cutter(rounds: Rounds):
             return np.where(late, full + k, positions // window), begin, end
 
         for batch in batches:
-            doc_ids, sources, lengths = batch.column("doc_id").to_pylist(), batch.column("source").to_pylist(), batch.column("n_tokens").to_pylist()
-            queues, firsts, ids = batch.column("queue").to_pylist(), batch.column("first").to_pylist(), batch.column("ids").to_pylist()
-            which, columns = [], []
-            for row in range(batch.num_rows):
-                first, n = firsts[row], lengths[row]
-                lo, hi, at = rounds.stretches(queues[row], first, first + n)
-                pieces = []
-                while lo.size:  # a stretch that meets the end of its sequence goes on in the next
-                    seq, begin, end = sequence(at)
-                    take = np.minimum(hi - lo, end - at)
-                    pieces.append(np.stack((lo - first, take, seq, at - begin)))
-                    more = lo + take < hi
-                    lo, hi, at = (lo + take)[more], hi[more], (at + take)[more]
-                done = np.concatenate(pieces, axis=1)
-                done = done[:, np.argsort(done[0], kind="stable")]
-                raw = memoryview(np.frombuffer(ids[row], "<u2").astype("<u4").tobytes())
-                crcs = [zlib.crc32(raw[4 * s : 4 * (s + m)]) for s, m in zip(done[0].tolist(), done[1].tolist(), strict=True)]
-                columns.append(np.concatenate((done[:2], [crcs], np.full((1, done.shape[1]), n), done[2:])))
-                which.append(np.full(done.shape[1], row))
-            if columns:
-                rows, values = np.concatenate(which), np.concatenate(columns, axis=1)
-                arrays = [pa.array(doc_ids, pa.int64()).take(pa.array(rows)), pa.array(sources, pa.string()).take(pa.array(rows))]
-                for begin in range(0, len(rows), 50_000):
-                    part = slice(begin, begin + 50_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [a[part] for a in arrays] + [pa.array(v[part].astype(np.int64)) for v in values], schema=schema
-                    )
+            if not batch.num_rows:
+                continue
+            lengths, first = batch.column("n_tokens").to_numpy(), batch.column("first").to_numpy()
+            row, lo, hi, at = rounds.stretches(batch.column("queue").to_numpy(), first, first + lengths)
+            pieces = []
+            while lo.size:  # a stretch that meets the end of its sequence goes on in the next
+                seq, begin, end = sequence(at)
+                take = np.minimum(hi - lo, end - at)
+                pieces.append(np.stack((row, lo - first[row], take, seq, at - begin)))
+                more = lo + take < hi
+                row, lo, hi, at = row[more], (lo + take)[more], hi[more], (at + take)[more]
+            row, start, length, seq, offset = np.concatenate(pieces, axis=1)
+            order = np.lexsort((start, row))
+            row, start, length, seq, offset = row[order], start[order], length[order], seq[order], offset[order]
+            crcs = np.empty(len(row), np.int64)
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            for i, ids in enumerate(batch.column("ids")):
+                raw = memoryview(np.frombuffer(ids.as_py(), "<u2").astype("<u4").tobytes())
+                s = slice(bounds[i], bounds[i + 1])
+                begins = (4 * start[s]).tolist()
+                ends = (4 * (start[s] + length[s])).tolist()
+                crcs[s] = [zlib.crc32(raw[b:e]) for b, e in zip(begins, ends, strict=True)]
+            values = (start, length, crcs, lengths[row], seq, offset)
+            names = [batch.column(c) for c in ("doc_id", "source")]
+            for begin in range(0, len(row), 50_000):
+                part = slice(begin, begin + 50_000)
+                which = pa.array(row[part])
+                yield pa.RecordBatch.from_arrays(
+                    [c.take(which) for c in names] + [pa.array(v[part].astype(np.int64)) for v in values], schema=schema
+                )
 
     return run
