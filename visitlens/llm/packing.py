@@ -36,7 +36,8 @@ REMEMBERED = 600_000
 #: Bytes of text that are cut into words at once.
 PORTION = 8 << 20
 
-_PIECES = "doc_id: bigint, source: string, start: bigint, length: bigint, ids_crc32: bigint, doc_tokens: bigint, sequence_id: bigint, offset: bigint"
+_NUMBERS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+_PIECES = ", ".join(["doc_id bigint", "source string", *(f"{name} bigint" for name in _NUMBERS)])
 
 
 def _byte_letters() -> list[str]:
@@ -319,7 +320,8 @@ def pack(
     before = Window.partitionBy("queue", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sums, ["queue", "bucket"])
     base = (F.col("ahead") + F.col("inside")).alias("base")
-    bases = saved(placed.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "part", "queue", base), "bases")
+    known = [F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none")]
+    bases = saved(placed.select(*known, "part", "queue", base), "bases")
 
     lined = tokens.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
     rows = lined.join(bases, ["s", "none", "part"]).select(
@@ -333,7 +335,7 @@ def pack(
 def _cutter(rounds: Rounds):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("source", pa.string())]
-        + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
+        + [(name, pa.int64()) for name in _NUMBERS]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
