@@ -93,3 +93,56 @@ def test_long_text_is_hashed_whole():
     text = PROSE * 8000
     assert len(text.split()) > 1 << 16
     assert simhash.fingerprint(text) == brute_print(text)
+
+
+def similarity(one, other):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, other)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def planted_copies(n, at_least, below, seed):
+    """(id, text, source) rows: n texts of 100 or 400 words and, under id + n, a copy of similarity [at_least, below)."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for ident in range(n):
+        base = rng.choices(words, k=rng.choice((100, 400)))
+        while True:
+            copy = list(base)
+            while similarity(base, copy) >= below:
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            if similarity(base, copy) >= at_least:
+                break
+        rows += [(ident, " ".join(base), "s"), (ident + n, " ".join(copy).upper(), "s")]
+    return rows
+
+
+@pytest.mark.parametrize(("at_least", "below"), [(0.8, 0.85), (0.85, 0.9), (0.9, 0.97)])
+def test_keep_one_finds_planted_copies_from_the_share_up(spark, at_least, below):
+    n = 300
+    ids = {r["doc_id"] for r in simhash.keep_one(documents(spark, planted_copies(n, at_least, below, 7))).collect()}
+    assert set(range(n)) <= ids
+    assert len(ids) <= n + 3  # 0.99 of the copies are found
+
+
+def test_keep_one_leaves_texts_below_the_share(spark):
+    rows = planted_copies(200, 0.7, 0.79, 8)
+    assert simhash.keep_one(documents(spark, rows)).count() == len(rows)
+
+
+def test_large_groups_in_blocks_link_alike(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(90):
+        text = list(base)
+        for _ in range(1 + i % 3):
+            text[rng.randrange(120)] = f"x{rng.randrange(1000)}"
+        texts.append(text)
+    root = components(len(texts), lambda i, j: similarity(texts[i], texts[j]) >= 0.8)
+    rows = spark.createDataFrame([(" ".join(t), i) for i, t in enumerate(texts)], "text string, row bigint")
+    rows = rows.select("*", simhash._sketch(simhash.F.col("text")).alias("s")).select("*", "s.*")
+    place = {r["node"]: r["row"] for r in rows.collect()}
+    for block in (16, 1024):
+        pairs = {(place[r["a"]], place[r["b"]]) for r in simhash.copy_links(rows, block=block).collect()}
+        assert components(len(texts), lambda i, j, p=pairs: (i, j) in p or (j, i) in p) == root
