@@ -117,3 +117,52 @@ def test_base_spans_of_given_documents(spark, sf_dir):
     for row in docs.select("doc_id", "text").collect():
         spans = ",".join(f"{P.KINDS[k]}:{s}:{e}" for s, k, e in base(row["text"]))
         assert got[row["doc_id"]] == hashlib.sha256(spans.encode()).hexdigest()
+
+
+def whole_brute(rows):
+    """Every word of every text that holds a value, by the smoothed estimate."""
+    docs = [t or "" for _, t, _ in rows]
+    words = {}
+    for t in set(docs):
+        own = base(t)
+        every = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t)]
+        words[t] = [w for w in every if not any(s < w[2] and w[1] < e for s, _, e in own)]
+    held = {t: {value(t, s) for s in base(t)} for t in words}
+    has = {t: {m.lower() for m in re.findall(r"[^\W\d_]{3,}", t)} for t in words}
+    out = {}
+    for t, own in held.items():
+        more = {}
+        for v in own:
+            texts, in_docs = [x for x in held if v in held[x]], sum(v in held[x] for x in docs)
+            for w, s, e in words[t] if in_docs < len(docs) else []:
+                common = sum(w in has[x] for x in docs) / len(docs)
+                both = sum(any(y[0] == w for y in words[x]) for x in texts)
+                gained = math.log((both + P.PRIOR * common) / (len(texts) + P.PRIOR) / common)
+                share = gained / math.log(len(docs) / in_docs)
+                if share >= P.GENERALISE:
+                    more[s, e] = min(4 if share >= P.REMOVE else 5, more.get((s, e), 9))
+        every = sorted(base(t) + [(s, k, e) for (s, e), k in more.items()])
+        out[t] = ",".join(f"{P.KINDS[k]}:{s}:{e}" for s, k, e in every)
+    return [(ident, out[t or ""]) for ident, t, _ in rows]
+
+
+def test_whole_report_weighs_all_words_of_all_texts(spark):
+    far = "the dog and the bird call " * 20
+    rows = ROWS + [
+        (70, f"Trillianus wrote {far} to only.one@value.example and {far} then Trillianus left", "r"),
+        *[(71 + i, "write Marvinus at paranoid@android.example now", "r") for i in range(3)],
+        *[(80 + i, f"the dog and the bird call, number {i}", "r") for i in range(40)],
+    ]
+    got = {r["doc_id"]: r["spans"] for r in P.whole_report(documents(spark, rows)).collect()}
+    want = dict(whole_brute(rows))
+    assert got == want
+    text = rows[len(ROWS)][1]
+    last = text.rindex("Trillianus")
+    assert all(f":{at}:{at + 10}" in got[70] for at in (0, last))  # one text, beyond 160 code points
+    assert "remove:6:14" in got[71] or "generalise:6:14" in got[71]  # copies of one text
+    clean = {r["doc_id"]: r["text"] for r in P.sanitised(documents(spark, rows)).collect()}
+    assert "Trillianus" not in clean[70] and "Marvinus" not in clean[71]
+
+
+def test_whole_report_of_an_empty_table(spark):
+    assert P.whole_report(documents(spark, [])).collect() == []

@@ -4,6 +4,9 @@ Base kinds are found by pattern. For every protected value (one address, one num
 a word near it reveals it: with p(word | value) from the texts that hold the value and p(word) from all documents,
 log(p(word | value) / p(word)) is the information the word gives about the value, and -log p(value) is all there
 is to give. A word whose share of that reaches GENERALISE is replaced by a general mark, from REMOVE on it goes.
+``whole_report`` and ``sanitised`` weigh every word of every text that holds a value, by a smoothed estimate, and
+mark it wherever it stands in the text; ``personal_report`` is the narrow form, for words near a value in SUPPORT
+texts.
 Built-in functions only.
 """
 
@@ -22,6 +25,8 @@ BASE = 4
 REACH = 160
 #: Different texts in which a word must stand near a value before it can be held against it.
 SUPPORT = 3
+#: Texts with the corpus's share of a word that are added to those of a value when p(word | value) is estimated.
+PRIOR = 1.0
 #: Shares of a value's information from which a word is generalised or removed.
 GENERALISE, REMOVE = 0.6, 0.9
 
@@ -141,6 +146,90 @@ def revealing(docs: DataFrame, seen: DataFrame) -> DataFrame:
     return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("more"))
 
 
+def _words(text: Column) -> Column:
+    """The different words of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0)), F.lower))
+
+
+def whole_scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, base of every document (doc_id, text); text and values too of those that hold a value."""
+    found = docs.withColumn("base", base_spans(F.col("text")))
+    own = lambda s: _value(F.col("text"), s)
+    some = F.size("base") > 0
+    return found.select(
+        "doc_id",
+        *text_key(F.col("text")),
+        "base",
+        F.when(some, F.col("text")).alias("text"),
+        F.when(some, F.array_distinct(F.transform("base", own))).alias("values"),
+    )
+
+
+def whole_revealing(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """(k1, k2, removed, general): the words of each text that reveal a value in it.
+
+    Every word of a text counts with every value of it; p(word | value) is smoothed by PRIOR texts that have the
+    corpus's share. A word can give no more than -log p(word), so words that are too common for a value at any
+    p(word | value) are not paired with it. Values of one text only are all told alike, so one stands for them.
+    """
+    total = float(seen.count())
+    held = seen.where(F.size("base") > 0)
+    texts = saved(held.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.first("values").alias("values"), F.count(F.lit(1)).alias("copies")), "texts")
+    each = texts.select("k1", "k2", "copies", F.explode("values").alias("value"))
+    known = each.groupBy("value").agg(F.sum("copies").alias("value_docs"), F.count(F.lit(1)).alias("value_texts"))
+    known = known.where(F.col("value_docs") < total)
+    mentions = each.drop("copies").join(known, "value")
+    single = mentions.where("value_texts = 1").groupBy("k1", "k2").agg(*[F.min(c).alias(c) for c in ("value", "value_docs", "value_texts")])
+    mentions = saved(mentions.where("value_texts > 1").unionByName(single), "mentions")
+    most = mentions.agg(F.max("value_docs")).first()[0] or 1
+    in_docs = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
+    given = F.log(F.lit(total) / F.col("term_docs"))
+    there = F.log(F.lit(total) / F.col("value_docs"))
+    near_least = GENERALISE - 1e-9
+    in_docs = in_docs.where(given >= near_least * F.log(F.lit(total) / F.lit(float(most))))
+    bare = cut_out(F.col("text"), F.col("base"), (" ",) * BASE)
+    terms = texts.select("k1", "k2", F.explode(_words(bare)).alias("term")).join(in_docs, "term")
+    pairs = saved(terms.join(mentions, ["k1", "k2"]).where(given >= near_least * there), "pairs")
+    both = pairs.groupBy("value", "term").agg(
+        F.count(F.lit(1)).alias("both"), *[F.first(c).alias(c) for c in ("value_docs", "value_texts", "term_docs")]
+    )
+    common = F.col("term_docs") / F.lit(total)
+    smooth = (F.col("both") + PRIOR * common) / (F.col("value_texts") + PRIOR)
+    share = F.log(smooth / common) / there
+    kind = F.when(share >= REMOVE, REMOVED).when(share >= GENERALISE, GENERALISED)
+    told = both.select("value", "term", kind.alias("kind")).where("kind is not null")
+    found = pairs.select("k1", "k2", "value", "term").join(told, ["value", "term"])
+    found = found.groupBy("k1", "k2", "term").agg(F.min("kind").alias("kind"))
+    # The lists are as long as one text has such words.
+    listed = [F.collect_list(F.when(F.col("kind") == k, F.col("term"))).alias(n) for k, n in ((REMOVED, "removed"), (GENERALISED, "general"))]
+    return found.groupBy("k1", "k2").agg(*listed)
+
+
+def _whole_more() -> Column:
+    """All places of the words ``removed`` and ``general`` in ``text`` outside its ``base`` spans."""
+    text, base = F.col("text"), F.col("base")
+
+    def places(name: str, kind: int) -> Column:
+        own = F.coalesce(F.col(name), F.array().cast("array<string>"))
+        return find_spans(text, TERM_PATTERN, kind, lambda m: F.array_contains(own, F.lower(m)), hint=F.size(own) > 0)
+
+    free = lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    return F.filter(F.concat(places("removed", REMOVED), places("general", GENERALISED)), free)
+
+
+def find_disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, base and all (spans), one row per document, over whole texts.
+
+    Nulls, empty texts, repeated rows and values that every document holds are as in ``find_personal_data``.
+    """
+    own = columns_of(docs, doc_id=id_col, text=text_col).withColumn("text", text_or_empty("text"))
+    seen = saved(whole_scanned(own), "personal")
+    held = seen.where(F.size("base") > 0).join(whole_revealing(own, seen), ["k1", "k2"], "left")
+    held = held.select("doc_id", "base", _whole_more().alias("more"))
+    plain = seen.where(F.size("base") == 0).select("doc_id", "base", no_spans().alias("more"))
+    return held.unionByName(plain).select("doc_id", "base", _all_spans().alias("all"))
+
+
 def _all_spans() -> Column:
     return F.array_sort(F.concat("base", F.coalesce("more", no_spans())))
 
@@ -161,10 +250,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.unionByName(plain).select("doc_id", "base", _all_spans().alias("all"))
 
 
-def personal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The digest columns of ``find_personal_data``."""
+def _report(found: DataFrame) -> DataFrame:
     base = spans_text(F.col("base"), KINDS)
-    return find_personal_data(docs, id_col, text_col).select(
+    return found.select(
         "doc_id",
         *[count_kind(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(BASE)],
         F.sha2(base, 256).alias("base_sha256"),
@@ -172,6 +260,16 @@ def personal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def personal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The digest columns of ``find_personal_data``."""
+    return _report(find_personal_data(docs, id_col, text_col))
+
+
+def whole_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The digest columns of ``find_disclosures``."""
+    return _report(find_disclosures(docs, id_col, text_col))
+
+
 def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with values replaced by ``[EMAIL]`` and the like, general words by ``[WORD]``, removed ones by nothing.
 
@@ -184,9 +282,9 @@ def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
     found = inner.withColumn("base", base_spans(F.col("text"))).select("*", *text_key(F.col("text")))
-    slim = saved(scanned(inner.select(F.lit(None).cast("bigint").alias("doc_id"), "text")), "personal")
-    more = revealing(inner.select("text"), slim)
-    joined = found.where(F.size("base") > 0).join(more, ["k1", "k2"], "left")
+    seen = saved(whole_scanned(inner.select(F.lit(None).cast("bigint").alias("doc_id"), "text")), "personal")
+    joined = found.where(F.size("base") > 0).join(whole_revealing(inner.select("text"), seen), ["k1", "k2"], "left")
+    joined = joined.withColumn("more", _whole_more()).drop("removed", "general")
     plain = found.where(F.size("base") == 0).withColumn("more", F.lit(None).cast(SPANS))
     marks = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "", "[WORD]")
     marked = joined.unionByName(plain).withColumn("spans", _all_spans())
