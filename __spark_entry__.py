@@ -450,10 +450,10 @@ def stream_window_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_sliding_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 60 minutes every 10 seconds: how many there are per ad, and the clicks of the busiest."""
-    slid = ads_stream.read_sliding(spark, _click_steps(spark, sf_dir))
-    windows = slid.groupBy("window_start", "ad_id").agg(F.sum("click_count").alias("n"))
-    return windows.groupBy("ad_id").agg(
-        F.count(F.lit(1)).alias("windows"), F.sum("n").alias("clicks"), F.max("n").alias("busiest")
+    runs = ads_stream.read_window_runs(spark, _click_steps(spark, sf_dir))
+    clicks = F.col("windows") * F.col("click_count")
+    return runs.groupBy("ad_id").agg(
+        F.sum("windows").alias("windows"), F.sum(clicks).alias("clicks"), F.max("click_count").alias("busiest")
     )
 
 

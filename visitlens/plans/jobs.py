@@ -23,7 +23,7 @@ from visitlens.plans.sessions import (
 )
 from visitlens.sinks.results import write_result
 from visitlens.sources.tables import actions_in_range, typed_actions
-from visitlens.streaming.ads import start_click_trend
+from visitlens.streaming.ads import DAY_LATENESS, start_click_trend
 from visitlens.streaming.blacklist import start_blacklist_job
 
 
@@ -93,16 +93,14 @@ def run_page_job(actions: DataFrame, params: TaskParams, root: str, task_id: int
 
 
 def start_click_job(
-    clicks: DataFrame, root: str, checkpoints: str, threshold: int, once: bool = False
+    clicks: DataFrame, root: str, checkpoints: str, threshold: int, once: bool = False, lateness: str = DAY_LATENESS
 ) -> list[StreamingQuery]:
     """The queries on the raw clicks: the blacklist with all tables of the accepted clicks, and the click trend."""
-    return [
-        start_blacklist_job(clicks, root, f"{checkpoints}/accepted", threshold, once=once),
-        start_click_trend(clicks, root, f"{checkpoints}/trend", once=once),
-    ]
+    trend = start_click_trend(clicks, root, f"{checkpoints}/trend", once, lateness)
+    return [*start_blacklist_job(clicks, root, checkpoints, threshold, once=once, lateness=lateness), trend]
 
 
-def run_ad_job(clicks: DataFrame, root: str, checkpoints: str, threshold: int) -> None:
+def run_ad_job(clicks: DataFrame, root: str, checkpoints: str, threshold: int, lateness: str = DAY_LATENESS) -> None:
     """Handle all clicks there are now."""
-    for query in start_click_job(clicks, root, checkpoints, threshold, once=True):
+    for query in start_click_job(clicks, root, checkpoints, threshold, once=True, lateness=lateness):
         query.awaitTermination()

@@ -1,9 +1,10 @@
 from visitlens.sinks.results import (
     RESULT_TABLES,
     ResultTable,
+    put_rows,
     read_days,
     read_result,
-    write_batch,
+    replace_days,
     write_jdbc,
     write_result,
 )
@@ -11,9 +12,10 @@ from visitlens.sinks.results import (
 __all__ = [
     "RESULT_TABLES",
     "ResultTable",
+    "put_rows",
     "read_days",
     "read_result",
-    "write_batch",
+    "replace_days",
     "write_jdbc",
     "write_result",
 ]

@@ -1,35 +1,31 @@
 """The result tables: their columns, how new rows meet old ones, and how they are written and read.
 
-A job's rows of a task have a folder of their own, so a job that runs again replaces them. A stream writes what a
-micro-batch adds into ``date=.../full=0/batch_id=...``, so a repeated batch replaces itself; every few batches
-of a day it writes the day's rows as a whole (``full=1``) and removes what these contain. A batch therefore
-reads and writes only the days it has clicks of, and a day keeps a bounded number of folders.
+A job's rows of a task have a folder of their own, so a job that runs again replaces them.
+
+A stream's rows replace those of the same key. What a micro-batch makes of the days it touches is first written as a
+whole beside the table, in one of two places in turn; from the moment it is complete readers take these days from
+there, so a batch becomes visible at once. Then Spark overwrites the partitions of these days in the table. A
+batch that was killed anywhere between is simply handled again: the rows are totals, so putting them once more
+changes nothing, and a half-written table is covered by the complete days beside it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH = "batch_id"
-#: Batches of a day that lie side by side before they are folded into one.
-FOLD_AFTER = 8
-#: The folder of tables that have no date.
-NO_DATE = "none"
+#: The number under which a batch's days are written beside a table.
+SEQUENCE = "sequence"
 
 
 @dataclass(frozen=True)
 class ResultTable:
-    """Columns in order, and for streamed tables the rule and the key by which rows meet.
-
-    ``sum``: the last column adds up per key; ``latest_group``: the newest batch's rows of a key count;
-    ``distinct``: one row per key.
-    """
+    """Columns in order, and for streamed tables the key by which new rows replace old ones."""
 
     columns: tuple[str, ...]
-    rule: str = "append"
     key: tuple[str, ...] = ()
 
 
@@ -63,21 +59,15 @@ RESULT_TABLES = {
             "product_name", "product_status",
         )
     ),
-    "ad_user_click_count": ResultTable(
-        ("date", "user_id", "ad_id", "click_count"), "sum", ("date", "user_id", "ad_id")
-    ),
-    "ad_blacklist": ResultTable(("user_id",), "distinct", ("user_id",)),
-    "ad_stat": ResultTable(
-        ("date", "province", "city", "ad_id", "click_count"), "sum", ("date", "province", "city", "ad_id")
-    ),
-    "ad_province_top3": ResultTable(
-        ("date", "province", "ad_id", "click_count"), "latest_group", ("date", "province")
-    ),
+    "ad_user_click_count": ResultTable(("date", "user_id", "ad_id", "click_count"), ("date", "user_id", "ad_id")),
+    "ad_blacklist": ResultTable(("user_id",), ("user_id",)),
+    "ad_stat": ResultTable(("date", "province", "city", "ad_id", "click_count"), ("date", "province", "city", "ad_id")),
+    "ad_province_top3": ResultTable(("date", "province", "ad_id", "click_count"), ("date", "province", "ad_id")),
     "ad_click_trend": ResultTable(
-        ("date", "hour", "minute", "ad_id", "click_count"), "sum", ("date", "hour", "minute", "ad_id")
+        ("date", "hour", "minute", "ad_id", "click_count"), ("date", "hour", "minute", "ad_id")
     ),
     # Clicks per step of time, of which sliding windows are made on reading; no table of the given ones.
-    "ad_click_step": ResultTable(("date", "step", "ad_id", "click_count"), "sum", ("date", "step", "ad_id")),
+    "ad_click_step": ResultTable(("date", "step", "ad_id", "click_count"), ("date", "step", "ad_id")),
 }
 
 _TYPES = {
@@ -106,114 +96,105 @@ def write_jdbc(df: DataFrame, name: str, options: dict[str, str], task_id: int |
 # Streamed tables
 
 
-def _folder(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+def _schema(name: str) -> str:
+    return ", ".join(f"{c} {_TYPES[c]}" for c in RESULT_TABLES[name].columns)
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
-    place, files = _folder(spark, path)
-    return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else []
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    place, files = _folder(spark, path)
-    files.delete(place, True)
+def _beside(spark: SparkSession, name: str, root: str) -> tuple[int, str]:
+    """Number and folder of the newest complete days beside a table; number 0 if there are none yet."""
+    newest = 0, ""
+    for place in ("a", "b"):
+        path = f"{root}/_days/{name}/{place}"
+        names = _listed(spark, path)
+        numbers = [int(n.split("=")[1]) for n in names if n.startswith(f"{SEQUENCE}=")]
+        if "_SUCCESS" in names and numbers:
+            newest = max(newest, (numbers[0], place))
+    return newest
 
 
-def _versions(spark: SparkSession, day: str, full: int) -> list[int]:
-    """Batches of one day's folder."""
-    return [int(n.removeprefix(f"{BATCH}=")) for n in _children(spark, f"{day}/full={full}") if n.startswith(f"{BATCH}=")]
+def _days_beside(spark: SparkSession, name: str, root: str) -> DataFrame | None:
+    number, place = _beside(spark, name, root)
+    if not number:
+        return None
+    rows = spark.read.schema(f"{_schema(name)}, {SEQUENCE} bigint").parquet(f"{root}/_days/{name}/{place}")
+    return rows.select(*RESULT_TABLES[name].columns)
 
 
-def days_of(df: DataFrame) -> list[str]:
+def days_of(df: DataFrame) -> list:
     """The days of a batch's rows, of which a micro-batch has few."""
-    return sorted(str(r["date"]) for r in df.select("date").distinct().collect())
+    return sorted(r["date"] for r in df.select("date").where("date is not null").distinct().collect())
 
 
-def _rows(spark: SparkSession, name: str, root: str, days: list[str] | None, before: int | None) -> DataFrame:
-    """Rows that are not yet contained in a fold, with ``batch_id``, of all days or of some, from batches below ``before``."""
-    table = RESULT_TABLES[name]
-    columns = ", ".join(f"{c} {_TYPES[c]}" for c in table.columns if c != "date")
-    schema = f"{columns}, date string, full int, {BATCH} bigint"
-    path = f"{root}/{name}"
-    known = _children(spark, path)
-    wanted = known if days is None else [d for d in known if d.removeprefix("date=") in days]
-    wanted = [d for d in wanted if d.startswith("date=")]
-    if not wanted:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{d}" for d in wanted])
-    if before is not None:
-        rows = rows.where(F.col(BATCH) < before)
-    folded = rows.where("full = 1").groupBy("date").agg(F.max(BATCH).alias("upto"))
-    newest = rows.join(folded, "date", "left")  # one row a day
-    return newest.where(F.expr(f"upto is null or {BATCH} > upto or (full = 1 and {BATCH} = upto)")).drop("upto", "full")
-
-
-def _settled(rows: DataFrame, name: str) -> DataFrame:
-    """Rows of a streamed table with ``batch_id``, reduced to those that count."""
-    table = RESULT_TABLES[name]
-    keys, value = list(table.key), table.columns[-1]
-    if table.rule == "sum":
-        settled = rows.groupBy(*keys).agg(F.sum(value).alias(value))
-    elif table.rule == "latest_group":
-        newest = rows.groupBy(*keys).agg(F.max(BATCH).alias(BATCH))
-        settled = rows.join(newest, [*keys, BATCH], "left_semi")
-    elif table.rule == "distinct":
-        settled = rows.select(*keys).distinct()
+def read_days(spark: SparkSession, name: str, root: str, days: list | None = None) -> DataFrame:
+    """The rows of a streamed table, of all days or of some; only the folders of these are read."""
+    if _listed(spark, f"{root}/{name}"):
+        rows = spark.read.schema(_schema(name)).parquet(f"{root}/{name}").select(*RESULT_TABLES[name].columns)
     else:
-        raise ValueError(f"{name} is not a streamed table")
-    return settled.select(*table.columns)
-
-
-def read_days(
-    spark: SparkSession, name: str, root: str, days: list[str] | None = None, before: int | None = None
-) -> DataFrame:
-    """The rows of a streamed table that count, of all days or of some, as they were before a batch."""
-    rows = _rows(spark, name, root, days, before)
-    if "date" in RESULT_TABLES[name].columns:
-        rows = rows.withColumn("date", F.col("date").cast("date"))
-    return _settled(rows, name)
-
-
-def write_batch(df: DataFrame, name: str, root: str, batch_id: int) -> None:
-    """Add one micro-batch to a streamed table; the same batch written again replaces itself.
-
-    When a batch starts, those before it are done for good: what their folds contain is removed then, not
-    earlier. A day with FOLD_AFTER batches since its last fold is folded.
+        rows = spark.createDataFrame([], _schema(name))
+    beside = _days_beside(spark, name, root)
+    if beside is not None:
+        rows = rows.where(~F.col("date").isin(days_of(beside))).unionByName(beside)
+    return rows if days is None else rows.where(F.col("date").isin(days))
+
+
+def replace_days(df: DataFrame, name: str, root: str) -> DataFrame:
+    """Replace all rows of the days that ``df`` has rows of, and give these rows as they are stored."""
+    spark = df.sparkSession
+    number, place = _beside(spark, name, root)
+    path = f"{root}/_days/{name}/{'b' if place == 'a' else 'a'}"
+    placed = _laid_out(df, name, None).withColumn(SEQUENCE, F.lit(number + 1))
+    placed.write.mode("overwrite").partitionBy(SEQUENCE, "date").parquet(path)
+    rows = spark.read.schema(f"{_schema(name)}, {SEQUENCE} bigint").parquet(path).select(*RESULT_TABLES[name].columns)
+    writer = rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    writer.partitionBy("date").parquet(f"{root}/{name}")
+    return rows
+
+
+def put_rows(df: DataFrame, name: str, root: str) -> DataFrame | None:
+    """Put rows into a streamed table, each in place of the row of its key; other days are neither read nor written.
+
+    ``df`` has one row per key. Gives the whole rows of the days it touches, None without any.
     """
-    spark, table, path = df.sparkSession, RESULT_TABLES[name], f"{root}/{name}"
-    dated = "date" in table.columns
-    laid = _laid_out(df, name, None)
-    days = days_of(laid) if dated else [NO_DATE]
-    fold = []
-    for day in days:
-        place = f"{path}/date={day}"
-        folds = [v for v in _versions(spark, place, 1) if v < batch_id]
-        parts = [v for v in _versions(spark, place, 0) if v < batch_id]
-        upto = max(folds, default=None)
-        for full, old in ((1, folds), (0, parts)):
-            for v in old:
-                if upto is not None and (v < upto or (full == 0 and v == upto)):
-                    remove_folder(spark, f"{place}/full={full}/{BATCH}={v}")
-        if sum(upto is None or v > upto for v in parts) >= FOLD_AFTER:
-            fold.append(day)
-    text = laid.withColumn("date", F.col("date").cast("string") if dated else F.lit(NO_DATE))
-    _put(text, path, 0, batch_id)
-    if fold:
-        whole = read_days(spark, name, root, fold, batch_id + 1)
-        _put(whole.withColumn("date", F.col("date").cast("string") if dated else F.lit(NO_DATE)), path, 1, batch_id)
-
-
-def _put(df: DataFrame, path: str, full: int, batch_id: int) -> None:
-    """Replace the (date, full, batch) folders of ``df`` and no others."""
-    placed = df.withColumns({"full": F.lit(full), BATCH: F.lit(batch_id)})
-    placed.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("date", "full", BATCH).parquet(path)
+    fresh = _laid_out(df, name, None).persist()
+    try:
+        days = days_of(fresh)
+        if not days:
+            return None
+        stored = read_days(df.sparkSession, name, root, days)
+        same = reduce(Column.__and__, (stored[c].eqNullSafe(fresh[c]) for c in RESULT_TABLES[name].key))
+        kept = stored.join(fresh, same, "left_anti")
+        return replace_days(kept.unionByName(fresh), name, root)
+    finally:
+        fresh.unpersist()
 
 
 def read_result(spark: SparkSession, name: str, root: str) -> DataFrame:
-    """The rows of a result table that count, in the table's column order."""
-    if RESULT_TABLES[name].rule != "append":
+    """The rows of a result table, in the table's column order."""
+    if name == "ad_blacklist":
+        return read_listed(spark, root)
+    if RESULT_TABLES[name].key:
         return read_days(spark, name, root)
     rows = spark.read.parquet(f"{root}/{name}")
     return rows.withColumn("task_id", F.col("task_id").cast("bigint")).select(*RESULT_TABLES[name].columns)
+
+
+#: What the blacklist's state gives out per batch: the stream that all tables of accepted clicks are made of.
+ACCEPTED_TABLE = "ad_accepted"
+ACCEPTED_SCHEMA = (
+    "user_id bigint, date date, province string, city string, ad_id bigint, click_count bigint, kind string"
+)
+
+
+def read_listed(spark: SparkSession, root: str) -> DataFrame:
+    """The listed users: each was written once, with the batch that listed it."""
+    if not _listed(spark, f"{root}/{ACCEPTED_TABLE}/_spark_metadata"):
+        return spark.createDataFrame([], "user_id bigint")
+    rows = spark.read.schema(ACCEPTED_SCHEMA).parquet(f"{root}/{ACCEPTED_TABLE}")
+    return rows.where("kind = 'listed'").select("user_id")

@@ -1,68 +1,168 @@
 """The dynamic blacklist: clicks of a batch are filtered by the users listed in earlier batches.
 
-Everything is kept in result tables and joined per batch. Clicks are counted before they are joined, so a user
-with very many clicks is a few rows; counts are compared with the stored ones of the days the batch touches.
+Everything about a user is that user's state: the counts per day and ad, and whether the user is listed. One stateful
+query gives out what it accepts, the new counts and the newly listed users, through Spark's file sink, whose log makes
+a batch visible as a whole and once. The result tables are kept by further queries on that stream. No result table is
+read to decide about a click.
+
+Clicks are counted within each input batch before they are dealt to the users' states, so a user with very many
+clicks is a few rows. Counts of past days leave the state; that a user is listed stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from datetime import date, timedelta
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from visitlens.operators.joins import without_keys
 from visitlens.plans.ads import BLACKLIST_CLICKS
-from visitlens.sinks.results import BATCH, days_of, read_days, remove_folder, write_batch
-from visitlens.streaming.ads import add_stat, rank_changed, start
+from visitlens.sinks.results import ACCEPTED_SCHEMA, ACCEPTED_TABLE, put_rows
+from visitlens.streaming.ads import DAY_LATENESS, batch_trigger, put_stat, running_totals, start
+
+_COUNTED = "user_id bigint, date date, province string, city string, ad_id bigint, click_count bigint"
+_STATE = "listed boolean, days array<int>, ads array<bigint>, counts array<bigint>"
+_EPOCH = date(1970, 1, 1)
+_DAY_MS = 86_400_000
+
 
-ACCEPTED_TABLE = "ad_accepted_click"
-_KEY = ["user_id", "date", "province", "city", "ad_id"]
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys = ["user_id", "date", "province", "city", "ad_id"]
+    for batch in batches:
+        counted = pa.Table.from_batches([batch]).group_by(keys).aggregate([([], "count_all")])
+        yield from counted.rename_columns({"count_all": "click_count"}).select([*keys, "click_count"]).to_batches()
 
 
 def counted(clicks: DataFrame) -> DataFrame:
-    """Clicks per user, day, province, city and ad; those without user, ad or time are left out."""
+    """Clicks per user, day, province, city and ad, counted per input batch; those without user, ad or time are left out."""
     known = clicks.where("ts is not null and user_id is not null and ad_id is not null")
-    return known.withColumn("date", F.to_date("ts")).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("click_count"))
-
-
-def accept_batch(clicks: DataFrame, root: str, batch_id: int, threshold: int = BLACKLIST_CLICKS) -> DataFrame:
-    """The counts of a batch that pass the blacklist of the batches before, written once and added to the user counts;
-    users whose count of a day and ad reaches ``threshold`` with it are listed from the next batch on."""
-    spark = clicks.sparkSession
-    listed = read_days(spark, "ad_blacklist", root, before=batch_id)
-    folder = f"{root}/{ACCEPTED_TABLE}/{BATCH}="
-    without_keys(counted(clicks), listed, ["user_id"]).write.mode("overwrite").parquet(f"{folder}{batch_id}")
-    accepted = spark.read.parquet(f"{folder}{batch_id}")
-    remove_folder(spark, f"{folder}{batch_id - 2}")  # its batch is done and so is the next
-
-    key = ["date", "user_id", "ad_id"]
-    fresh = accepted.groupBy(*key).agg(F.sum("click_count").alias("click_count"))
-    stored = read_days(spark, "ad_user_click_count", root, days_of(accepted), batch_id)
-    stored = stored.withColumnRenamed("click_count", "earlier")
-    total = F.col("click_count") + F.coalesce("earlier", F.lit(0))
-    reached = fresh.join(stored, key, "left").where(total >= threshold).select("user_id").distinct()
-    write_batch(reached, "ad_blacklist", root, batch_id)
-    write_batch(fresh, "ad_user_click_count", root, batch_id)
-    return accepted
-
-
-def handle_batch(clicks: DataFrame, root: str, batch_id: int, threshold: int = BLACKLIST_CLICKS, n: int = 3) -> None:
-    """One batch of the whole blacklist job: accepted clicks, users, totals and top ads per province."""
-    accepted = accept_batch(clicks, root, batch_id, threshold)
-    stat = accepted.groupBy("date", "province", "city", "ad_id").agg(F.sum("click_count").alias("click_count"))
-    add_stat(stat, root, batch_id)
-    rank_changed(stat, root, batch_id, n)
+    rows = known.select("user_id", F.to_date("ts").alias("date"), "province", "city", "ad_id")
+    return rows.mapInArrow(_counted, _COUNTED)
+
+
+def _accept(threshold: int):
+    columns = [c.split()[0] for c in ACCEPTED_SCHEMA.split(", ")]
+
+    def accept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """One user's rows of one batch."""
+        listed, counts = False, {}
+        if state.exists:
+            listed, days, ads, numbers = state.get
+            counts = {(int(d), int(a)): int(n) for d, a, n in zip(days, ads, numbers, strict=True)}
+        if not state.hasTimedOut and not listed:
+            changed, rows = set(), []
+            for frame in frames:
+                for day, province, city, ad, n in zip(
+                    frame["date"], frame["province"], frame["city"], frame["ad_id"], frame["click_count"], strict=True
+                ):
+                    at = (day - _EPOCH).days, int(ad)
+                    counts[at] = counts.get(at, 0) + int(n)
+                    changed.add(at)
+                    rows.append((key[0], day, province, city, int(ad), int(n), "click"))
+            rows += [(key[0], _EPOCH + timedelta(days=d), None, None, a, counts[d, a], "total") for d, a in sorted(changed)]
+            listed = any(counts[at] >= threshold for at in changed)
+            if listed:
+                rows.append((key[0], None, None, None, None, None, "listed"))
+            yield pd.DataFrame(rows, columns=columns).astype({"ad_id": "Int64", "click_count": "Int64"})
+        # A listed user's clicks count no more, and clicks of days before the watermark do not come any more.
+        oldest = state.getCurrentWatermarkMs() // _DAY_MS
+        counts = {} if listed else {at: n for at, n in counts.items() if at[0] >= oldest}
+        if listed or counts:
+            state.update((listed, [d for d, _ in counts], [a for _, a in counts], list(counts.values())))
+        elif state.exists:
+            state.remove()
+        if counts:
+            # Look again when the oldest day is past.
+            state.setTimeoutTimestamp((min(d for d, _ in counts) + 1) * _DAY_MS)
+
+    return accept
+
+
+def accepted_clicks(clicks: DataFrame, threshold: int = BLACKLIST_CLICKS, lateness: str = DAY_LATENESS) -> DataFrame:
+    """The stateful step. Rows of three kinds: ``click``, accepted counts per user, day, province, city and ad;
+    ``total``, the new count of a user, day and ad; ``listed``, a user whose count reached ``threshold``, from
+    whom nothing is accepted from the next batch on."""
+    timed = counted(clicks).withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", lateness)
+    return timed.groupBy("user_id").applyInPandasWithState(
+        _accept(threshold), ACCEPTED_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def start_accepted(
+    clicks: DataFrame,
+    root: str,
+    checkpoint: str,
+    threshold: int = BLACKLIST_CLICKS,
+    once: bool = False,
+    lateness: str = DAY_LATENESS,
+) -> StreamingQuery:
+    """Write what is accepted, and with it the blacklist, to the stream of accepted clicks below ``root``."""
+    return (
+        accepted_clicks(clicks, threshold, lateness)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .partitionBy("kind")
+        .option("path", f"{root}/{ACCEPTED_TABLE}")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**batch_trigger(once))
+        .start()
+    )
 
 
-def start_users(
-    clicks: DataFrame, root: str, checkpoint: str, threshold: int = BLACKLIST_CLICKS, once: bool = False
+def read_accepted(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """The stream that ``start_accepted`` writes, one kind of its rows."""
+    rows = spark.readStream.schema(ACCEPTED_SCHEMA).parquet(f"{root}/{ACCEPTED_TABLE}")
+    return rows.where(F.col("kind") == kind)
+
+
+def start_user_counts(spark: SparkSession, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep ``ad_user_click_count`` up to date from the accepted stream."""
+
+    def handle(df: DataFrame, _: int) -> None:
+        newest = df.groupBy("date", "user_id", "ad_id").agg(F.max("click_count").alias("click_count"))
+        put_rows(newest, "ad_user_click_count", root)
+
+    return start(read_accepted(spark, root, "total"), handle, checkpoint, "append", once)
+
+
+def start_accepted_top3(
+    spark: SparkSession, root: str, checkpoint: str, n: int = 3, once: bool = False, lateness: str = DAY_LATENESS
 ) -> StreamingQuery:
+    """Keep ``ad_stat`` and ``ad_province_top3`` of the accepted clicks up to date."""
+    clicks = read_accepted(spark, root, "click").withColumn("ts", F.col("date").cast("timestamp"))
+    totals = running_totals(clicks, lateness, F.col("click_count"))
+    return start(totals, lambda df, _: put_stat(df, root, n), checkpoint, once=once)
+
+
+def start_users(
+    clicks: DataFrame,
+    root: str,
+    checkpoints: str,
+    threshold: int = BLACKLIST_CLICKS,
+    once: bool = False,
+    lateness: str = DAY_LATENESS,
+) -> list[StreamingQuery]:
     """Keep ``ad_user_click_count`` and ``ad_blacklist`` up to date."""
-    return start(clicks, lambda df, i: accept_batch(df, root, i, threshold), checkpoint, once=once)
+    accepted = start_accepted(clicks, root, f"{checkpoints}/accepted", threshold, once, lateness)
+    if once:
+        accepted.awaitTermination()
+    return [accepted, start_user_counts(clicks.sparkSession, root, f"{checkpoints}/users", once)]
 
 
 def start_blacklist_job(
-    clicks: DataFrame, root: str, checkpoint: str, threshold: int = BLACKLIST_CLICKS, n: int = 3, once: bool = False
-) -> StreamingQuery:
+    clicks: DataFrame,
+    root: str,
+    checkpoints: str,
+    threshold: int = BLACKLIST_CLICKS,
+    n: int = 3,
+    once: bool = False,
+    lateness: str = DAY_LATENESS,
+) -> list[StreamingQuery]:
     """Keep all tables of the accepted clicks up to date."""
-    return start(clicks, lambda df, i: handle_batch(df, root, i, threshold, n), checkpoint, once=once)
+    top = start_users(clicks, root, checkpoints, threshold, once, lateness)
+    return [*top, start_accepted_top3(clicks.sparkSession, root, f"{checkpoints}/top", n, once, lateness)]
