@@ -22,6 +22,10 @@ SESSION_CONF = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
+    # A batch uploads what it changed in the state, not the state's files.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Every batch gives out what it changed at once; state that is past leaves with the next batch that has rows.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
 

@@ -12,6 +12,7 @@ changes nothing, and a half-written table is covered by the complete days beside
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,11 +120,8 @@ def _beside(spark: SparkSession, name: str, root: str) -> tuple[int, str]:
     return newest
 
 
-def _days_beside(spark: SparkSession, name: str, root: str) -> DataFrame | None:
-    number, place = _beside(spark, name, root)
-    if not number:
-        return None
-    rows = spark.read.schema(f"{_schema(name)}, {SEQUENCE} bigint").parquet(f"{root}/_days/{name}/{place}")
+def _read_beside(spark: SparkSession, name: str, path: str) -> DataFrame:
+    rows = spark.read.schema(f"{_schema(name)}, {SEQUENCE} bigint").parquet(path)
     return rows.select(*RESULT_TABLES[name].columns)
 
 
@@ -138,9 +136,12 @@ def read_days(spark: SparkSession, name: str, root: str, days: list | None = Non
         rows = spark.read.schema(_schema(name)).parquet(f"{root}/{name}").select(*RESULT_TABLES[name].columns)
     else:
         rows = spark.createDataFrame([], _schema(name))
-    beside = _days_beside(spark, name, root)
-    if beside is not None:
-        rows = rows.where(~F.col("date").isin(days_of(beside))).unionByName(beside)
+    number, place = _beside(spark, name, root)
+    if number:
+        path = f"{root}/_days/{name}/{place}"
+        folders = _listed(spark, f"{path}/{SEQUENCE}={number}")
+        complete = [date.fromisoformat(f.split("=")[1]) for f in folders if f.startswith("date=")]
+        rows = rows.where(~F.col("date").isin(complete)).unionByName(_read_beside(spark, name, path))
     return rows if days is None else rows.where(F.col("date").isin(days))
 
 
@@ -151,7 +152,7 @@ def replace_days(df: DataFrame, name: str, root: str) -> DataFrame:
     path = f"{root}/_days/{name}/{'b' if place == 'a' else 'a'}"
     placed = _laid_out(df, name, None).withColumn(SEQUENCE, F.lit(number + 1))
     placed.write.mode("overwrite").partitionBy(SEQUENCE, "date").parquet(path)
-    rows = spark.read.schema(f"{_schema(name)}, {SEQUENCE} bigint").parquet(path).select(*RESULT_TABLES[name].columns)
+    rows = _read_beside(spark, name, path)
     writer = rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
     writer.partitionBy("date").parquet(f"{root}/{name}")
     return rows
