@@ -17,6 +17,8 @@ from visitlens.operators import (
     any_of,
     between,
     equal_to,
+    id_counts,
+    merged_bitmaps,
     observed_count,
     one_of,
     salted_group_count,
@@ -27,9 +29,19 @@ from visitlens.params import TaskParams, task_param_fields
 from visitlens.plans import ads, categories, jobs, pages, products, sessions
 from visitlens.settings import prepare, scratch_dir
 from visitlens.sinks import read_result
-from visitlens.sources import actions_in_range, clicks_in_range, parse_ad_log, rejected_ad_log, views
+from visitlens.sources import (
+    actions_in_range,
+    append_segments,
+    clicks_in_range,
+    parse_ad_log,
+    read_segments,
+    rejected_ad_log,
+    stream_segments,
+    views,
+)
 from visitlens.streaming import ads as ads_stream
 from visitlens.streaming import blacklist as blacklist_stream
+from visitlens.streaming import metrics as stream_metrics
 
 try:  # the training-data operators may be absent
     import corpus_pipeline
@@ -315,9 +327,9 @@ def registered_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_functions(spark)
     return spark.sql(
         """SELECT product_name, product_id DIV 100 AS ids,
-                  group_concat_distinct(collect_set(remove_random_prefix(random_prefix(
-                      concat_long_string(product_id, product_name, ':'), 10, product_id)))) AS labels,
-                  group_concat_distinct(collect_set(json_field(extend_info, 'product_status'))) AS statuses
+                  group_concat_distinct(remove_random_prefix(random_prefix(
+                      concat_long_string(product_id, product_name, ':'), 10, product_id))) AS labels,
+                  group_concat_distinct(json_field(extend_info, 'product_status')) AS statuses
            FROM {products} GROUP BY product_name, product_id DIV 100""",
         products=views.product_info(spark, sf_dir),
     )
@@ -376,6 +388,21 @@ def ad_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ads.blacklist(_ads(spark, sf_dir), LISTED_FROM)
 
 
+def ad_daily_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users per day and ad, from bitmaps."""
+    return _text_date(id_counts(ads.daily_users(_ads(spark, sf_dir)), ["date", "ad_id"], "users"))
+
+
+def ad_range_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users per ad over all days, merged from the days' bitmaps."""
+    return id_counts(merged_bitmaps(ads.daily_users(_ads(spark, sf_dir)), ["ad_id"]), ["ad_id"], "users")
+
+
+def ad_returning_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of an ad on both of two days."""
+    return ads.returning_users(ads.daily_users(_ads(spark, sf_dir)), date(2024, 1, 3), date(2024, 1, 4))
+
+
 def ad_filtered_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = ads.filter_blacklisted(_ads(spark, sf_dir), ad_blacklist(spark, sf_dir))
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("clicked_at")
@@ -425,6 +452,71 @@ def _stream(spark: SparkSession, sf_dir: str, label: str, start: Callable[..., A
     return folder
 
 
+LOG_PARTITIONS, LOG_PARTS = 3, 2
+
+
+def _append_log(clicks: DataFrame, folder: str) -> None:
+    """Click log lines at the end of a topic, each user's in one partition."""
+    partition = F.pmod(F.xxhash64("user_id"), F.lit(LOG_PARTITIONS)).cast("int")
+    lines = views.ad_log(clicks.withColumn("partition", partition), "partition")
+    append_segments(lines, folder, "ad-log", ["value"], segment_lines=2_000)
+
+
+def ad_log_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ad clicks as a log with offsets, parsed; the offsets of each partition have no gaps."""
+    folder = scratch_dir(prepare(spark), "ad-log")
+    _append_log(_ads(spark, sf_dir), folder)
+    log = read_segments(spark, folder, "ad-log")
+    bounds = log.groupBy("partition").agg(F.min("offset").alias("low"), F.max("offset").alias("high"), F.count_distinct("offset").alias("n"))
+    whole = bounds.where("low = 0 and high = n - 1").select("partition")  # a row per partition of the log
+    clicks = parse_ad_log(log.join(F.broadcast(whole), "partition"))
+    return clicks.select(fn.format_time("ts").alias("clicked_at"), "province", "city", "user_id", "ad_id")
+
+
+def _log_stream(spark: SparkSession, sf_dir: str, label: str, start: Callable[[DataFrame, str], Any]) -> str:
+    """The ad clicks as a log that grows in parts; a stream over it starts again from its offsets after each."""
+    folder, cities = scratch_dir(prepare(spark), label), views.city_info(spark, sf_dir)
+    for part in views.event_parts(spark, sf_dir, LOG_PARTS):
+        _append_log(views.as_ad_clicks(part, cities), folder)
+        start(stream_segments(spark, folder, "ad-log"), folder).awaitTermination()
+    return folder
+
+
+def stream_log_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running totals over a log with offsets."""
+
+    def begin(log: DataFrame, folder: str) -> Any:
+        return ads_stream.start_ad_stat(parse_ad_log(log), folder, f"{folder}/state", once=True)
+
+    return _text_date(read_result(spark, "ad_stat", _log_stream(spark, sf_dir, "log-stat", begin)))
+
+
+def stream_log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, readable and rejected ones per batch of the log stream, as the query's listener heard of them. The lines of
+    one ad are made unreadable."""
+    listener = stream_metrics.BatchCounts()
+    spark.streams.addListener(listener)
+
+    def begin(log: DataFrame, folder: str) -> Any:
+        broken = F.when(F.substring_index("value", " ", -1) == "3", F.concat(F.lit("x"), "value")).otherwise(F.col("value"))
+        clicks = stream_metrics.observed_clicks(log.withColumn("value", broken))
+        query = (
+            clicks.writeStream.format("parquet")
+            .options(path=f"{folder}/clicks", checkpointLocation=f"{folder}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        listener.wait_for(query)
+        return query
+
+    try:
+        _log_stream(spark, sf_dir, "log-metrics", begin)
+    finally:
+        spark.streams.removeListener(listener)
+    return stream_metrics.counted_batches(spark, listener).select("batch", "rows", "accepted", "rejected")
+
+
 def stream_ad_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _stream(spark, sf_dir, "ad-stat", partial(ads_stream.start_ad_stat, once=True))
     return _text_date(read_result(spark, "ad_stat", folder))
@@ -576,6 +668,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "observed_rows": observed_rows,
         "ad_log_parse": ad_log_parse,
         "ad_log_rejects": ad_log_rejects,
+        "ad_log_segments": ad_log_segments,
+        "ad_daily_users": ad_daily_users,
+        "ad_range_users": ad_range_users,
+        "ad_returning_users": ad_returning_users,
         "ad_user_click_count": ad_user_click_count,
         "ad_blacklist": ad_blacklist,
         "ad_filtered_clicks": ad_filtered_clicks,
@@ -592,6 +688,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_sliding_trend": stream_sliding_trend,
         "stream_blacklist": stream_blacklist,
         "stream_user_click_count": stream_user_click_count,
+        "stream_log_stat": stream_log_stat,
+        "stream_log_metrics": stream_log_metrics,
         "session_job": session_job,
         "product_job": product_job,
         "page_job": page_job,

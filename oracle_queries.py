@@ -427,3 +427,20 @@ slid AS (
 )
 SELECT ad_id, count(*) AS windows, CAST(sum(n) AS BIGINT) AS clicks, CAST(max(n) AS BIGINT) AS busiest FROM slid GROUP BY 1"""
 ORACLES["page_job"] = f"SELECT CAST(3 AS BIGINT) AS task_id, * FROM ({ORACLES['page_flow_conversion']})"
+
+# The log and the distinct users.
+ORACLES["ad_log_segments"] = ORACLES["ad_log_parse"]
+ORACLES["ad_daily_users"] = f"""WITH {_ADS}
+SELECT strftime(ts, '%Y-%m-%d') AS date, ad_id, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM ad_click GROUP BY 1, 2"""
+ORACLES["ad_range_users"] = f"WITH {_ADS} SELECT ad_id, count(DISTINCT user_id) AS users FROM ad_click GROUP BY 1"
+ORACLES["ad_returning_users"] = f"""WITH {_ADS},
+seen AS (SELECT DISTINCT CAST(ts AS DATE) AS d, ad_id, user_id FROM ad_click)
+SELECT ad_id, count(*) AS users FROM seen a JOIN seen b USING (ad_id, user_id)
+WHERE a.d = DATE '2024-01-03' AND b.d = DATE '2024-01-04' GROUP BY 1"""
+# Places stand in the log with underscores.
+ORACLES["stream_log_stat"] = f"""WITH {_ADS}
+SELECT strftime(ts, '%Y-%m-%d') AS date, replace(province, ' ', '_') AS province, replace(city, ' ', '_') AS city, ad_id,
+       count(*) AS click_count FROM ad_click GROUP BY 1, 2, 3, 4"""
+ORACLES["stream_log_metrics"] = f"""WITH {_ADS}
+SELECT CAST(least((day(ts) - 1) // 15, 1) AS BIGINT) AS batch, count(*) AS rows, count_if(ad_id <> 3) AS accepted,
+       count_if(ad_id = 3) AS rejected FROM ad_click GROUP BY 1"""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from visitlens.operators.bitmaps import common_bitmaps, id_bitmaps, id_counts
 from visitlens.operators.joins import without_keys
 from visitlens.operators.topk import top_per_group
 
@@ -26,6 +29,17 @@ def blacklist(clicks: DataFrame, threshold: int = BLACKLIST_CLICKS) -> DataFrame
     return user_ad_clicks(clicks).where(F.col("click_count") >= threshold).select("user_id").distinct()
 
 
+def daily_users(clicks: DataFrame) -> DataFrame:
+    """The users of each day and ad, as bitmaps that add up to those of any days and ads."""
+    return id_bitmaps(with_date(clicks), ["date", "ad_id"], "user_id")
+
+
+def returning_users(users: DataFrame, first: date, second: date) -> DataFrame:
+    """How many users each ad had on both of two days; ads without any are left out."""
+    days = users.where(F.col("date").isin(first, second))
+    return id_counts(common_bitmaps(days, ["ad_id"], 2), ["ad_id"], "users").where("users > 0")
+
+
 def filter_blacklisted(clicks: DataFrame, listed: DataFrame) -> DataFrame:
     """Clicks of users that are not listed."""
     return without_keys(clicks, listed, ["user_id"])

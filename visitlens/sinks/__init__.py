@@ -1,3 +1,4 @@
+from visitlens.sinks.batched import write_batches
 from visitlens.sinks.results import (
     RESULT_TABLES,
     ResultTable,
@@ -16,6 +17,7 @@ __all__ = [
     "read_days",
     "read_result",
     "replace_days",
+    "write_batches",
     "write_jdbc",
     "write_result",
 ]

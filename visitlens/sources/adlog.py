@@ -32,7 +32,8 @@ def read_log_files(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.load(path)
 
 
-def _parsed(log: DataFrame, column: str) -> DataFrame:
+def parsed_log(log: DataFrame, column: str) -> DataFrame:
+    """The log with its lines as ``click``, whose fields are null where a line is not readable."""
     parts = F.split(F.col(column), " ")
 
     def part(index: int) -> Column:
@@ -50,19 +51,20 @@ def _parsed(log: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _readable() -> Column:
+def readable() -> Column:
+    """Whether all fields of ``click`` are there."""
     names = ("ts", "province", "city", "user_id", "ad_id")
-    readable = F.lit(True)
+    whole = F.lit(True)
     for name in names:
-        readable = readable & F.col(f"click.{name}").isNotNull()
-    return readable
+        whole = whole & F.col(f"click.{name}").isNotNull()
+    return whole
 
 
 def parse_ad_log(log: DataFrame, column: str = "value") -> DataFrame:
     """Clicks (ts, province, city, user_id, ad_id) of the readable lines; batch or streaming."""
-    return _parsed(log, column).where(_readable()).select("click.*")
+    return parsed_log(log, column).where(readable()).select("click.*")
 
 
 def rejected_ad_log(log: DataFrame, column: str = "value") -> DataFrame:
     """The lines ``parse_ad_log`` leaves out."""
-    return _parsed(log, column).where(~_readable()).select(column)
+    return parsed_log(log, column).where(~readable()).select(column)

@@ -159,9 +159,10 @@ def ad_click_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     return as_ad_clicks(events, city_info(spark, sf_dir))
 
 
-def ad_log(clicks: DataFrame) -> DataFrame:
-    """Ad clicks as log lines."""
+def ad_log(clicks: DataFrame, *others: str) -> DataFrame:
+    """Ad clicks as log lines, with other columns that are to stay."""
     return clicks.select(
+        *others,
         F.concat_ws(
             " ",
             F.unix_millis("ts").cast("string"),
