@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import pytest
 
@@ -57,3 +58,53 @@ def test_edges(spark):
     got = main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "a", 1), (2, "v", "", 0)], key=str)
     assert main_texts(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+PARAGRAPH_1 = "The first paragraph tells, at some length, what happened on the river, and who was there to see it. " * 4
+PARAGRAPH_2 = "The second one goes on about the weather, the boats, and the long way home through the green hills. " * 4
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        '<div class="wrapper header-fixed">{}</div>',
+        '<div class="content social-science">{}</div>',
+        '<div id="page" class="layout sidebar-right">{}</div>',
+        '<div class="story legal-news">{}</div>',
+        '<form id="aspnetForm">{}</form>',
+        '<form><div class="sidebar"><div class="related">{}</div></div></form>',
+        '<div class="comments-enabled comment-page">{}</div>',
+    ],
+)
+def test_a_word_on_a_box_around_the_page_drops_nothing(wrapper):
+    page = f"<p>{PARAGRAPH_1}</p><p>{PARAGRAPH_2}</p>"
+    side = '<div class="sidebar">Weather today is fine, tomorrow too.</div><nav><a href="/">Home</a></nav>'
+    want = f"{PARAGRAPH_1.strip()} {PARAGRAPH_2.strip()}"
+    assert main_text(f"<html><body>{wrapper.format(page)}</body></html>") == want
+    assert main_text(f"<html><body>{wrapper.format(page + side)}</body></html>") == want
+
+
+def test_comments_and_forms_beside_an_article_stay_out():
+    """However long they are: they come back only where next to nothing remains without them."""
+    article = f'<div class="post"><p>{PARAGRAPH_1}</p></div>'
+    comments = '<div class="comments">' + f"<div class='comment'><p>{PARAGRAPH_2}</p></div>" * 20 + "</div>"
+    form = f"<form class='search'><p>{PARAGRAPH_2}</p></form>"
+    assert main_text(f"<body>{article}{comments}{form}</body>") == PARAGRAPH_1.strip()
+    short = f"<article><p>Short, but an article.</p></article>{comments}"
+    assert main_text(f"<body>{short}</body>") == "Short, but an article."
+    hidden = f'<div hidden><p>{PARAGRAPH_1}</p></div><div style="display: none">{PARAGRAPH_2}</div>'
+    assert main_text(f"<body>{hidden}<p>Seen.</p></body>") == "Seen."
+    both = f'<div class="sidebar"><p>{PARAGRAPH_1}</p></div>{comments}'
+    assert main_text(f"<body>{both}</body>") == PARAGRAPH_1.strip()
+
+
+def test_attributes_of_any_length_and_stray_quotes():
+    for size in (800, 80_000, 1_000_000):
+        image = f"<img alt='a>b' src=\"data:image/svg+xml,<svg>{'x' * size}</svg>\">"
+        assert main_text(f"<body><p>{PARAGRAPH_1}{image}</p></body>") == PARAGRAPH_1.strip()
+    stray = f'<p class=it\'s><b title=5">{PARAGRAPH_1}</b></p><p data-x="unclosed>{PARAGRAPH_2}</p>'
+    text = main_text(f"<body>{stray}</body>")
+    assert PARAGRAPH_1.strip() in text and "title" not in text
+    began = time.time()
+    assert main_text("<body>" + "<p a='" * 50_000 + f"<p>{PARAGRAPH_1}</p>")
+    assert time.time() - began < 20

@@ -86,3 +86,35 @@ def test_base_spans_of_given_documents(spark, sf_dir):
     got = {r["doc_id"]: r["base_sha256"] for r in S.secret_report(docs).collect()}
     for row in docs.select("doc_id", "text").collect():
         assert got[row["doc_id"]] == hashlib.sha256(text_of(base(row["text"])).encode()).hexdigest()
+
+
+def test_no_length_is_too_long(spark):
+    """Identifiers and secrets of any length are candidates and confirm each other."""
+    rows, want = [], {}
+    for i, n in enumerate((16, 32, 33, 129, 4000, 300_000)):
+        one, other = ("A1" * n)[:n], ("aB3+" * n)[: max(n, 20)]
+        rows.append((i, f"{one} {other} jdbc:{'x' * n}://host:123456", "s"))
+        end = n + 1 + len(other)
+        want[i] = f"weak_id:0:{n},weak_secret:{n + 1}:{end},endpoint:{end + 1}:{end + 1 + 5 + n + 14}"
+    got = {r["doc_id"]: r["spans"] for r in S.secret_report(documents(spark, rows)).collect()}
+    near = {i: w for i, w in want.items() if i < 4}
+    assert {i: got[i] for i in near} == near
+    # Farther apart than the scope nothing belongs together.
+    assert got[4] == got[5] == ""
+    # Beside each other long ones do: the scope is between beginnings.
+    pair = documents(spark, [(0, f"{'A1' * 2000} x", "s"), (1, f"{ID} {'aB3+' * 1000}", "s"), (2, f"{SECRET} {'A1' * 2000}", "s")])
+    assert {r["doc_id"]: r["spans"].count(":") // 2 for r in S.secret_report(pair).collect()} == {0: 0, 1: 2, 2: 2}
+    texts = {r["doc_id"]: r["text"] for r in S.redact_secrets(pair).collect()}
+    assert texts[1] == "[SECRET:weak_id] [SECRET:weak_secret]" and texts[2] == "[SECRET:weak_secret] [SECRET:weak_id]"
+
+
+def test_one_text_with_very_many_values(spark):
+    """More matches than one block holds: exact places, in time that does not grow with their square."""
+    many = 20_000
+    text = " ".join(f"é token=abcdefghijkl{i:08d}" for i in range(many))
+    docs = documents(spark, [(1, text, "s")])
+    [row] = S.secret_report(docs).collect()
+    assert row["n_assign"] == many
+    assert row["base_sha256"] == hashlib.sha256(text_of(base(text)).encode()).hexdigest()
+    [clean] = S.redact_secrets(docs).collect()
+    assert clean["text"] == " ".join(["é [SECRET:assign]"] * many)

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from visitlens.llm.common import columns_of, small_batches
 
 _TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*+|[^>]*)>",
+    # A quote opens a value only behind an equals sign, and the value ends with the next such quote, however far.
+    r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|aria-hidden|hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -30,7 +31,7 @@ _COMMAS = re.compile("[,،、，;；]")
 #: Elements whose content is no markup, and all that are never part of an article.
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _NEVER = _RAW | frozenset(
-    "head nav header footer aside form noscript template svg math object canvas audio video select button input "
+    "head nav header footer aside noscript template svg math object canvas audio video select button input "
     "option datalist dialog menu label fieldset".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,6 +67,8 @@ _OUTSIDE = frozenset(
     "share sharing social related recommended recommendations trending newsletter subscribe subscription signup login search form "
     "copyright legal skip hidden".split()
 )
+#: Of these the ones that hardly ever stand on a box around the whole page.
+_READERS = frozenset("comment comments commentlist commentary reply replies respond disqus discussion".split())
 _INSIDE = frozenset("article articlebody body content entry hentry main post story text blog maincontent".split())
 #: What elements start with; the first two are enough to win over any stray box.
 _START = {"article": 25.0, "main": 25.0, "div": 5.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0} | {
@@ -80,23 +83,26 @@ _SIBLING = 0.2
 
 
 class _Node:
-    __slots__ = ("tag", "up", "kids", "words", "out", "points", "size", "linked", "links", "scored")
+    __slots__ = ("tag", "up", "kids", "words", "out", "named", "points", "size", "linked", "links", "scored")
 
     def __init__(self, tag: str, up: _Node | None, attributes: str = "") -> None:
         self.tag, self.up, self.kids = tag, up, []
         self.points, self.size, self.linked, self.links, self.scored = 0.0, 0, 0, 0, False
         self.words: set[str] = set()
-        self.out = tag in _NEVER
+        #: ``out`` is left out of the article; ``named``, for its name alone.
+        self.named = tag == "form"
+        self.out = tag in _NEVER or self.named
         if attributes:
             self._read(attributes)
 
     def _read(self, attributes: str) -> None:
+        hidden = False
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                self.out = True
+                hidden = True
             elif name == "style":
-                self.out |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+                hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
             elif self.tag not in ("html", "body"):
                 self.words.update(_WORDS.findall(_LAYOUT.sub(" ", value)))  # has-sidebar says how the page is laid out
         if self.tag in _HEADING:
@@ -104,9 +110,12 @@ class _Node:
         if self.tag in ("main", "article"):
             pass
         elif self.words & _OUTSIDE or any(map(_STEMS.search, self.words)):
+            self.named |= self.tag not in _NEVER
             self.out = True
         if self.tag == "article" and self.words & {"comment", "comments", "reply", "replies", "ad", "advert", "promo", "sponsored"}:
             self.out = True
+        if hidden:
+            self.out, self.named = True, False
 
 
 def parse(html: str) -> _Node:
@@ -164,6 +173,43 @@ def _implied(node: _Node, ends: frozenset[str], wall: frozenset[str]) -> _Node:
     return stay
 
 
+def _unlinked(node: _Node, named: bool) -> tuple[int, bool, list[_Node]]:
+    """Characters outside links below a node, whether an article or main element has any, and the elements that
+    are left out for their names; what is below these counts only with ``named``."""
+    size, article, out = 0, False, []
+    stack = [(node, False)]
+    while stack:
+        item, inside = stack.pop()
+        for kid in item.kids:
+            if isinstance(kid, str):
+                n = len(kid.strip())
+                size += n
+                article |= inside and n > 0
+            elif kid.tag == "a":
+                continue
+            elif not kid.out or (named and kid.named):
+                stack.append((kid, inside or kid.tag in ("article", "main")))
+            elif kid.named:
+                out.append(kid)
+    return size, article, out
+
+
+def _restore(root: _Node) -> None:
+    """Take back elements that were left out for their names where hardly any text remains without them: a word such
+    as ``sidebar`` may stand on a box around the whole page. The one with the most text comes first; boxes of readers'
+    comments only if there are no others."""
+    while True:
+        size, article, out = _unlinked(root, False)
+        if size >= _SHORT or article:
+            return
+        held = [(not (n.words & _READERS), _unlinked(n, True)[0], n) for n in out]
+        held = [h for h in held if h[1] >= _SHORT]
+        if not held:
+            return
+        best = max(held, key=lambda h: h[:2])[2]
+        best.out = best.named = False
+
+
 def _measure(root: _Node) -> list[_Node]:
     """Sizes of text and linked text of every element, and points of the containers; elements with points."""
     order, stack = [], [(root, False)]
@@ -258,7 +304,9 @@ def main_text(html: str) -> str:
     """The article of one page, blocks joined by one space; empty if there is none."""
     if not html:
         return ""
-    scored = _measure(parse(html))
+    root = parse(html)
+    _restore(root)
+    scored = _measure(root)
     if not scored:
         return ""
     best = max(scored, key=_worth)  # of equals the first, which is the innermost met first

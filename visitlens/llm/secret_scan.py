@@ -26,14 +26,14 @@ ASSIGN_PATTERN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\
 ACCESS_PATTERN = r"AKIA[A-Z0-9]{14,}"
 HEX_PATTERN = r"[0-9a-f]{16,}"
 _EDGE, _END = r"(?<![A-Za-z0-9+/=_-])", r"(?![A-Za-z0-9+/=_-])"
-WEAK_ID_PATTERN = rf"{_EDGE}(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{{16,32}}{_END}"
+WEAK_ID_PATTERN = rf"{_EDGE}(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{{16,}}+{_END}"
 WEAK_SECRET_PATTERN = (
     rf"{_EDGE}(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[0-9])"
-    rf"[A-Za-z0-9+/_-]{{20,128}}={{0,2}}{_END}"
+    rf"[A-Za-z0-9+/_-]{{20,}}+={{0,2}}{_END}"
 )
 ENDPOINT_PATTERN = (
-    r"(?i:https?|jdbc:[a-z0-9]{1,20}|amqps?|rediss?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|s3|ftp)"
-    r"://[A-Za-z0-9.-]+(?::[0-9]{1,5})?"
+    r"(?i:https?|jdbc:[a-z0-9]+|amqps?|rediss?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|s3|ftp)"
+    r"://[A-Za-z0-9.-]+(?::[0-9]+)?"
 )
 def _could_be_weak(text: Column) -> Column:
     """Met by every text with a weak candidate: a bare identifier and a random string hold digits, an address ://."""
