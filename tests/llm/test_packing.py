@@ -117,3 +117,34 @@ def test_empty_table(spark):
 def test_shares_of_nothing_are_refused():
     with pytest.raises(ValueError):
         P.Rounds([5, 5], [1.0, 0.0], 16)
+
+
+def many_sources():
+    return [(i, f"{PROSE} {i}", f"s{i % 40}") for i in range(800)]
+
+
+def test_a_share_for_no_source_is_refused(spark, tokenizer):
+    for unknown in ({"nosuch": 3.0}, {None: 1.0}, {"s1": 1.0, "nosuch": 1.0}):
+        with pytest.raises(ValueError, match="no rows of the sources"):
+            P.pack(documents(spark, many_sources()), word_tokenizer(), mixture=unknown)
+
+
+def test_a_named_source_has_its_own_queue_however_small(spark, tokenizer, monkeypatch):
+    """Ten times its share of the corpus means that it is used up in the first tenth of the windows."""
+    monkeypatch.setattr(P, "OWN_QUEUES", 3)
+    data = [*many_sources(), *[(9000 + i, PROSE, "rare") for i in range(8)], (9100, PROSE, None)]
+    mixture = {"rare": 0.1, None: 0.05}
+    check(spark, tokenizer, data, mixture=mixture, window=256)
+    got = P.pack(documents(spark, data), word_tokenizer(), mixture=mixture, window=256).collect()
+    last = max(r["sequence_id"] for r in got)
+    for ident in (*range(9000, 9008), 9100):
+        assert max(r["sequence_id"] for r in got if r["doc_id"] == ident) < 0.2 * last
+
+
+def test_sources_of_the_shared_queue_are_mixed(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(P, "OWN_QUEUES", 1)
+    frame = documents(spark, many_sources()).repartition(16)
+    got = P.pack(frame, word_tokenizer(), window=256).collect()
+    last = max(r["sequence_id"] for r in got)
+    half = Counter(r["source"] for r in got if r["sequence_id"] < last / 2)
+    assert len(half) >= 38  # most sources occur in either half

@@ -277,10 +277,11 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     ``mixture`` gives target token shares of sources; a source without one, and all of them by default, counts
-    with its share of the corpus, so every window has the corpus's proportions. Shares are positive. All tokens are packed. A null
-    or empty text is the end id alone; a null source is a queue like any other; repeated rows and null ids are
-    packed as they come; an empty table gives no rows. Every sequence is full but those of the last window,
-    which are powers of two.
+    with its share of the corpus, so every window has the corpus's proportions. Shares are positive, and a share for a
+    source that has no rows is an error. Sources beyond the OWN_QUEUES largest that ``mixture`` does not name share a
+    queue, in which their parts are mixed by hash. All tokens are packed. A null or empty text is the end id alone; a
+    null source is a queue like any other; repeated rows and null ids are packed as they come; an empty table gives no
+    rows. Every sequence is full but those of the last window, which are powers of two.
     """
     spark = docs.sparkSession
     tokens = tokenized(columns_of(docs, doc_id=id_col, text=text_col, source=source_col), tokenizer_path, end_id)
@@ -288,10 +289,19 @@ def pack(
         tokens.groupBy("source", "part").agg(F.sum("n_tokens").cast("bigint").alias("n"), F.count(F.lit(1)).alias("rows")),
         "parts",
     )
-    sources = parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.col("source").asc_nulls_first())
-    largest = sources.limit(OWN_QUEUES).withColumn("queue", F.row_number().over(Window.orderBy(F.desc("n"), "source")) - 1)
+    sources = parts.groupBy("source").agg(F.sum("n").alias("n"))
+    asked = list(mixture or {})
+    given = [s for s in asked if s is not None]
+    wanted = F.coalesce(F.col("source").isin(given), F.lit(None in asked)) if given else F.col("source").isNull() & F.lit(None in asked)
+    # Sources that the mixture names have a queue of their own, however small they are.
+    first = [F.desc("asked"), F.desc("n"), F.col("source").asc_nulls_first()]
+    sources = sources.withColumn("asked", wanted).orderBy(*first).limit(max(OWN_QUEUES, len(asked)))
+    largest = sources.withColumn("queue", F.row_number().over(Window.orderBy(*first)) - 1)
     largest = saved(largest.select("source", "queue", "n"), "queues")
-    named = largest.orderBy("queue").collect()  # at most OWN_QUEUES rows
+    named = largest.orderBy("queue").collect()  # at most OWN_QUEUES rows, or those of the mixture
+    unknown = set(asked) - {r["source"] for r in named}
+    if unknown:
+        raise ValueError(f"no rows of the sources {sorted(map(str, unknown))}, for which the mixture has a share")
     everything = parts.agg(F.sum("n")).first()[0] or 0
     totals = [r["n"] for r in named]
     own = [r["source"] for r in named]
@@ -309,7 +319,8 @@ def pack(
     placed = parts.alias("p").join(F.broadcast(largest.select("source", "queue")).alias("q"), F.expr("p.source <=> q.source"), "left")
     placed = placed.select("p.source", "p.part", "p.n", queue.alias("queue"))
     # Tokens of a queue before each (source, part), in two steps: over buckets of them, and within a bucket.
-    bucket = F.when(F.col("queue") == shared, F.pmod(F.xxhash64("source"), F.lit(BUCKETS))).otherwise(
+    # In the shared queue the parts of all sources are mixed, so that a window has its share of each of them on average.
+    bucket = F.when(F.col("queue") == shared, F.pmod(F.xxhash64("part", "source"), F.lit(BUCKETS))).otherwise(
         F.floor(F.col("part") / BUCKETS)
     )
     placed = placed.withColumn("bucket", bucket)

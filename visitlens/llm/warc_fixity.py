@@ -1,9 +1,13 @@
 """WARC records, and a Merkle audit that compares replicas of them.
 
-Records of a file are hashed in the order of their offsets. Every FANOUT neighbours make a node, whose hash is
-that of its children's hashes and of the range of offsets it covers, up to one root per file. Two replicas are
-compared from the roots: only below nodes whose hashes differ are the children looked at, so what is read of a
-sound file is its root.
+Records of a file are hashed in the order of their offsets. Neighbours make a node, which covers their range of
+offsets and whose hash is that of its children's hashes and of the range's length, up to one root per file. Where a
+node begins is decided by the records themselves: at those whose hashed id ends in as many zeros as the level asks for,
+one in FANOUT of the level below. So a record that is missing or too many changes the node it belongs to and those
+above, and all others keep their hashes, though all later offsets move.
+
+Two replicas are compared from the roots: only below nodes whose hashes differ are the children looked at, so what is
+read of a sound file is its root.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql.window import Window
 
 from visitlens.llm.common import columns_of, saved
 
-#: Children of a node, and records of a file.
+#: Children of a node on average, and records of a file.
 FANOUT, FILE_RECORDS = 16, 4096
 _DATE = "2024-01-01T00:00:00Z"
 _LEVELS = 16
@@ -66,75 +70,99 @@ def with_offsets(records: DataFrame) -> DataFrame:
 # Trees
 
 
+def _begins(key: Column, level: int) -> Column:
+    """Whether a node of a level begins with this record."""
+    return F.pmod(F.xxhash64(key), F.lit(FANOUT**level)) == 0
+
+
+def _placed(nodes: DataFrame, level: int) -> DataFrame:
+    """Nodes of a level with ``up``, the record their parent begins with; the first of a file has none (empty)."""
+    so_far = Window.partitionBy("file_id").orderBy("low", "key").rowsBetween(Window.unboundedPreceding, 0)
+    begin = F.last(F.when((F.col("key") != "") & _begins(F.col("key"), level + 1), F.col("key")), ignorenulls=True)
+    return nodes.withColumn("up", F.coalesce(begin.over(so_far), F.lit("")))
+
+
 def leaves(records: DataFrame) -> DataFrame:
-    """Level 0 of the trees: file_id, place, low, high (offsets), hash of each record."""
-    place = F.row_number().over(Window.partitionBy("file_id").orderBy("offset", "sha")) - 1
-    return records.select(
-        "file_id", place.alias("place"), F.col("offset").alias("low"), (F.col("offset") + F.col("length")).alias("high"),
+    """Level 0 of the trees: file_id, key, low, high (offsets), hash, up of each record.
+
+    The key is the record's id and which of the records of that id it is.
+    """
+    time = F.row_number().over(Window.partitionBy("file_id", "page_id").orderBy("offset", "sha"))
+    key = F.concat_ws("#", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), time)
+    own = records.select(
+        "file_id", key.alias("key"), F.col("offset").alias("low"), (F.col("offset") + F.col("length")).alias("high"),
         F.col("sha").alias("hash"),
     )
+    return _placed(own, 0)
 
 
-def parents(nodes: DataFrame) -> DataFrame:
-    """The level above: at most FANOUT children each, hashed in the order of their offsets."""
-    kids = F.array_sort(F.collect_list(F.struct("place", "hash")))
-    grouped = nodes.groupBy("file_id", F.floor(F.col("place") / FANOUT).cast("int").alias("place")).agg(
+def parents(nodes: DataFrame, level: int) -> DataFrame:
+    """The level above, ``level``: children hashed in the order of their offsets."""
+    kids = F.array_sort(F.collect_list(F.struct("low", "key", "hash")))
+    grouped = nodes.groupBy("file_id", F.col("up").alias("key")).agg(
         F.min("low").alias("low"), F.max("high").alias("high"), kids.alias("kids")
     )
-    told = F.concat_ws(":", "low", "high", F.array_join(F.transform("kids", lambda k: k["hash"]), ""))
-    return grouped.select("file_id", "place", "low", "high", F.sha2(told, 256).alias("hash"))
+    told = F.concat_ws(":", F.col("high") - F.col("low"), F.array_join(F.transform("kids", lambda k: k["hash"]), ""))
+    return _placed(grouped.select("file_id", "key", "low", "high", F.sha2(told, 256).alias("hash")), level)
 
 
 def trees(records: DataFrame) -> list[DataFrame]:
-    """All levels, leaves first; the last has one root per file."""
+    """All levels, leaves first; the last has one root per file, whose key is empty."""
     levels = [saved(leaves(records), "tree")]
-    while levels[-1].where("place > 0").limit(1).count():
+    while len(levels) == 1 or levels[-1].where("key <> ''").limit(1).count():
         if len(levels) > _LEVELS:
             raise RuntimeError("a file has more records than a tree of this height holds")
-        levels.append(saved(parents(levels[-1]), "tree"))
+        levels.append(saved(parents(levels[-1], len(levels)), "tree"))
+    return levels
+
+
+def _grown(levels: list[DataFrame], height: int) -> list[DataFrame]:
+    while len(levels) < height:
+        levels.append(saved(parents(levels[-1], len(levels)), "tree"))
     return levels
 
 
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """file_id, place, low, high, fault of every leaf at which the replicas differ: changed, missing, extra.
+    """file_id, key, low, high, fault of every record at which the replicas differ: changed, missing, extra.
 
     ``ours`` and ``theirs`` are records with offsets. From the roots down, only children of nodes that differ
-    are joined. Files that one side lacks differ as a whole.
+    are joined. Files that one side lacks differ as a whole. Records that only changed places change the nodes above
+    them, but are no faults themselves.
     """
     left, right = trees(ours), trees(theirs)
     height = max(len(left), len(right))
-    while len(left) < height:
-        left.append(saved(parents(left[-1]), "tree"))
-    while len(right) < height:
-        right.append(saved(parents(right[-1]), "tree"))
     open_ = None
-    for mine, other in zip(reversed(left), reversed(right), strict=True):
+    for mine, other in zip(reversed(_grown(left, height)), reversed(_grown(right, height)), strict=True):
         if open_ is not None:
-            up = F.floor(F.col("place") / FANOUT).cast("int")
             mine, other = (
-                side.withColumn("up", up).join(open_, ["file_id", "up"], "left_semi").drop("up") for side in (mine, other)
+                side.join(open_.where(there).select("file_id", "up"), ["file_id", "up"], "left_semi")
+                for side, there in ((mine, "fault <> 'extra'"), (other, "fault <> 'missing'"))
             )
-        both = mine.alias("m").join(other.alias("o"), ["file_id", "place"], "full")
+        both = mine.alias("m").join(other.alias("o"), ["file_id", "key"], "full")
         differ = both.where(F.expr("not (m.hash <=> o.hash)")).select(
             "file_id",
-            "place",
+            "key",
             F.coalesce("m.low", "o.low").alias("low"),
             F.coalesce("m.high", "o.high").alias("high"),
             F.expr("case when o.hash is null then 'missing' when m.hash is null then 'extra' else 'changed' end").alias("fault"),
         )
         differ = saved(differ, "differ")
-        open_ = differ.select("file_id", F.col("place").alias("up"))
+        open_ = differ.select("file_id", F.col("key").alias("up"), "fault")
     return differ
 
 
 def audit_pages(pages: DataFrame, damaged: DataFrame, id_col: str = "page_id") -> DataFrame:
     """page_id, file_id, offset, length, sha256, fault ('sound' if none) of every record of ``pages`` against the
-    replica made of ``damaged``."""
+    replica made of ``damaged``.
+
+    Records are matched by their ids, repeated ones in the order of their offsets and hashes; null ids by what the page
+    holds. Records that only ``damaged`` has are not in the result (``audit`` reports them as extra). Without rows in
+    ``damaged`` all are missing; no rows give no rows.
+    """
     ours = saved(warc_records(pages, id_col).drop("record"), "records")
     theirs = saved(warc_records(damaged, id_col).drop("record"), "records")
-    faults = audit(ours, theirs).select("file_id", "place", "fault")
-    place = F.row_number().over(Window.partitionBy("file_id").orderBy("offset", "sha")) - 1
-    joined = ours.withColumn("place", place).join(faults, ["file_id", "place"], "left")
+    faults = audit(ours, theirs).where("fault <> 'extra'").select("file_id", "low", "fault")
+    joined = ours.join(faults, (ours["file_id"] == faults["file_id"]) & (ours["offset"] == faults["low"]), "left")
     return joined.select(
-        "page_id", "file_id", "offset", "length", F.col("sha").alias("sha256"), F.coalesce("fault", F.lit("sound")).alias("fault")
+        "page_id", ours["file_id"], "offset", "length", F.col("sha").alias("sha256"), F.coalesce("fault", F.lit("sound")).alias("fault")
     )
