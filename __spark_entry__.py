@@ -522,6 +522,22 @@ def stream_ad_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_date(read_result(spark, "ad_stat", folder))
 
 
+def stream_interval_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running totals by one query that goes on while the parts come in, at its interval between batches."""
+    folder, query = scratch_dir(prepare(spark), "interval-stat"), None
+    try:
+        for part in views.event_parts(spark, sf_dir, LOG_PARTS):
+            part.write.mode("append").parquet(f"{folder}/events")
+            if query is None:
+                clicks = views.ad_click_stream(spark, sf_dir, f"{folder}/events")
+                query = ads_stream.start_ad_stat(clicks, folder, f"{folder}/state")
+            query.processAllAvailable()
+    finally:
+        if query is not None:
+            query.stop()
+    return _text_date(read_result(spark, "ad_stat", folder))
+
+
 def stream_province_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _stream(spark, sf_dir, "province-top3", partial(ads_stream.start_province_top3, once=True))
     return _text_date(read_result(spark, "ad_province_top3", folder))
@@ -682,6 +698,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ad_click_trend": ad_click_trend,
         "ad_click_sliding": ad_click_sliding,
         "stream_ad_stat": stream_ad_stat,
+        "stream_interval_stat": stream_interval_stat,
         "stream_province_top3": stream_province_top3,
         "stream_click_trend": stream_click_trend,
         "stream_window_trend": stream_window_trend,

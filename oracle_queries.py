@@ -444,3 +444,4 @@ SELECT strftime(ts, '%Y-%m-%d') AS date, replace(province, ' ', '_') AS province
 ORACLES["stream_log_metrics"] = f"""WITH {_ADS}
 SELECT CAST(least((day(ts) - 1) // 15, 1) AS BIGINT) AS batch, count(*) AS rows, count_if(ad_id <> 3) AS accepted,
        count_if(ad_id = 3) AS rejected FROM ad_click GROUP BY 1"""
+ORACLES["stream_interval_stat"] = _STAT

@@ -169,15 +169,13 @@ def extraction_quota(sessions: DataFrame, total: int) -> DataFrame:
     Both steps round down, so a wide date range may leave an hour with none.
     """
     hours = sessions_by_hour(sessions)
-    # A count of days, one number that every row gets.
-    days = hours.select("day").distinct().agg(F.count(F.lit(1)).alias("days"))
+    # The days are counted over the hours, 24 rows a day, not by going over the sessions again.
+    of_day = Window.partitionBy("day")
+    first = F.row_number().over(of_day.orderBy("hour")) == 1
+    counted = hours.withColumns({"day_count": F.sum("session_count").over(of_day), "first": first.cast("int")})
+    days = F.sum("first").over(Window.partitionBy())
     share = F.col("session_count").cast("double") / F.col("day_count").cast("double")
-    return hours.withColumns(
-        {
-            "day_count": F.sum("session_count").over(Window.partitionBy("day")),
-            "per_day": F.floor(F.lit(total) / days.scalar()),
-        }
-    ).select(
+    return counted.withColumn("per_day", F.floor(F.lit(total) / days)).select(
         "day",
         "hour",
         "session_count",

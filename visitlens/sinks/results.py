@@ -145,12 +145,21 @@ def read_days(spark: SparkSession, name: str, root: str, days: list | None = Non
     return rows if days is None else rows.where(F.col("date").isin(days))
 
 
-def replace_days(df: DataFrame, name: str, root: str) -> DataFrame:
-    """Replace all rows of the days that ``df`` has rows of, and give these rows as they are stored."""
+def _dealt(df: DataFrame, name: str, days: int) -> DataFrame:
+    """Rows dealt by day and key into as many parts as a shuffle has, so that a day has few files if there are many days,
+    and a single large day is no single task's."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    slice_of_day = F.pmod(F.xxhash64(*RESULT_TABLES[name].key), F.lit(max(parts // max(days, 1), 1)))
+    return df.repartition(parts, "date", slice_of_day)
+
+
+def replace_days(df: DataFrame, name: str, root: str, days: int = 1) -> DataFrame:
+    """Replace all rows of the days that ``df`` has rows of, and give these rows as they are stored. ``days`` says how
+    many days these are, roughly: a day is written in more files if they are few."""
     spark = df.sparkSession
     number, place = _beside(spark, name, root)
     path = f"{root}/_days/{name}/{'b' if place == 'a' else 'a'}"
-    placed = _laid_out(df, name, None).withColumn(SEQUENCE, F.lit(number + 1))
+    placed = _dealt(_laid_out(df, name, None), name, days).withColumn(SEQUENCE, F.lit(number + 1))
     placed.write.mode("overwrite").partitionBy(SEQUENCE, "date").parquet(path)
     rows = _read_beside(spark, name, path)
     writer = rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
@@ -158,10 +167,10 @@ def replace_days(df: DataFrame, name: str, root: str) -> DataFrame:
     return rows
 
 
-def put_rows(df: DataFrame, name: str, root: str) -> DataFrame | None:
+def put_rows(df: DataFrame, name: str, root: str) -> tuple[DataFrame, int] | None:
     """Put rows into a streamed table, each in place of the row of its key; other days are neither read nor written.
 
-    ``df`` has one row per key. Gives the whole rows of the days it touches, None without any.
+    ``df`` has one row per key. Gives all rows of the days it touches, and how many days these are; None without any.
     """
     fresh = _laid_out(df, name, None).persist()
     try:
@@ -171,7 +180,7 @@ def put_rows(df: DataFrame, name: str, root: str) -> DataFrame | None:
         stored = read_days(df.sparkSession, name, root, days)
         same = reduce(Column.__and__, (stored[c].eqNullSafe(fresh[c]) for c in RESULT_TABLES[name].key))
         kept = stored.join(fresh, same, "left_anti")
-        return replace_days(kept.unionByName(fresh), name, root)
+        return replace_days(kept.unionByName(fresh), name, root, len(days)), len(days)
     finally:
         fresh.unpersist()
 

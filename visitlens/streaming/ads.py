@@ -67,9 +67,10 @@ def running_totals(clicks: DataFrame, lateness: str = DAY_LATENESS, amount: Colu
 
 def put_stat(stat: DataFrame, root: str, n: int | None = None) -> None:
     """Put totals into ``ad_stat``, and with ``n`` rank the ads of the days they belong to anew."""
-    days = put_rows(stat, "ad_stat", root)
-    if n is not None and days is not None:
-        replace_days(province_top_ads(days, n), "ad_province_top3", root)
+    touched = put_rows(stat, "ad_stat", root)
+    if n is not None and touched is not None:
+        rows, days = touched
+        replace_days(province_top_ads(rows, n), "ad_province_top3", root, days)
 
 
 def start_ad_stat(
