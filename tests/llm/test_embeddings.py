@@ -91,3 +91,25 @@ def test_empty_table(spark):
     assert E.near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
     lone = E.near_vectors(spark.createDataFrame([(1, None, "", 0)], SCHEMA)).collect()
     assert [tuple(r) for r in lone] == [(1, 0, 1, True)]
+
+
+def test_vectors_of_every_length_are_compared(spark):
+    data = [(i, [1.0, float(i), 2.0]) for i in range(5)] + [(10, [1.0, 0.0]), (11, [2.0, 0.0]), (12, [0.0, 1.0]), (13, [3.0]), (14, [1.0]), (15, [-1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(spark.createDataFrame(data, "vec_id bigint, embedding array<float>"), recall=1.0).collect()}
+    assert (got[10], got[11], got[12]) == ((1, 10), (1, 10), (0, 12))
+    assert (got[13], got[14], got[15]) == ((1, 13), (1, 13), (0, 15))
+    assert got[3][1] == got[4][1] and got[0][1] == 0
+
+
+def test_visits_grow_until_the_recall_is_reached():
+    """Vectors without any structure need more cells than the fit begins with; what it finds holds for other pairs."""
+    rng = np.random.default_rng(5)
+    index = E.fit_index(E._unit(rng.standard_normal((4096, 64))), 20_000_000, recall=0.98)
+    assert index.visits > E.FIRST_VISITS
+    x = E._unit(rng.standard_normal((2000, 64)))
+    noise = rng.standard_normal(x.shape)
+    noise -= (noise * x).sum(axis=1, keepdims=True) * x
+    y = E.LEAST_COSINE * x + np.sqrt(1 - E.LEAST_COSINE**2) * E._unit(noise)
+    some = index.at_once(index.visits)
+    hit = [index.nearest_cells(x[a : a + some]) == index.cell(y[a : a + some])[:, None] for a in range(0, len(x), some)]
+    assert np.mean(np.concatenate([h.any(axis=1) for h in hit])) > 0.96

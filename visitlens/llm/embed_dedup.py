@@ -9,6 +9,7 @@ from a bounded sample; every vector is indexed and every vector searches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,10 @@ LEAST_COSINE = 0.9
 SAMPLE = 20_000
 #: Pairs at the least cosine that the number of visits is fitted on, and the share of them to be found.
 TRIALS, RECALL = 4096, 0.98
-#: Vectors a cell should hold, code words of one half, cells visited at most.
-CELL_SIZE, MOST_WORDS, MOST_VISITS = 64, 1024, 256
+#: Vectors a cell should hold, code words of one half, cells that the fit of the visits begins with.
+CELL_SIZE, MOST_WORDS, FIRST_VISITS = 64, 1024, 256
+#: Ranks of cells that are in memory at a time, for some vectors together.
+RANKS = 1 << 22
 #: Members of a cell that one block holds; larger cells are cut into blocks.
 BLOCK = 8192
 _TURNS = 12
@@ -77,6 +80,10 @@ class MultiIndex:
         far_left, far_right = self._halves(x)
         return far_left.argmin(axis=1) * len(self.right) + far_right.argmin(axis=1)
 
+    def at_once(self, visits: int) -> int:
+        """Vectors whose nearest cells are looked for together, so that memory does not grow with the visits."""
+        return int(max(1, min(1024, RANKS // (visits * (1 + np.log(visits))))))
+
     def nearest_cells(self, x: np.ndarray, visits: int | None = None) -> np.ndarray:
         """The cells with the least sums of distances, nearest first.
 
@@ -97,32 +104,44 @@ class MultiIndex:
 def fit_index(sample: np.ndarray, rows: int, least: float = LEAST_COSINE, recall: float = RECALL) -> MultiIndex:
     """Codebooks for ``rows`` vectors, and as many visits as find ``recall`` of pairs at the least cosine.
 
-    The trial pairs are sample vectors turned in random directions until their cosine is ``least``, which is the
-    hardest case; the cell of one must be among the visits of the other. A recall of 1 visits every cell.
+    The trial pairs are sample vectors that the codebooks do not know, turned in random directions until their cosine is ``least``, which is the
+    hardest case; the cell of one must be among the visits of the other. Where too few are found, twice as many cells
+    are looked at, up to the whole grid. A recall of 1 visits every cell.
     """
     cut = sample.shape[1] // 2
     words = int(2 ** np.ceil(np.log2(max(4.0, np.sqrt(rows / CELL_SIZE)))))
-    words = min(words, MOST_WORDS, max(1, len(sample) // 8))
-    index = MultiIndex(fit_codebook(sample[:, :cut], words), fit_codebook(sample[:, cut:], words))
+    # A fifth of the sample, if there is enough of it, is kept from the codebooks and tried instead.
+    fitted, tried = (sample[len(sample) // 5 :], sample[: len(sample) // 5]) if len(sample) >= 100 else (sample, sample)
+    words = min(words, MOST_WORDS, max(1, len(fitted) // 8))
+    index = MultiIndex(fit_codebook(fitted[:, :cut], words), fit_codebook(fitted[:, cut:], words))
     if recall >= 1:
         index.visits = len(index.left) * len(index.right)
         return index
     rng = np.random.default_rng(11)
-    x = sample[rng.integers(0, len(sample), TRIALS)]
+    x = tried[rng.integers(0, len(tried), TRIALS)]
     noise = rng.standard_normal(x.shape)
     noise -= (noise * x).sum(axis=1, keepdims=True) * x
     y = least * x + np.sqrt(1 - least**2) * _unit(noise)
-    order = index.nearest_cells(x, MOST_VISITS)
-    hit = order == index.cell(y)[:, None]
-    rank = np.where(hit.any(axis=1), hit.argmax(axis=1), order.shape[1] - 1)
-    index.visits = int(np.quantile(rank, recall, method="higher")) + 1
-    return index
-
-
-def _valid(vector: Column, size: int) -> Column:
+    goal, rank, visits = index.cell(y), np.full(TRIALS, np.iinfo(np.int64).max), FIRST_VISITS
+    cells = len(index.left) * len(index.right)
+    while True:
+        open_ = np.flatnonzero(rank == rank.max()) if visits > FIRST_VISITS else np.arange(TRIALS)
+        step = index.at_once(visits)
+        for at in range(0, len(open_), step):
+            some = open_[at : at + step]
+            hit = index.nearest_cells(x[some], visits) == goal[some, None]
+            rank[some] = np.where(hit.any(axis=1), hit.argmax(axis=1), np.iinfo(np.int64).max)
+        needed = np.quantile(rank, recall, method="higher")
+        if needed < np.iinfo(np.int64).max or visits >= cells:
+            index.visits = int(min(needed, cells - 1)) + 1
+            return index
+        visits *= 2
+
+
+def _valid(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = F.exists(vector, lambda x: x != 0)
-    return F.coalesce((F.size(vector) == size) & finite & some, F.lit(False))
+    return F.coalesce(finite & some, F.lit(False))
 
 
 def near_vectors(
@@ -134,17 +153,15 @@ def near_vectors(
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
-    A vector that is null, zero, holds a null or non-finite component, or has another length than most vectors
-    links with nothing. Equal vectors are one class, whatever their number, and are expanded only in the counts.
+    A vector that is null, empty, zero or holds a null or non-finite component links with nothing. Vectors of different
+    lengths do not link; each length has an index of its own. Equal vectors are one class, whatever their number, and are expanded only in the counts.
     Repeated rows count as other vectors; a row without an id takes part and is not kept. An empty table gives
     no rows. ``recall`` is that of the hardest pairs, those at the threshold.
     """
     single = isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), FloatType)
     own = columns_of(vectors, vec_id=id_col, v=vector_col)
     own = own.withColumn("v", F.col("v").cast("array<float>" if single else "array<double>"))
-    common = own.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    size = common["n"] if common else 0
-    keys = own.withColumn("good", _valid(F.col("v"), size)).withColumns(
+    keys = own.withColumn("good", _valid(F.col("v"))).withColumns(
         {"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit("second"), "v")}
     )
     rows = saved(keys.select("vec_id", "good", "k1", "k2", F.when(F.col("good"), F.col("v")).alias("v")), "vectors")
@@ -152,7 +169,9 @@ def near_vectors(
         F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")
     )
     classes = saved(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    found = class_links(classes, least, recall)
+    lengths = sorted(r["n"] for r in classes.select(F.size("v").alias("n")).distinct().collect())
+    each = [class_links(classes.where(F.size("v") == n), least, recall) for n in lengths]
+    found = reduce(DataFrame.unionByName, each) if each else class_links(classes, least, recall)
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     comps = components(found.where("b is not null").select("a", "b"))
     slim = classes.select("node", "k1", "k2", "copies", "least")
@@ -211,8 +230,9 @@ def _visitor(index: MultiIndex, blocks: np.ndarray, kind: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin in range(0, whole.num_rows, 1024):
-                batch = whole.slice(begin, 1024)
+            some = index.at_once(index.visits)
+            for begin in range(0, whole.num_rows, some):
+                batch = whole.slice(begin, some)
                 node, cell = batch.column("node").to_numpy(), batch.column("cell").to_numpy()
                 x = _matrix(batch.column("v"), kind)
                 near = index.nearest_cells(x)
