@@ -418,12 +418,15 @@ def copy_links(rows: DataFrame, share: float = COPY_SHARE, block: int = COPY_BLO
     groups = components(_bucket_links(buckets, buckets, COPY_BITS, BLOCK)).withColumnRenamed("node", "fp")
     grouped = nodes.join(groups, "fp", "left").select("node", "row", F.coalesce("root", "fp").alias("grp"))
     grouped = saved(grouped, "groups")
-    several = grouped.groupBy("grp").count().where(F.col("count") > 1).select("grp")
+    # Counts are written before they are joined: rows of a large group are then dealt for the join alone, and Spark can
+    # cut its partition.
+    several = saved(grouped.groupBy("grp").count().where(F.col("count") > 1).select("grp"), "several")
     members = grouped.join(several, "grp").join(rows.select("row", "text"), "row").select("grp", "node", "text")
     members = saved(members, "members")
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
     slices = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("chars") / COPY_CHARS)).cast("int")
-    cut = members.join(sizes.select("grp", slices.alias("slices")), "grp").withColumn(
+    sizes = saved(sizes.select("grp", slices.alias("slices")), "sizes")
+    cut = members.join(sizes, "grp").withColumn(
         "mine", F.pmod(F.xxhash64("node"), "slices").cast("int")
     )
     cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
