@@ -36,6 +36,14 @@ def test_salted_joins_equal_plain_join(spark, join, how):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+@pytest.mark.parametrize("how", ["inner", "left_outer", "left_semi", "left_anti"])
+def test_the_repeated_side_is_not_broadcast(spark, how):
+    """Spark takes the side for as small as before its rows were repeated."""
+    joined = salted_join(skewed(spark), spark.range(0, 400, 2).toDF("k"), ["k"], how)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_hot_keys_are_few_and_right(spark):
     found = hot_keys(skewed(spark), ["k"], parts=100).collect()
     # Key 0 owns a third: 34 salts bring it to a hundredth; no other key owns more than that.

@@ -131,13 +131,14 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join with every left key spread over ``buckets`` and the whole right side repeated.
 
-    The blunt form, for a small right side of which every key is hot.
+    The blunt form, for a small right side of which every key is hot. Spark's size of a side does not count how often
+    its rows are repeated, so both sides are shuffled by request: the copies never go through the driver.
     """
     if how not in ("inner", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot repeat the right side of a {how} join")
     salted = left.withColumn(SALT, salt_of(list(salt_on or left.columns), buckets))
     repeated = right.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return salted.join(repeated, [*on, SALT], how).drop(SALT)
+    return salted.join(repeated.hint("merge"), [*on, SALT], how).drop(SALT)
 
 
 def without_keys(left: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
