@@ -338,6 +338,33 @@ def test_counts_of_past_days_leave_the_state_and_listed_users_stay(spark):
     assert max(held) <= 1 + 4 * 10 and held[-1] == held[-2] == held[-3]  # a batch takes out what was past before it
 
 
+def test_users_share_states(spark, monkeypatch):
+    """Many users in few states are accepted, counted and listed like users with a state each."""
+    monkeypatch.setattr(B, "STATES", 5)
+    feed, root, batches = Feed(spark), scratch_dir(spark, "root"), [random_clicks(400, seed, 60) for seed in range(3)]
+    for rows in batches:
+        feed.add(rows)
+        for query in B.start_users(feed.clicks(), root, f"{root}/c", 12, once=True, lateness="2 days"):
+            query.awaitTermination()
+            if state_rows(query):
+                assert state_rows(query)[-1] <= 5
+    listed, counts = brute_blacklist(batches, 12)
+    assert {r.user_id for r in read_result(spark, "ad_blacklist", root).collect()} == listed and 1 < len(listed) < 60
+    found = read_result(spark, "ad_user_click_count", root)
+    assert {(r.date, r.user_id, r.ad_id): r.click_count for r in found.collect()} == counts
+
+
+def test_clicks_are_counted_across_small_batches(spark):
+    clicks = ad_clicks(spark, [(at(i % 50), "p", None, -1, i % 7) for i in range(3000)]).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        rows = B.counted(clicks).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(rows) == 7 and sum(r.click_count for r in rows) == 3000
+
+
 def test_put_rows_and_replace_days(spark):
     root, day = scratch_dir(spark, "root"), at(0).date()
     assert put_rows(ad_stat_rows(spark).limit(0), "ad_stat", root) is None

@@ -1,19 +1,20 @@
 """The dynamic blacklist: clicks of a batch are filtered by the users listed in earlier batches.
 
-Everything about a user is that user's state: the counts per day and ad, and whether the user is listed. One stateful
+Everything about a user is kept in the state: the counts per day and ad, and whether the user is listed. One stateful
 query gives out what it accepts, the new counts and the newly listed users, through Spark's file sink, whose log makes
 a batch visible as a whole and once. The result tables are kept by further queries on that stream. No result table is
 read to decide about a click.
 
-Clicks are counted within each input batch before they are dealt to the users' states, so a user with very many
-clicks is a few rows. Counts of past days leave the state; that a user is listed stays.
+Users share a state by the hash of their id, and a state's rows are handled as arrays: a call of Python costs far more
+than a user's few rows. Clicks are counted within each task before they are dealt to the states, so a user with very
+many clicks is a few rows. Counts of past days leave the state; that a user is listed stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,72 +26,116 @@ from visitlens.plans.ads import BLACKLIST_CLICKS
 from visitlens.sinks.results import ACCEPTED_SCHEMA, ACCEPTED_TABLE, put_rows
 from visitlens.streaming.ads import DAY_LATENESS, batch_trigger, put_stat, running_totals, start
 
+#: Number of states that the users are dealt to. A stream goes on from its checkpoint with the number it began with.
+STATES = 8192
+#: Counted rows that a task holds before it gives them out.
+HELD_ROWS = 1 << 16
+
+_KEYS = ["user_id", "date", "province", "city", "ad_id"]
 _COUNTED = "user_id bigint, date date, province string, city string, ad_id bigint, click_count bigint"
-_STATE = "listed boolean, days array<int>, ads array<bigint>, counts array<bigint>"
-_EPOCH = date(1970, 1, 1)
+_ACCEPTED = "user_id bigint, day int, province string, city string, ad_id bigint, click_count bigint, kind string"
+# Arrays of 64-bit integers: the listed users, and user, day, ad and number of clicks of each count.
+_STATE = "listed binary, users binary, days binary, ads binary, counts binary"
 _DAY_MS = 86_400_000
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys = ["user_id", "date", "province", "city", "ad_id"]
+    held, rows = [], 0
+
+    def summed() -> pa.Table:
+        total = pa.concat_tables(held).group_by(_KEYS).aggregate([("click_count", "sum")])
+        return total.rename_columns({"click_count_sum": "click_count"}).select([*_KEYS, "click_count"])
+
     for batch in batches:
-        counted = pa.Table.from_batches([batch]).group_by(keys).aggregate([([], "count_all")])
-        yield from counted.rename_columns({"count_all": "click_count"}).select([*keys, "click_count"]).to_batches()
+        counted = pa.Table.from_batches([batch]).group_by(_KEYS).aggregate([([], "count_all")])
+        held.append(counted.rename_columns({"count_all": "click_count"}).select([*_KEYS, "click_count"]))
+        rows += counted.num_rows
+        if rows >= HELD_ROWS:
+            held = [summed()]
+            rows = held[0].num_rows
+            if 2 * rows >= HELD_ROWS:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if held:
+        yield from summed().to_batches()
 
 
 def counted(clicks: DataFrame) -> DataFrame:
-    """Clicks per user, day, province, city and ad, counted per input batch; those without user, ad or time are left out."""
+    """Clicks per user, day, province, city and ad, counted within each task; those without user, ad or time are left out."""
     known = clicks.where("ts is not null and user_id is not null and ad_id is not null")
     rows = known.select("user_id", F.to_date("ts").alias("date"), "province", "city", "ad_id")
     return rows.mapInArrow(_counted, _COUNTED)
 
 
-def _accept(threshold: int):
-    columns = [c.split()[0] for c in ACCEPTED_SCHEMA.split(", ")]
+def _totals(user: np.ndarray, day: np.ndarray, ad: np.ndarray, n: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of ``n`` per user, day and ad, in their order, and whether a row of the sum is ``new``."""
+    order = np.lexsort((ad, day, user))
+    user, day, ad, n, new = user[order], day[order], ad[order], n[order], new[order]
+    begins = (user[1:] != user[:-1]) | (day[1:] != day[:-1]) | (ad[1:] != ad[:-1])
+    at = np.flatnonzero(np.concatenate(([True], begins)))
+    return user[at], day[at], ad[at], np.add.reduceat(n, at), np.logical_or.reduceat(new, at)
+
 
+def _accept(threshold: int):
     def accept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """One user's rows of one batch."""
-        listed, counts = False, {}
-        if state.exists:
-            listed, days, ads, numbers = state.get
-            counts = {(int(d), int(a)): int(n) for d, a, n in zip(days, ads, numbers, strict=True)}
-        if not state.hasTimedOut and not listed:
-            changed, rows = set(), []
-            for frame in frames:
-                for day, province, city, ad, n in zip(
-                    frame["date"], frame["province"], frame["city"], frame["ad_id"], frame["click_count"], strict=True
-                ):
-                    at = (day - _EPOCH).days, int(ad)
-                    counts[at] = counts.get(at, 0) + int(n)
-                    changed.add(at)
-                    rows.append((key[0], day, province, city, int(ad), int(n), "click"))
-            rows += [(key[0], _EPOCH + timedelta(days=d), None, None, a, counts[d, a], "total") for d, a in sorted(changed)]
-            listed = any(counts[at] >= threshold for at in changed)
-            if listed:
-                rows.append((key[0], None, None, None, None, None, "listed"))
-            yield pd.DataFrame(rows, columns=columns).astype({"ad_id": "Int64", "click_count": "Int64"})
+        """One state's rows of one batch."""
+        held = [np.frombuffer(part, np.int64) for part in state.get] if state.exists else [np.zeros(0, np.int64)] * 5
+        listed, (user, day, ad, n) = held[0], held[1:]
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames), ignore_index=True)
+            rows = rows[~np.isin(rows["user_id"], listed)]
+            if len(rows):
+                fresh = [rows[c].to_numpy(np.int64) for c in ("user_id", "day", "ad_id", "click_count")]
+                new = np.repeat([False, True], [len(user), len(rows)])
+                user, day, ad, n, new = _totals(*map(np.concatenate, zip((user, day, ad, n), fresh, strict=True)), new)
+                reached = np.unique(user[new & (n >= threshold)])
+                yield _given_out(rows, fresh, (user[new], day[new], ad[new], n[new]), reached)
+                listed = np.union1d(listed, reached)
         # A listed user's clicks count no more, and clicks of days before the watermark do not come any more.
-        oldest = state.getCurrentWatermarkMs() // _DAY_MS
-        counts = {} if listed else {at: n for at, n in counts.items() if at[0] >= oldest}
-        if listed or counts:
-            state.update((listed, [d for d, _ in counts], [a for _, a in counts], list(counts.values())))
+        stay = (day >= state.getCurrentWatermarkMs() // _DAY_MS) & ~np.isin(user, listed)
+        user, day, ad, n = user[stay], day[stay], ad[stay], n[stay]
+        if len(listed) or len(user):
+            state.update(tuple(part.tobytes() for part in (listed, user, day, ad, n)))
         elif state.exists:
             state.remove()
-        if counts:
+        if len(user):
             # Look again when the oldest day is past.
-            state.setTimeoutTimestamp((min(d for d, _ in counts) + 1) * _DAY_MS)
+            state.setTimeoutTimestamp((int(day.min()) + 1) * _DAY_MS)
 
     return accept
 
 
+def _given_out(rows: pd.DataFrame, clicks: list[np.ndarray], totals: tuple[np.ndarray, ...], reached: np.ndarray) -> pd.DataFrame:
+    """The accepted clicks, the new totals and the newly listed users as rows of the three kinds."""
+    sizes = [len(rows), len(totals[0]), len(reached)]
+    blank = np.zeros(len(reached), np.int64)
+    without = np.repeat([False, False, True], sizes)
+    user, day, ad, n = map(np.concatenate, zip(clicks, totals, (reached, blank, blank, blank), strict=True))
+    nowhere = np.full(sizes[1] + sizes[2], None, object)
+    return pd.DataFrame(
+        {
+            "user_id": user,
+            "day": pd.arrays.IntegerArray(day.astype(np.int32), without),
+            "province": np.concatenate((rows["province"].to_numpy(object), nowhere)),
+            "city": np.concatenate((rows["city"].to_numpy(object), nowhere)),
+            "ad_id": pd.arrays.IntegerArray(ad, without),
+            "click_count": pd.arrays.IntegerArray(n, without),
+            "kind": np.repeat(np.array(["click", "total", "listed"], object), sizes),
+        }
+    )
+
+
 def accepted_clicks(clicks: DataFrame, threshold: int = BLACKLIST_CLICKS, lateness: str = DAY_LATENESS) -> DataFrame:
     """The stateful step. Rows of three kinds: ``click``, accepted counts per user, day, province, city and ad;
     ``total``, the new count of a user, day and ad; ``listed``, a user whose count reached ``threshold``, from
     whom nothing is accepted from the next batch on."""
     timed = counted(clicks).withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", lateness)
-    return timed.groupBy("user_id").applyInPandasWithState(
-        _accept(threshold), ACCEPTED_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    own = F.pmod(F.xxhash64("user_id"), F.lit(STATES))
+    dealt = timed.withColumns({"date": F.unix_date("date"), "state": own}).withColumnRenamed("date", "day")
+    accepted = dealt.groupBy("state").applyInPandasWithState(
+        _accept(threshold), _ACCEPTED, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+    return accepted.withColumn("day", F.date_from_unix_date("day")).withColumnRenamed("day", "date")
 
 
 def start_accepted(
