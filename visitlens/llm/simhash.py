@@ -7,8 +7,10 @@ distances would add up to more. A dynamic programme chooses the number of parts
 estimated candidates and probes; it affects the cost alone, never which links are found.
 
 ``keep_one`` asks for more than few bits can tell: it joins texts whose sets of five-word shingles have a
-similarity (Jaccard) of 0.8 or more, which is about ten bits. It takes candidates from bands of minima over the
-shingles and from a wide bit limit within a band, and holds every candidate against the shingle sets themselves.
+similarity (Jaccard) of 0.8 or more, which is about ten bits. It probes the sets' fingerprints by the same pigeonhole
+for candidates within ``PROBE_BITS``. At the bits that reach every such pair the probes would compare nearly all texts, so
+pairs beyond come from bands of minima over the shingles with a wide bit limit within a band. Every candidate is held
+against the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SHINGLE, SEED = 4, 42
 MOST_BITS = 4
 #: Near copies of ``keep_one``: words in a shingle and the least share of common shingles.
 COPY_SHINGLE, COPY_SHARE = 5, 0.8
+#: Bits within which ``keep_one`` finds every pair of fingerprints by the pigeonhole.
+PROBE_BITS = 8
 #: Bands of minima and minima in a band: at a share of 0.8 a pair has a band in common in 0.9993 of cases.
 BANDS, IN_BAND = 24, 6
 #: Bits in which candidates of one band may differ: at a share of 0.8 the mean is 9.7 with a deviation of 2.9.
@@ -410,12 +414,14 @@ def _sketch(text: Column) -> Column:
 def copy_links(rows: DataFrame, share: float = COPY_SHARE, block: int = COPY_BLOCK) -> DataFrame:
     """Links (a, b) that join the nodes of ``rows`` (node, fp, bands, text, row) with similar shingle sets.
 
-    Fingerprints that share a band and differ in few bits hang together in groups, so a text is sent once, to
-    its group. Within a group every pair is compared exactly; a large one is cut into blocks of two slices each.
+    Fingerprints within ``PROBE_BITS``, all of which the pigeonhole finds, and those that share a band and differ in
+    ``COPY_BITS`` or fewer hang together in groups, so a text is sent once, to its group. Within a group every pair is compared exactly; a large one is cut into blocks of two slices each.
     """
     nodes = saved(rows.where(F.size("bands") > 0).dropDuplicates(["node"]).select("node", "fp", "bands", "row"), "nodes")
     buckets = nodes.select("fp", F.posexplode("bands").alias("part", "key")).select("part", "key", "fp")
-    groups = components(_bucket_links(buckets, buckets, COPY_BITS, BLOCK)).withColumnRenamed("node", "fp")
+    close = close_links(saved(nodes.select("fp").distinct(), "fps"), PROBE_BITS)
+    wide = _bucket_links(buckets, buckets, COPY_BITS, BLOCK)
+    groups = components(close.unionByName(wide)).withColumnRenamed("node", "fp")
     grouped = nodes.join(groups, "fp", "left").select("node", "row", F.coalesce("root", "fp").alias("grp"))
     grouped = saved(grouped, "groups")
     # Counts are written before they are joined: rows of a large group are then dealt for the join alone, and Spark can
