@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -69,6 +70,63 @@ def test_hot_bucket_in_blocks_finds_the_same_links(spark):
         assert got == want
 
 
+def test_probes_of_a_hot_key_are_dealt_into_blocks(spark, monkeypatch):
+    """A key with few owners that many fingerprints probe is cut like one with many owners."""
+    rng = np.random.default_rng(4)
+    mask = (1 << 12) - 1
+    few = {int(x) << 12 | mask for x in rng.integers(0, 1 << 50, 30)}
+    many = {int(x) << 12 | mask ^ 1 << int(b) for x, b in zip(rng.integers(0, 1 << 50, 600), rng.integers(0, 12, 600))}
+    many |= {x ^ 1 ^ 1 << 40 for x in few}
+    frame = spark.createDataFrame([(f,) for f in few | many], "fp bigint")
+    monkeypatch.setattr(simhash, "choose_parts", lambda fps, most: [(mask, list(range(12)), 1)])
+    dealt, plain = [], simhash._dealt
+    monkeypatch.setattr(simhash, "_dealt", lambda *a: dealt.append(plain(*a)) or dealt[-1])
+    found = {frozenset((r.a, r.b)) for r in simhash.close_links(frame, 4, block=32).collect()}
+    assert {frozenset((x, x ^ 1 ^ 1 << 40)) for x in few} <= found
+    assert all((a ^ b).bit_count() <= 4 for a, b in map(tuple, found))
+    cells = dealt[0].groupBy("part", "key", "cell").count().agg(F.max("count")).first()[0]
+    assert cells <= 2.5 * 32
+
+
+def test_many_probes_of_one_group_are_compared_in_little_memory():
+    rng = np.random.default_rng(6)
+    rows = np.zeros((5, 30_000), np.int64)
+    rows[4] = rng.integers(0, 1 << 62, 30_000)
+    rows[3, 100:] = 1
+    rows[4, 200] = rows[4, 7] ^ 3
+    tracemalloc.start()
+    links = [r for batch in simhash._forest(rows, 4) for r in batch.to_pylist()]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    a, b = sorted(rows[4, [7, 200]].tolist())
+    assert links == [{"a": b, "b": a}]
+    assert peak < 16 << 20
+
+
+@pytest.mark.parametrize("spread", (0, 3, 40))
+def test_one_group_links_as_brute_force(spread):
+    """Groups of few close pairs, of many, and of some that hang together by others."""
+    rng = np.random.default_rng(7)
+    fps = rng.integers(0, 1 << 62, 12)[rng.integers(0, 12, 300)]
+    for _ in range(spread):
+        fps = fps ^ (np.int64(1) << rng.integers(0, 62, 300))
+    owners, probes = fps[:200].view(np.uint64), fps[200:].view(np.uint64)
+    pairs = [(i, j) for i in range(200) for j in range(i + 1, 300) if int(fps[i] ^ fps[j]).bit_count() <= 4]
+    got = simhash._compare(owners, probes, 4)
+    up = {}
+
+    def top(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    for a, b in got:
+        assert (a ^ b).bit_count() <= 4
+        if top(a) != top(b):
+            up[top(a)] = top(b)
+    assert all(top(int(fps[i])) == top(int(fps[j])) for i, j in pairs)
+
+
 def test_keep_one_keeps_the_smallest_id_and_all_columns(spark):
     docs = documents(spark, edge_rows())
     kept = simhash.keep_one(docs)

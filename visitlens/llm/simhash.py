@@ -46,12 +46,16 @@ COPY_BLOCK, COPY_CHARS = 1024, 4 << 20
 SAMPLE = 8192
 #: Numbers of parts that are weighed against each other.
 PARTS = (2, 3, 4, 5)
-#: Cost of a probe row against that of comparing one candidate pair.
-PROBE_COST = 12.0
-#: Members of a bucket that are compared in one block; larger buckets are cut into blocks.
+#: Cost of a probe row (made, shuffled, sorted and sent to Python) against that of comparing one candidate pair.
+PROBE_COST = 300.0
+#: Owners and probes of a bucket that are compared in one block; larger buckets are cut into slices of so many.
 BLOCK = 4096
-#: Groups up to this size are compared by shifted arrays, larger ones by search.
+#: Groups of up to so many owners are compared many at a time, larger ones one by one.
 SMALL = 64
+#: Close pairs for each row of a group beyond which it is searched.
+DENSE = 16
+#: Rows that are put together before their groups are compared.
+PORTION = 1 << 15
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PIECE = 1 << 16
@@ -188,7 +192,8 @@ def choose_parts(fps: DataFrame, most: int = MOST_BITS) -> list[tuple[int, list[
         for bits in groups:
             close = close_share(sample, _mask(bits), most)
             probes = np.cumsum([_choose(len(bits), d) for d in range(most + 1)])
-            costs.append([0.0, *(PROBE_COST * n * probes + close * n * n / 2)])
+            # An empty table still takes the plan with few probes: millions of flips are slow to plan, whatever their rows.
+            costs.append([0.0, *(PROBE_COST * max(n, 1) * probes + close * n * n / 2)])
         total, chosen = allocate(costs, most)
         options.append((total, [(_mask(g), g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]))
     return min(options, key=lambda o: o[0])[1]
@@ -215,39 +220,67 @@ def _signed(value: int) -> int:
 def close_links(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join all fingerprints (fp, distinct) within ``most`` bits into their components.
 
-    Every fingerprint stands in its own bucket of each part and in those of the keys within the part's
+    Every fingerprint owns a place in its own bucket of each part and probes those of the keys within the part's
     threshold; of two keys only the smaller probes the larger, so a pair meets once per part. Buckets with
-    more than ``block`` owners are cut into blocks of two slices each, so no task holds a whole hot bucket.
-    Within a block every pair is compared, and a spanning forest of the close ones is returned.
+    more than ``block`` owners and probes are cut into slices that meet in blocks, so no task holds a whole hot bucket.
+    Within a block every owner is compared with all others, and a spanning forest of the close ones is returned.
     """
     parts = choose_parts(fps, most)
-    homes, probes = [], []
+    homes = _union([_home(fps, index, mask) for index, (mask, _, _) in enumerate(parts)])
+    owners = saved(homes.groupBy("part", "key").agg(F.count(F.lit(1)).alias("owners")), "owners")
+    rows, counts = [homes], [owners.withColumn("probes", F.lit(0).cast("bigint"))]
     for index, (mask, bits, threshold) in enumerate(parts):
-        key = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
-        homes.append(fps.select(F.lit(index).alias("part"), key.alias("key"), "fp"))
         flips = [_signed(_mask(list(c))) for d in range(1, threshold + 1) for c in combinations(bits, d)]
         if flips:
-            other = F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f, k=key: k.bitwiseXOR(f)))
-            near = fps.select(F.lit(index).alias("part"), other.alias("key"), "fp", key.alias("own"))
-            probes.append(near.where("key > own").drop("own"))
-    return _bucket_links(_union(homes), _union([*homes, *probes]), most, block)
-
-
-def _bucket_links(owners: DataFrame, rows: DataFrame, most: int, block: int) -> DataFrame:
-    """Links within ``most`` bits inside the buckets (part, key) of ``rows`` (part, key, fp)."""
-    hot = owners.groupBy("part", "key").count().where(F.col("count") > block)
-    hot = saved(hot.select("part", "key", F.ceil(F.col("count") / block).cast("int").alias("slices")), "hot")
-    rows = rows.join(hot, ["part", "key"], "left")
-    slices = F.coalesce("slices", F.lit(1))
-    mine = F.pmod(F.xxhash64("fp"), slices).cast("int")
-    cut = rows.select("part", "key", "fp", slices.alias("slices"), mine.alias("mine")).select(
-        "part", "key", "fp", "slices", "mine", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("with")
+            rows.append(_larger_keys(_home(fps, index, mask, probe=1), flips))
+            asked = _larger_keys(owners.where(F.col("part") == index), flips)
+            counts.append(asked.select("part", "key", F.lit(0).cast("bigint").alias("owners"), F.col("owners").alias("probes")))
+    counts = _union(counts).groupBy("part", "key").agg(F.sum("owners").alias("owners"), F.sum("probes").alias("probes"))
+    return _bucket_links(counts, _union(rows), most, block)
+
+
+def _home(fps: DataFrame, index: int, mask: int, probe: int = 0) -> DataFrame:
+    key = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
+    return fps.select(F.lit(index).alias("part"), key.alias("key"), "fp", F.lit(probe).alias("probe"))
+
+
+def _larger_keys(rows: DataFrame, flips: list[int]) -> DataFrame:
+    """Each row of ``rows`` (key and others) once for every larger key that differs from its own by one of ``flips``."""
+    near = rows.withColumnRenamed("key", "own")
+    other = F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f: F.col("own").bitwiseXOR(f)))
+    return near.select("*", other.alias("key")).where("key > own").select(*rows.columns)
+
+
+def _bucket_links(counts: DataFrame, rows: DataFrame, most: int, block: int) -> DataFrame:
+    """Links within ``most`` bits inside the buckets (part, key) of ``rows`` (part, key, fp, probe).
+
+    A row is an owner of its bucket (probe 0), which is compared with all others, or probes it (probe 1) and is compared
+    with its owners. ``counts`` (part, key, owners, probes) has the rows of each bucket.
+    """
+    dealt = _dealt(counts, rows, block).repartition("part", "key", "cell")
+    # The key leads the order: most comparisons of the sort end with it.
+    sorted_rows = dealt.sortWithinPartitions("key", "part", "cell", "probe")
+    return sorted_rows.mapInArrow(_linker(most), "a bigint, b bigint").distinct()
+
+
+def _dealt(counts: DataFrame, rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` with the cells in which they are compared; a cell has two slices of its bucket at most."""
+    hot = counts.where(F.col("owners") + F.col("probes") > block)
+    slices = [F.ceil(F.col(n) / block).cast("int").alias(n) for n in ("owners", "probes")]
+    rows = rows.join(saved(hot.select("part", "key", *slices), "hot"), ["part", "key"], "left")
+    owners, probes = F.coalesce("owners", F.lit(1)), F.coalesce("probes", F.lit(0))
+    spread, probing = F.xxhash64("fp"), F.col("probe") == 1
+    mine = F.when(probing & (probes > 0), owners + F.pmod(spread, F.greatest(probes, F.lit(1)))).otherwise(
+        F.pmod(spread, F.greatest(owners, F.lit(1)))
     )
+    # Probes meet owners only; a bucket of probes alone has nothing to compare.
+    others = F.when(probing, owners).otherwise(owners + probes)
+    cut = rows.where(owners > 0).select(
+        "part", "key", "fp", "probe", mine.cast("int").alias("mine"), (owners + probes).alias("slices"),
+        F.explode(F.sequence(F.lit(0), others - 1)).alias("with"),
+    )
     cell = F.least("mine", "with") * F.col("slices").cast("bigint") + F.greatest("mine", "with")
-    dealt = cut.select("part", "key", cell.alias("cell"), "fp")
-    sorted_rows = dealt.repartition("part", "key", "cell").sortWithinPartitions("part", "key", "cell")
-    found = sorted_rows.mapInArrow(_linker(most), "a bigint, b bigint")
-    return found.distinct()
+    return cut.select("part", "key", cell.alias("cell"), "probe", "fp")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -259,51 +292,77 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def _linker(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = []
+        rest, held = [np.zeros((5, 0), np.int64)], 0
         for batch in batches:
-            part, key, cell, fp = (batch.column(i).to_numpy() for i in range(4))
-            block = np.stack((part.astype(np.int64), key, cell, fp))
-            same = (block[:3, 1:] == block[:3, :-1]).all(axis=0)
-            cuts = np.flatnonzero(~same)
-            if rest and (rest[-1][:3, -1] != block[:3, 0]).any():
-                yield from _forest(np.concatenate(rest, axis=1), most)
-                rest = []
-            if len(cuts):  # the last group may go on in the next batch
-                rest.append(block[:, : cuts[-1] + 1])
-                yield from _forest(np.concatenate(rest, axis=1), most)
-                rest = [block[:, cuts[-1] + 1 :]]
-            else:
-                rest.append(block)
-        if rest:
-            yield from _forest(np.concatenate(rest, axis=1), most)
+            rest.append(np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)]))
+            held += rest[-1].shape[1]
+            if held < PORTION:
+                continue
+            rows = np.concatenate(rest, axis=1)
+            cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0))
+            whole = cuts[-1] + 1 if len(cuts) else 0  # the last group may go on in the next batch
+            yield from _forest(rows[:, :whole], most)
+            rest = [rows[:, whole:].copy()]
+            held = 0 if whole else -held  # a group of many portions is put together when its rows have doubled
+        yield from _forest(np.concatenate(rest, axis=1), most)
 
     return run
 
 
 def _forest(rows: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of whole groups (rows: part, key, cell, fingerprint)."""
-    fps = rows[3].view(np.uint64)
+    """Spanning links of whole groups (rows: part, key, cell, probe, fingerprint), in each the owners first."""
+    if not rows.shape[1]:
+        return
+    fps = rows[4].view(np.uint64)
     starts = np.flatnonzero(np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
     sizes = np.diff(np.concatenate((starts, [fps.size])))
-    group = np.repeat(np.arange(starts.size), sizes)
-    small = np.repeat(sizes <= SMALL, sizes)
+    owners = np.add.reduceat(rows[3] == 0, starts, dtype=np.int64)
+    own, first = np.repeat(owners, sizes), np.repeat(starts, sizes)
+    place = np.arange(fps.size) - first
+    pick = np.flatnonzero(own <= SMALL)
     left, right = [], []
-    for lag in range(1, min(SMALL, int(sizes.max()))):
-        pick = np.flatnonzero(small[:-lag] & (group[lag:] == group[:-lag]))
+    for k in range(SMALL):  # the owner at place k against all rows behind it
+        pick = pick[(place[pick] > k) & (own[pick] > k)]
         if not pick.size:
             break
-        x, y = fps[pick], fps[pick + lag]
+        x, y = fps[pick], fps[first[pick] + k]
         good = np.bitwise_count(x ^ y) <= most
         left.append(x[good])
         right.append(y[good])
     links = _spanning(np.concatenate(left), np.concatenate(right)) if left else []
-    for g in np.flatnonzero(sizes > SMALL):
-        links += _search(fps[starts[g] : starts[g] + sizes[g]], most)
+    for g in np.flatnonzero(owners > SMALL):
+        group = fps[starts[g] : starts[g] + sizes[g]]
+        links += _compare(group[: owners[g]], group[owners[g] :], most)
     if links:
         pairs = np.array(links, np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], ["a", "b"])
 
 
+def _compare(owners: np.ndarray, probes: np.ndarray, most: int, cells: int = 1 << 18) -> list[tuple[int, int]]:
+    """A spanning forest of the close pairs of one group: of two owners, or of an owner and a probe.
+
+    All pairs are compared in arrays of about ``cells``. Where few are close, they are the links; where many are, the
+    rows that have any are searched, and each step meets many of them."""
+    owners = np.unique(owners)
+    rows = np.concatenate((owners, probes))
+    linked, left, right, found = np.zeros(rows.size, bool), [], [], 0
+    step = max(1, cells // owners.size)
+    for begin in range(0, rows.size, step):
+        part = rows[begin : begin + step]
+        until = owners[: begin + part.size]
+        hits = np.flatnonzero(np.bitwise_count(part[:, None] ^ until[None, :]) <= most)
+        i, j = hits // until.size + begin, hits % until.size
+        i, j = i[j < i], j[j < i]  # an owner among owners meets those before it
+        linked[i] = linked[j] = True
+        found += i.size
+        if found <= DENSE * rows.size:
+            left.append(rows[i])
+            right.append(rows[j])
+    if found > DENSE * rows.size:
+        return _search(rows[linked], most)
+    return _spanning(np.concatenate(left), np.concatenate(right))
+
+
 def _spanning(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     up: dict[int, int] = {}
 
@@ -418,9 +477,11 @@ def copy_links(rows: DataFrame, share: float = COPY_SHARE, block: int = COPY_BLO
     ``COPY_BITS`` or fewer hang together in groups, so a text is sent once, to its group. Within a group every pair is compared exactly; a large one is cut into blocks of two slices each.
     """
     nodes = saved(rows.where(F.size("bands") > 0).dropDuplicates(["node"]).select("node", "fp", "bands", "row"), "nodes")
-    buckets = nodes.select("fp", F.posexplode("bands").alias("part", "key")).select("part", "key", "fp")
+    buckets = nodes.select("fp", F.posexplode("bands").alias("part", "key"))
+    buckets = buckets.select("part", "key", "fp", F.lit(0).alias("probe"))
+    counts = buckets.groupBy("part", "key").agg(F.count(F.lit(1)).alias("owners"), F.lit(0).cast("bigint").alias("probes"))
     close = close_links(saved(nodes.select("fp").distinct(), "fps"), PROBE_BITS)
-    wide = _bucket_links(buckets, buckets, COPY_BITS, BLOCK)
+    wide = _bucket_links(counts, buckets, COPY_BITS, BLOCK)
     groups = components(close.unionByName(wide)).withColumnRenamed("node", "fp")
     grouped = nodes.join(groups, "fp", "left").select("node", "row", F.coalesce("root", "fp").alias("grp"))
     grouped = saved(grouped, "groups")
