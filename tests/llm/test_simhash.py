@@ -8,6 +8,7 @@ from llm_frames import PROSE, WORDS, components, documents, edge_rows
 from pyspark.sql import functions as F
 
 from visitlens.llm import simhash
+from visitlens.llm.components import components as linked
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -127,6 +128,19 @@ def test_one_group_links_as_brute_force(spread):
     assert all(top(int(fps[i])) == top(int(fps[j])) for i, j in pairs)
 
 
+def test_links_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    links = spark.range(1, 40, 1, 2).selectExpr("id as a", "id - 1 as b").mapInArrow(run, "a bigint, b bigint")
+    assert linked(links).where("root = 0").count() == 40
+    assert made.value == 39
+
+
 def test_keep_one_keeps_the_smallest_id_and_all_columns(spark):
     docs = documents(spark, edge_rows())
     kept = simhash.keep_one(docs)

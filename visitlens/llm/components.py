@@ -18,7 +18,8 @@ def components(links: DataFrame) -> DataFrame:
     written to the shared folder in place of the round before; the smallest neighbour is a plain aggregate, so a node with many links
     never has to fit into a task.
     """
-    edges = saved(_both_ways(links).where("a > b").distinct(), "links")
+    downwards = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = saved(downwards.where("a > b").distinct(), "links")
     before = _checksum(edges)
     for _ in range(MOST_ROUNDS):
         last, edges = edges, saved(_small_star(_large_star(edges)), "links")
